@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from keepsake.storage import cut_lineage
 
 Cut = tuple[float | None, str | None]
+Places = Callable[[int], list[int]]
 
 _ROW_BITS = (1 << 33) - 1  # low bits of monotonically_increasing_id(): row index in its partition
 
@@ -35,12 +36,11 @@ def _with_offsets(placed: DataFrame, totals: Sequence[str]) -> DataFrame:
     return placed.join(F.broadcast(offsets), "_part")
 
 
-def running_totals(df: DataFrame, order: Sequence[str | Column], totals: Sequence[str]) -> DataFrame:
-    """Add `<total>_before` and `<total>_through`: global running sums in `order`.
+def _placed(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    return cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
 
-    Meant for frames that are already aggregated to one row per sort key.
-    """
-    placed = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+
+def _run_totals(placed: DataFrame, order: Sequence[str | Column], totals: Sequence[str]) -> DataFrame:
     through = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     keep = [c for c in placed.columns if c != "_part"]
     out = _with_offsets(placed, totals).select(
@@ -49,6 +49,14 @@ def running_totals(df: DataFrame, order: Sequence[str | Column], totals: Sequenc
     return out.select("*", *[(F.col(f"{c}_through") - F.col(c)).alias(f"{c}_before") for c in totals])
 
 
+def running_totals(df: DataFrame, order: Sequence[str | Column], totals: Sequence[str]) -> DataFrame:
+    """Add `<total>_before` and `<total>_through`: global running sums in `order`.
+
+    Meant for frames that are already aggregated to one row per sort key.
+    """
+    return _run_totals(_placed(df, order), order, totals)
+
+
 def global_positions(df: DataFrame, order: Sequence[str | Column], name: str = "position") -> DataFrame:
     """Add the 1-based row number over the whole frame; one range shuffle, no window."""
     placed = cut_lineage(
@@ -72,9 +80,14 @@ def _stack(df: DataFrame, values: dict[str, Column], tie: str | None) -> DataFra
     return df.select(F.explode(pairs).alias("r"), *extra).select("r.*", *(["tie"] if tie else []))
 
 
-def _histogram(stacked: DataFrame) -> DataFrame:
+def _value_counts(stacked: DataFrame) -> DataFrame:
+    """One row per ranking and distinct value, in range partitions."""
     counts = stacked.groupBy("ranking", "value").agg(F.count(F.lit(1)).alias("n"))
-    return running_totals(counts, ["ranking", "value"], ["n"])
+    return _placed(counts, ["ranking", "value"])
+
+
+def _histogram(counts: DataFrame) -> DataFrame:
+    return _run_totals(counts, ["ranking", "value"], ["n"])
 
 
 def _standing_at(frame: DataFrame, places: list[int]) -> DataFrame:
@@ -83,53 +96,97 @@ def _standing_at(frame: DataFrame, places: list[int]) -> DataFrame:
     return frame.withColumn("places", inside).filter(F.size("places") > 0)
 
 
-def cut_points(
+def look_up(
     df: DataFrame,
     values: dict[str, Column],
-    tie: str,
-    places: Callable[[int], list[int]],
-) -> dict[str, list[Cut]]:
-    """The rows standing at given 1-based places, for several rankings in one pass.
-
-    Order is by value ascending (null first), then by `tie`. `places` maps the row
-    count to the wanted places. A cut without tie means the place is the last row of
-    its value, so the value alone separates. The result is as long as `places`: a
-    handful of rows, whatever the data size.
+    cuts: dict[str, Places] | None = None,
+    quantiles: dict[str, list[float]] | None = None,
+    tie: str | None = None,
+) -> tuple[dict[str, list[Cut]], dict[str, list[float]]]:
+    """Cut rows and exact quantiles of several columns, from one histogram of all of them.
+
+    Order is by value ascending (null first), then by `tie`, which must identify a row.
+    `cuts` maps a column's row count to the wanted 1-based places; a cut without tie means
+    that the place is the last row of its value, so the value alone separates. Quantiles
+    skip nulls and interpolate linearly. What reaches the driver is as long as the places
+    asked for: a handful of rows, whatever the data size.
     """
-    names = sorted(values)
+    cuts, quantiles = cuts or {}, quantiles or {}
     stacked = _stack(df, values, tie)
-    histogram = _histogram(stacked)
-    total = histogram.agg(F.max("n_through")).first()[0] or 0
-    size = total // len(names)
-    wanted = [i * size + p for i in range(len(names)) for p in places(size) if 0 < p < size]
-    if not wanted:
-        return {n: [] for n in names}
-    hits = sorted(_standing_at(histogram, wanted).collect(), key=lambda r: r["n_through"])
-
-    cuts: dict[int, Cut] = {}
-    split = []
-    for hit in hits:
-        for place in hit["places"]:
-            if place == hit["n_through"]:
-                cuts[place] = (hit["value"], None)
-            elif hit not in split:
-                split.append(hit)
-    if split:
-        held = None
-        for hit in split:
-            same = (F.col("ranking") == hit["ranking"]) & F.col("value").eqNullSafe(F.lit(hit["value"]))
-            held = same if held is None else held | same
-        local, before = {}, 0
-        for hit in split:
-            for place in hit["places"]:
-                local[before + place - hit["n_before"]] = place
-            before += hit["n"]
-        placed = global_positions(stacked.filter(held), ["ranking", "value", "tie"])
-        for row in placed.filter(F.col("position").isin(list(local))).collect():
-            cuts.setdefault(local[row["position"]], (row["value"], row["tie"]))
-    return {
-        n: [cuts[i * size + p] for p in places(size) if 0 < p < size] for i, n in enumerate(names)
+    counts = _value_counts(stacked)
+    given = F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0))
+    spans, first = {}, 0
+    per_column = counts.groupBy("ranking").agg(F.sum("n").alias("rows"), given.alias("given")).collect()
+    for row in sorted(per_column, key=lambda r: r["ranking"]):  # one row per column
+        spans[row["ranking"]] = {"first": first, "rows": row["rows"], "given": row["given"]}
+        first += row["rows"]
+    cut_places = {
+        n: [spans[n]["first"] + p for p in places(spans[n]["rows"]) if 0 < p < spans[n]["rows"]]
+        for n, places in cuts.items()
+        if n in spans
+    }
+    quantile_places = {
+        n: [
+            (span["first"] + span["rows"] - span["given"] + 1, (span["given"] - 1) * q)
+            for q in quantiles[n]
+        ]
+        for n, span in spans.items()
+        if n in quantiles and span["given"]
     }
+    wanted = {p for places in cut_places.values() for p in places}
+    wanted |= {start + f(at) for pairs in quantile_places.values() for start, at in pairs for f in (math.floor, math.ceil)}
+    hits = _standing_at(_histogram(counts), sorted(wanted)).collect() if wanted else []
+    hits.sort(key=lambda r: r["n_through"])
+    at_place = {place: hit for hit in hits for place in hit["places"]}
+
+    found = _tied_rows(stacked, at_place, sorted({p for places in cut_places.values() for p in places}))
+    found_cuts = {n: [found[p] for p in cut_places.get(n, [])] for n in cuts}
+
+    found_quantiles = {}
+    for name, fractions in quantiles.items():
+        edges = []
+        for start, at in quantile_places.get(name, []):
+            low = at_place[start + math.floor(at)]["value"]
+            high = at_place[start + math.ceil(at)]["value"]
+            edges.append(low + (high - low) * (at - math.floor(at)))
+        found_quantiles[name] = edges or [float("nan")] * len(fractions)
+    return found_cuts, found_quantiles
+
+
+def _tied_rows(stacked: DataFrame, at_place: dict, places: list[int]) -> dict[int, Cut]:
+    """The row at each place; only values that a place splits are sorted by their tie column."""
+    found: dict[int, Cut] = {}
+    split: dict[tuple, list[int]] = {}
+    for place in places:
+        hit = at_place[place]
+        if place == hit["n_through"]:
+            found[place] = (hit["value"], None)
+        else:
+            split.setdefault((hit["ranking"], hit["value"]), []).append(place)
+    if not split:
+        return found
+    held, local, before = None, {}, 0
+    for (name, value), inside in split.items():
+        same = (F.col("ranking") == name) & F.col("value").eqNullSafe(F.lit(value))
+        held = same if held is None else held | same
+        hit = at_place[inside[0]]
+        local.update({before + place - hit["n_before"]: place for place in inside})
+        before += hit["n"]
+    placed = global_positions(stacked.filter(held), ["ranking", "value", "tie"])
+    for row in placed.filter(F.col("position").isin(list(local))).collect():
+        found[local[row["position"]]] = (row["value"], row["tie"])
+    return found
+
+
+def cut_points(df: DataFrame, values: dict[str, Column], tie: str, places: Places) -> dict[str, list[Cut]]:
+    """The same places looked up in several orderings at once."""
+    return look_up(df, values, cuts=dict.fromkeys(values, places), tie=tie)[0]
+
+
+def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]]) -> dict[str, list[float]]:
+    return look_up(
+        df, {n: c for n, (c, _) in wanted.items()}, quantiles={n: q for n, (_, q) in wanted.items()}
+    )[1]
 
 
 def past_cut(value: Column, tie: Column, cut: Cut) -> Column:
@@ -149,7 +206,7 @@ def tile_column(value: Column, tie: Column, cuts: list[Cut]) -> Column:
     return out.cast("int")
 
 
-def ntile_places(k: int) -> Callable[[int], list[int]]:
+def ntile_places(k: int) -> Places:
     """Last place of each NTILE(k) tile but the final one; the first n%k tiles get one row more."""
 
     def places(n: int) -> list[int]:
@@ -159,7 +216,7 @@ def ntile_places(k: int) -> Callable[[int], list[int]]:
     return places
 
 
-def first_rank_places(k: int) -> Callable[[int], list[int]]:
+def first_rank_places(k: int) -> Places:
     """Cut places of quantile tiles over ranks 1..n (linear quantiles; not the same as NTILE)."""
 
     def places(n: int) -> list[int]:
@@ -191,44 +248,12 @@ def add_rank(df: DataFrame, value: Column, name: str) -> DataFrame:
     execution splits.
     """
     keyed = df.withColumn("_value", value.cast("double"))
-    ranks = _histogram(_stack(df, {name: value}, None)).select(
+    ranks = _histogram(_value_counts(_stack(df, {name: value}, None))).select(
         F.col("value").alias("_ranked"), (F.col("n_before") + 1).alias(name)
     )
     return keyed.join(ranks, F.col("_value").eqNullSafe(F.col("_ranked")), "left").drop("_value", "_ranked")
 
 
-def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]]) -> dict[str, list[float]]:
-    """Linear-interpolated quantiles (nulls skipped), exact, for several columns in one pass."""
-    stacked = _stack(df, {n: c for n, (c, _) in wanted.items()}, None).filter(F.col("value").isNotNull())
-    histogram = _histogram(stacked)
-    spans = {
-        r["ranking"]: (r["start"], r["n"])
-        for r in histogram.groupBy("ranking")
-        .agg(F.min("n_before").alias("start"), F.sum("n").alias("n"))
-        .collect()
-    }
-    asked = {}
-    for name, (_, fractions) in wanted.items():
-        if name in spans:
-            start, n = spans[name]
-            asked[name] = [(start + 1, (n - 1) * q) for q in fractions]
-    places = sorted(
-        {first + f(at) for pairs in asked.values() for first, at in pairs for f in (math.floor, math.ceil)}
-    )
-    found = {}
-    if places:
-        for row in _standing_at(histogram, places).collect():
-            found.update(dict.fromkeys(row["places"], row["value"]))
-    out: dict[str, list[float]] = {}
-    for name, (_, fractions) in wanted.items():
-        out[name] = [
-            found[first + math.floor(at)]
-            + (found[first + math.ceil(at)] - found[first + math.floor(at)]) * (at - math.floor(at))
-            for first, at in asked.get(name, [])
-        ] or [float("nan")] * len(fractions)
-    return out
-
-
 def add_value_quartile(df: DataFrame, value: str, name: str) -> DataFrame:
     """Right-closed quartiles on values; equal edges merge their tiles."""
     edges = exact_quantiles(df, {name: (F.col(value), [0.25, 0.5, 0.75])})[name]

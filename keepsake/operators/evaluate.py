@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.metrics import count_if
 from keepsake.functions.ranking import running_totals
-from keepsake.schema import METRIC_TARGETS
+from keepsake.schema import METRIC_TARGETS, literal_rows
 
 
 def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -95,7 +95,7 @@ def roc_points(df: DataFrame, label: str = "churn", score: str = "probability")
 
 def check_targets(measured: DataFrame) -> DataFrame:
     """Measured metrics against their targets."""
-    targets = measured.sparkSession.createDataFrame(list(METRIC_TARGETS.items()), "metric string, target double")
+    targets = literal_rows(measured.sparkSession, list(METRIC_TARGETS.items()), ["metric", "target"])
     return targets.join(measured, "metric", "left").select(
         "metric", F.col("value").alias("actual"), "target",
         F.coalesce(F.col("value") >= F.col("target"), F.lit(False)).alias("met"),

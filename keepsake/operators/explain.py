@@ -47,34 +47,36 @@ BATCH_NAMES = {
 }
 
 
-def attribution(model: LinearModel, index: int, background: list[float] | None = None) -> Column:
-    """coef * (scaled value - background); the background is the origin unless given."""
+def attribution(model: LinearModel, index: int, background: list[float] | None = None) -> str:
+    """SQL text of coef * (scaled value - background); the background is the origin unless given."""
     x = model.scaled(index)
     if background is not None:
-        x = x - F.lit(background[index])
-    return F.lit(model.coef[index]) * x
+        x = f"({x} - {background[index]!r}D)"
+    return f"{model.coef[index]!r}D * {x}"
 
 
 def scaled_means(features: DataFrame, model: LinearModel) -> list[float]:
     """Mean of every scaled feature: the background when explaining a data set (one row)."""
-    row = features.agg(*[F.avg(model.scaled(i)).alias(f"m{i}") for i in range(len(model.features))]).first()
+    row = features.selectExpr(*[f"AVG({model.scaled(i)}) AS m{i}" for i in range(len(model.features))]).first()
     return list(row)
 
 
+def _entries(model: LinearModel, background: list[float] | None, fields: dict[str, str]) -> str:
+    """SQL text of an array with one record per feature; {i}, {name} and {phi} stand for its own."""
+    records = []
+    for i, name in enumerate(model.features):
+        parts = ", ".join(
+            f"'{field}', " + text.format(i=i, name=name, phi=attribution(model, i, background))
+            for field, text in fields.items()
+        )
+        records.append(f"named_struct({parts})")
+    return f"array({', '.join(records)})"
+
+
 def attributions(df: DataFrame, model: LinearModel, background: list[float] | None = None) -> DataFrame:
     """Long form: one row per record and feature."""
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(name).alias("feature"),
-                F.col(name).cast("double").alias("value"),
-                attribution(model, i, background).alias("phi"),
-            )
-            for i, name in enumerate(model.features)
-        ]
-    )
-    return df.select("customer_id", F.explode(entries).alias("a")).select("customer_id", "a.*")
+    fields = {"position": "{i}", "feature": "'{name}'", "value": "CAST({name} AS DOUBLE)", "phi": "{phi}"}
+    return df.selectExpr("customer_id", f"inline({_entries(model, background, fields)})")
 
 
 def _names(mapping: dict[str, str], feature: Column) -> Column:
@@ -100,18 +102,11 @@ def top_reasons(
     Structs sort field by field, so ascending order on (-|phi|, -position) puts the
     largest first and, on a tie, the later feature.
     """
-    entries = F.array(
-        *[
-            F.struct(
-                (-F.abs(attribution(model, i, background))).alias("rank_key"),
-                F.lit(-i).alias("back"),
-                F.lit(name).alias("feature"),
-                F.col(name).cast("double").alias("value"),
-                attribution(model, i, background).alias("phi"),
-            )
-            for i, name in enumerate(model.features)
-        ]
-    )
+    fields = {
+        "rank_key": "-ABS({phi})", "back": "-{i}", "feature": "'{name}'",
+        "value": "CAST({name} AS DOUBLE)", "phi": "{phi}",
+    }
+    entries = F.expr(_entries(model, background, fields))
 
     def reason(entry: Column) -> Column:
         direction = F.when(entry["phi"] > 0, "increases").otherwise("decreases")
@@ -130,17 +125,9 @@ def top_reasons(
 
 def top_reason(df: DataFrame, model: LinearModel, background: list[float] | None = None) -> DataFrame:
     """Only the leading feature's name per record; on a tie the earlier feature."""
-    entries = F.array(
-        *[
-            F.struct(
-                (-F.abs(attribution(model, i, background))).alias("rank_key"),
-                F.lit(i).alias("position"),
-                F.lit(name).alias("feature"),
-            )
-            for i, name in enumerate(model.features)
-        ]
-    )
-    return df.withColumn("top_reason", F.array_min(entries)["feature"])
+    fields = {"rank_key": "-ABS({phi})", "position": "{i}", "feature": "'{name}'"}
+    leading = F.array_min(F.expr(_entries(model, background, fields)))
+    return df.withColumn("top_reason", leading["feature"])
 
 
 def reason_rows(with_reasons: DataFrame) -> DataFrame:
@@ -154,11 +141,8 @@ def importance(
     df: DataFrame, model: LinearModel, background: list[float] | None = None, top: int | None = None
 ) -> DataFrame:
     """Mean absolute attribution per feature: one aggregation row, unpivoted afterwards."""
-    means = df.agg(
-        *[
-            F.avg(F.abs(attribution(model, i, background))).alias(name)
-            for i, name in enumerate(model.features)
-        ]
+    means = df.selectExpr(
+        *[f"AVG(ABS({attribution(model, i, background)})) AS {name}" for i, name in enumerate(model.features)]
     )
     ranked = means.unpivot([], model.features, "feature", "importance").orderBy(
         F.desc("importance"), "feature"

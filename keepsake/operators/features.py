@@ -14,11 +14,10 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.functions import ranking
-from keepsake.functions.bands import first_match
 from keepsake.schema import FEATURES
 
 # Constants of the serve mode.
@@ -45,116 +44,120 @@ ADD_ONS = [
 
 MODES = ("fit", "serve", "fitted")
 
+# Names the feature layers produce besides the 61 that a model takes.
+EXTRA_FEATURES = ["family_size_proxy"]
 
-def _int(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False)).cast("int")
 
+def _int(condition: str) -> str:
+    return f"CAST(COALESCE({condition}, FALSE) AS INT)"
 
-def _any(*flags: str) -> Column:
-    return F.greatest(*[F.col(f) for f in flags])
 
+def _add(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.selectExpr("*", *[f"{text} AS {name}" for name, text in columns.items()])
 
-def _total(names: list[str]) -> Column:
-    out = F.col(names[0])
-    for name in names[1:]:
-        out = out + F.col(name)
-    return out
+
+def computed_once(df: DataFrame, columns: dict[str, str], drop: tuple[str, ...] = ()) -> DataFrame:
+    """Add columns as one generated record.
+
+    The optimizer copies a column's expression into every later use and filter. For
+    expressions that build on each other over several layers the copies multiply until
+    planning takes longer than the query. A one-record `inline` is evaluated once per row,
+    stays in generated code, and later expressions and filters just refer to its output.
+    """
+    record = ", ".join(f"'{name}', {text}" for name, text in columns.items())
+    kept = [c for c in df.columns if c not in columns and c not in drop]
+    return df.selectExpr(*kept, f"inline(array(named_struct({record})))")
 
 
 def profile_to_request(base: DataFrame) -> DataFrame:
     """Stored profile to scoring request: one internet field (fiber wins), plain doubles."""
-    internet = first_match(
-        [(F.col("has_fiber"), "Fiber optic"), (F.col("has_dsl"), "DSL"), (None, "No")]
-    )
-    return base.select(
+    return base.selectExpr(
         "customer_id", "gender", "senior_citizen", "partner", "dependents", "tenure_months",
-        F.col("monthly_charges").cast("double").alias("monthly_charges"),
-        F.col("total_charges").cast("double").alias("total_charges"),
+        "CAST(monthly_charges AS DOUBLE) AS monthly_charges",
+        "CAST(total_charges AS DOUBLE) AS total_charges",
         "contract_type", "payment_method",
-        F.coalesce("paperless_billing", F.lit(False)).alias("paperless_billing"),
-        F.col("has_phone_service").alias("phone_service"),
-        F.col("has_multiple_lines").alias("multiple_lines"),
-        internet.alias("internet_service"),
-        *[F.col(f"has_{c}").alias(c) for c in ADD_ONS],
+        "COALESCE(paperless_billing, FALSE) AS paperless_billing",
+        "has_phone_service AS phone_service",
+        "has_multiple_lines AS multiple_lines",
+        "CASE WHEN has_fiber THEN 'Fiber optic' WHEN has_dsl THEN 'DSL' ELSE 'No' END AS internet_service",
+        *[f"has_{c} AS {c}" for c in ADD_ONS],
     )
 
 
 def _entry(df: DataFrame, keep: list[str]) -> DataFrame:
     """Common starting columns, from a stored profile (has_* flags) or from a request."""
     stored = "has_fiber" in df.columns
-
-    def held(service: str) -> Column:
-        return F.col(f"has_{service}" if stored else service)
-
     if stored:
-        fiber, dsl = F.col("has_fiber"), F.col("has_dsl")
-        online = fiber | dsl
+        fiber, dsl, online = "has_fiber", "has_dsl", "has_fiber OR has_dsl"
     else:
-        fiber, dsl = F.col("internet_service") == "Fiber optic", F.col("internet_service") == "DSL"
-        online = F.col("internet_service") != "No"
-    phone_flags = ["phone_service", "multiple_lines"]
-    return df.select(
-        "customer_id",
-        *keep,
-        F.col("tenure_months"),
-        F.col("monthly_charges").cast("double").alias("monthly_charges"),
-        F.col("total_charges").cast("double").alias("total_charges"),
-        F.coalesce("contract_type", F.lit("")).alias("_contract"),
-        F.coalesce("payment_method", F.lit("")).alias("_payment"),
-        _int(F.col("gender") == "Male").alias("gender_male"),
-        _int(F.col("senior_citizen")).alias("is_senior"),
-        _int(F.col("partner")).alias("has_partner"),
-        _int(F.col("dependents")).alias("has_dependents"),
-        *[_int(held(s)).alias(f"{s}_flag") for s in phone_flags + ADD_ONS],
-        _int(online).alias("has_internet"),
-        _int(fiber).alias("internet_fiber"),
-        _int(dsl).alias("internet_dsl"),
-        _int(F.col("paperless_billing")).alias("paperless_billing_flag"),
-    )
+        fiber, dsl = "internet_service = 'Fiber optic'", "internet_service = 'DSL'"
+        online = "internet_service <> 'No'"
+    columns = {
+        "tenure_months": "tenure_months",
+        "monthly_charges": "CAST(monthly_charges AS DOUBLE)",
+        "total_charges": "CAST(total_charges AS DOUBLE)",
+        "_contract": "COALESCE(contract_type, '')",
+        "_payment": "COALESCE(payment_method, '')",
+        "gender_male": _int("gender = 'Male'"),
+        "is_senior": _int("senior_citizen"),
+        "has_partner": _int("partner"),
+        "has_dependents": _int("dependents"),
+        **{
+            f"{s}_flag": _int(f"has_{s}" if stored else s)
+            for s in ["phone_service", "multiple_lines", *ADD_ONS]
+        },
+        "has_internet": _int(online),
+        "internet_fiber": _int(fiber),
+        "internet_dsl": _int(dsl),
+        "paperless_billing_flag": _int("paperless_billing"),
+    }
+    return df.selectExpr("customer_id", *keep, *[f"{text} AS {name}" for name, text in columns.items()])
 
 
 def _profile_features(df: DataFrame) -> DataFrame:
     """Demographic, service, contract and tenure features."""
-    tenure, contract = F.col("tenure_months"), F.col("_contract")
-    length = first_match([(contract == name, n) for name, n in CONTRACT_LENGTHS.items()] + [(None, 0)])
-    services = [f"{s}_flag" for s in ["phone_service", "multiple_lines", *ADD_ONS]] + ["has_internet"]
-    bucket = first_match(
-        [(tenure <= bound, i) for i, bound in enumerate((6, 12, 24, 48, 72), start=1)] + [(None, 6)]
-    )
-    return df.select(
-        "*",
-        _any("has_partner", "has_dependents").alias("has_family"),
-        (F.col("has_partner") + F.col("has_dependents")).alias("family_size_proxy"),
-        _int((F.col("is_senior") == 1) & (F.col("has_partner") + F.col("has_dependents") == 0)).alias("senior_alone"),
-        _total(services).alias("total_services"),
-        _total([f"{s}_flag" for s in ADD_ONS]).alias("premium_service_count"),
-        _any("online_security_flag", "online_backup_flag").alias("has_security_bundle"),
-        _any("tech_support_flag", "device_protection_flag").alias("has_support_bundle"),
-        _any("streaming_tv_flag", "streaming_movies_flag").alias("has_streaming_bundle"),
-        length.alias("contract_length"),
-        _int(contract == "Month-to-month").alias("is_month_to_month"),
-        _int(length >= 1).alias("has_long_contract"),
-        *[_int(F.col("_payment") == method).alias(flag) for flag, method in PAYMENT_FLAGS.items()],
-        _int(F.col("_payment").isin("Bank transfer (automatic)", "Credit card (automatic)")).alias("has_auto_payment"),
-        (tenure / 12.0).alias("tenure_years"),
-        bucket.alias("tenure_bucket"),
-        _int(tenure <= 6).alias("is_new_customer"),
-        _int(tenure >= 24).alias("is_established"),
-        _int(tenure >= 48).alias("is_loyal"),
+    lengths = " ".join(f"WHEN _contract = '{name}' THEN {n}" for name, n in CONTRACT_LENGTHS.items())
+    bounds = " ".join(f"WHEN tenure_months <= {b} THEN {i}" for i, b in enumerate((6, 12, 24, 48, 72), start=1))
+    add_on_flags = [f"{s}_flag" for s in ADD_ONS]
+    return _add(
+        df,
+        {
+            "has_family": "GREATEST(has_partner, has_dependents)",
+            "family_size_proxy": "has_partner + has_dependents",
+            "senior_alone": "is_senior * (1 - GREATEST(has_partner, has_dependents))",
+            "total_services": " + ".join(["phone_service_flag", "multiple_lines_flag", *add_on_flags, "has_internet"]),
+            "premium_service_count": " + ".join(add_on_flags),
+            "has_security_bundle": "GREATEST(online_security_flag, online_backup_flag)",
+            "has_support_bundle": "GREATEST(tech_support_flag, device_protection_flag)",
+            "has_streaming_bundle": "GREATEST(streaming_tv_flag, streaming_movies_flag)",
+            "contract_length": f"CASE {lengths} ELSE 0 END",
+            "is_month_to_month": _int("_contract = 'Month-to-month'"),
+            "has_long_contract": _int("_contract IN ('One year', 'Two year')"),
+            **{flag: _int(f"_payment = '{method}'") for flag, method in PAYMENT_FLAGS.items()},
+            "has_auto_payment": _int("_payment IN ('Bank transfer (automatic)', 'Credit card (automatic)')"),
+            "tenure_years": "tenure_months / 12D",
+            "tenure_bucket": f"CASE {bounds} ELSE 6 END",
+            "is_new_customer": _int("tenure_months <= 6"),
+            "is_established": _int("tenure_months >= 24"),
+            "is_loyal": _int("tenure_months >= 48"),
+        },
     )
 
 
 def _spend_features(df: DataFrame) -> DataFrame:
-    monthly, total, tenure = F.col("monthly_charges"), F.col("total_charges"), F.col("tenure_months")
-    return df.select(
-        "*",
-        (F.col("total_services") / 9.0).alias("service_diversity"),
-        F.when(tenure > 0, F.try_divide(total, tenure)).otherwise(monthly).alias("avg_monthly_spend"),
-        F.when(F.col("total_services") > 0, F.try_divide(monthly, F.col("total_services")))
-        .otherwise(monthly)
-        .alias("charge_per_service"),
-        (total + monthly * 12).alias("estimated_clv"),
-        (tenure * F.col("contract_length")).alias("tenure_contract_interaction"),
+    return _add(
+        df,
+        {
+            "service_diversity": "total_services / 9D",
+            "avg_monthly_spend": (
+                "CASE WHEN tenure_months > 0 THEN TRY_DIVIDE(total_charges, tenure_months) ELSE monthly_charges END"
+            ),
+            "charge_per_service": (
+                "CASE WHEN total_services > 0 THEN TRY_DIVIDE(monthly_charges, total_services) ELSE monthly_charges END"
+            ),
+            "estimated_clv": "total_charges + monthly_charges * 12",
+            "tenure_contract_interaction": "tenure_months * contract_length",
+        },
     )
 
 
@@ -173,15 +176,16 @@ class FeatureStats:
         narrow = _spend_features(_profile_features(_entry(base, []))).select(
             "customer_id", "monthly_charges", "charge_per_service", "tenure_months"
         )
-        spread = ranking.exact_quantiles(
+        cuts, spread = ranking.look_up(
             narrow,
             {
-                "monthly": (F.col("monthly_charges"), [0.25, 0.5, 0.75]),
-                "per_service": (F.col("charge_per_service"), [0.5]),
+                "monthly": F.col("monthly_charges"),
+                "per_service": F.col("charge_per_service"),
+                "tenure": F.col("tenure_months"),
             },
-        )
-        cuts = ranking.cut_points(
-            narrow, {"tenure": F.col("tenure_months")}, "customer_id", ranking.first_rank_places(4)
+            cuts={"tenure": ranking.first_rank_places(4)},
+            quantiles={"monthly": [0.25, 0.5, 0.75], "per_service": [0.5]},
+            tie="customer_id",
         )
         return cls(
             median_monthly=spread["monthly"][1],
@@ -202,46 +206,57 @@ class FeatureStats:
 
 def _reference_features(df: DataFrame, stats: FeatureStats | None) -> DataFrame:
     """The four features that compare a record with the data set (or with constants)."""
-    monthly, tenure, per_service = F.col("monthly_charges"), F.col("tenure_months"), F.col("charge_per_service")
     if stats is None:
-        charge_tile = F.least(F.greatest(F.floor(monthly / SERVE_CHARGE_STEP) + 1, F.lit(1)), F.lit(4))
-        tenure_tile = F.least(F.greatest(F.floor(tenure / SERVE_TENURE_STEP) + 1, F.lit(1)), F.lit(4))
-        high_value, high_charge = monthly > SERVE_HIGH_VALUE, per_service > SERVE_HIGH_CHARGE
+        own = {
+            "monthly_charge_quartile": F.expr(
+                f"CAST(LEAST(GREATEST(FLOOR(monthly_charges / {SERVE_CHARGE_STEP}) + 1, 1), 4) AS INT)"
+            ),
+            "tenure_quartile": F.expr(
+                f"CAST(LEAST(GREATEST(FLOOR(tenure_months / {SERVE_TENURE_STEP}) + 1, 1), 4) AS INT)"
+            ),
+            "is_high_value": F.expr(_int(f"monthly_charges > {SERVE_HIGH_VALUE}")),
+            "risk_high_charge": F.expr(_int(f"charge_per_service > {SERVE_HIGH_CHARGE}")),
+        }
     else:
-        charge_tile = ranking.value_tile(monthly, stats.monthly_edges)
-        tenure_tile = ranking.tile_column(tenure, F.col("customer_id"), stats.tenure_cuts)
-        high_value = monthly > stats.median_monthly
-        high_charge = per_service > stats.median_charge_per_service * 1.5
-    return df.select(
-        "*",
-        charge_tile.cast("int").alias("monthly_charge_quartile"),
-        tenure_tile.cast("int").alias("tenure_quartile"),
-        _int(high_value).alias("is_high_value"),
-        first_match(
-            [(F.col("avg_monthly_spend") > monthly, 1), (F.col("avg_monthly_spend") < monthly, -1), (None, 0)]
-        ).alias("spending_trend"),
-        F.col("is_month_to_month").alias("risk_mtm"),
-        F.col("is_new_customer").alias("risk_new"),
-        F.col("payment_electronic_check").alias("risk_echeck"),
-        _int((F.col("has_security_bundle") == 0) & (F.col("has_support_bundle") == 0)).alias("risk_no_support"),
-        _int(high_charge).alias("risk_high_charge"),
-        F.col("internet_fiber").alias("risk_fiber"),
+        own = {
+            "monthly_charge_quartile": ranking.value_tile(F.col("monthly_charges"), stats.monthly_edges),
+            "tenure_quartile": ranking.tile_column(
+                F.col("tenure_months"), F.col("customer_id"), stats.tenure_cuts
+            ),
+            "is_high_value": F.expr(_int(f"monthly_charges > {stats.median_monthly!r}D")),
+            "risk_high_charge": F.expr(
+                _int(f"charge_per_service > {stats.median_charge_per_service * 1.5!r}D")
+            ),
+        }
+    return _add(
+        df.select("*", *[column.alias(name) for name, column in own.items()]),
+        {
+            "spending_trend": (
+                "CASE WHEN avg_monthly_spend > monthly_charges THEN 1"
+                " WHEN avg_monthly_spend < monthly_charges THEN -1 ELSE 0 END"
+            ),
+            "risk_mtm": "is_month_to_month",
+            "risk_new": "is_new_customer",
+            "risk_echeck": "payment_electronic_check",
+            "risk_no_support": "(1 - has_security_bundle) * (1 - has_support_bundle)",
+            "risk_fiber": "internet_fiber",
+        },
     )
 
 
 def _risk_features(df: DataFrame) -> DataFrame:
-    score = F.lit(0)
-    for factor, weight in RISK_WEIGHTS.items():
-        score = score + F.col(factor) * weight
-    return df.select(
-        "*",
-        _total(list(RISK_WEIGHTS)).alias("risk_factors_count"),
-        score.alias("risk_score"),
-        _int(score >= 5).alias("high_risk_flag"),
-        (F.col("is_new_customer") * F.col("is_high_value")).alias("new_high_value"),
-        (F.col("is_month_to_month") * F.col("is_high_value")).alias("mtm_high_value"),
-        (F.col("is_senior") * F.col("is_month_to_month")).alias("senior_mtm"),
-        (F.col("internet_fiber") * (1 - F.col("has_support_bundle"))).alias("fiber_no_support"),
+    score = " + ".join(f"{weight} * {factor}" for factor, weight in RISK_WEIGHTS.items())
+    return _add(
+        df,
+        {
+            "risk_factors_count": " + ".join(RISK_WEIGHTS),
+            "risk_score": score,
+            "high_risk_flag": _int(f"{score} >= 5"),
+            "new_high_value": "is_new_customer * is_high_value",
+            "mtm_high_value": "is_month_to_month * is_high_value",
+            "senior_mtm": "is_senior * is_month_to_month",
+            "fiber_no_support": "internet_fiber * (1 - has_support_bundle)",
+        },
     )
 
 
@@ -257,8 +272,10 @@ def with_features(
         stats = None
     elif mode == "fit" and stats is None:
         stats = FeatureStats.fit(df)
-    carried = [c for c in keep if c not in ("customer_id", "tenure_months", "monthly_charges", "total_charges")]
-    return _risk_features(_reference_features(_spend_features(_profile_features(_entry(df, carried))), stats))
+    names = FEATURES + EXTRA_FEATURES
+    carried = [c for c in keep if c not in names and c != "customer_id"]
+    built = _risk_features(_reference_features(_spend_features(_profile_features(_entry(df, carried))), stats))
+    return computed_once(built.select("customer_id", *carried, *names), {n: n for n in names})
 
 
 def select_features(
@@ -269,7 +286,7 @@ def select_features(
     found = [n for n in names if n in df.columns]
     missing = [n for n in names if n not in df.columns]
     extra = [c for c in keep if c not in found]
-    return df.select("customer_id", *extra, *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in found]), missing
+    return df.selectExpr("customer_id", *extra, *[f"COALESCE({n}, 0) AS {n}" for n in found]), missing
 
 
 def training_frame(base: DataFrame, stats: FeatureStats | None = None, mode: str = "fit") -> DataFrame:

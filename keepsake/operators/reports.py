@@ -9,6 +9,7 @@ from keepsake.functions import bands
 from keepsake.functions.metrics import count_if
 from keepsake.operators.features import ADD_ONS, select_features, with_features
 from keepsake.operators.scoring import LinearModel, score
+from keepsake.schema import literal_rows
 from keepsake.sources.quality import valid_requests
 
 
@@ -74,7 +75,7 @@ def risk_kpis(scored: DataFrame) -> DataFrame:
 def risk_distribution(scored: DataFrame) -> DataFrame:
     """Counts for the four report bins, in bin order, empty bins included."""
     rows = [(i, label) for i, (_, label) in enumerate(bands.REPORT_BINS, start=1)]
-    bins = scored.sparkSession.createDataFrame(rows, "bin_order int, risk_category string")
+    bins = literal_rows(scored.sparkSession, rows, ["bin_order", "risk_category"])
     counts = scored.groupBy(bands.report_bin(_p()).alias("risk_category")).agg(F.count(F.lit(1)).alias("n"))
     return (
         bins.join(counts, "risk_category", "left")

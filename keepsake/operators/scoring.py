@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.functions.bands import model_risk_level, table_risk_level
-from keepsake.operators.features import profile_to_request, select_features, with_features
+from keepsake.operators.features import computed_once, profile_to_request, select_features, with_features
 from keepsake.operators.views import at_risk_profile, customer_by_id, feature_base
-from keepsake.schema import RISK_LEVELS, Tables
+from keepsake.schema import RISK_LEVELS, Tables, literal_rows
 from keepsake.sources.quality import valid_requests
 
 
@@ -25,24 +25,21 @@ class LinearModel:
     coef: list[float]
     intercept: float
 
-    def scaled(self, index: int) -> Column:
-        return (F.col(self.features[index]) - F.lit(self.mean[index])) / F.lit(self.std[index])
+    def scaled(self, index: int) -> str:
+        """SQL text of one standardised feature."""
+        return f"(({self.features[index]} - {self.mean[index]!r}D) / {self.std[index]!r}D)"
 
-    def logit(self) -> Column:
-        z = F.lit(self.intercept)
-        for i, weight in enumerate(self.coef):
-            z = z + F.lit(weight) * self.scaled(i)
-        return z
+    def logit(self) -> str:
+        terms = [f"{c!r}D * {self.scaled(i)}" for i, c in enumerate(self.coef)]
+        return " + ".join([f"{self.intercept!r}D", *terms])
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
         rows = [
             (self.name, i, f, m, s, c, self.intercept)
             for i, (f, m, s, c) in enumerate(zip(self.features, self.mean, self.std, self.coef))
         ]
-        return spark.createDataFrame(
-            rows,
-            "model_name string, position int, feature string, mean double, std double, coef double,"
-            " intercept double",
+        return literal_rows(
+            spark, rows, ["model_name", "position", "feature", "mean", "std", "coef", "intercept"]
         )
 
     @classmethod
@@ -60,7 +57,7 @@ class LinearModel:
 
 def score(features: DataFrame, model: LinearModel) -> DataFrame:
     """Add the unrounded probability, the 0/1 prediction and the risk level."""
-    scored = features.withColumn("probability", F.lit(1.0) / (F.lit(1.0) + F.exp(-model.logit())))
+    scored = computed_once(features, {"probability": f"1D / (1D + EXP(-({model.logit()})))"})
     return scored.select(
         "*",
         (F.col("probability") >= 0.5).cast("int").alias("churn_prediction"),
@@ -106,7 +103,7 @@ def at_risk_scored(tables: Tables, model: LinearModel, limit: int = 20, threshol
 
 def batch_summary(scored: DataFrame) -> DataFrame:
     """Rows per risk level, levels without rows included."""
-    levels = scored.sparkSession.createDataFrame([(r,) for r in RISK_LEVELS], "risk_level string")
+    levels = literal_rows(scored.sparkSession, [(r,) for r in RISK_LEVELS], ["risk_level"])
     counts = scored.groupBy("risk_level").agg(F.count(F.lit(1)).alias("n"))
     return levels.join(counts, "risk_level", "left").select("risk_level", F.coalesce("n", F.lit(0)).alias("n"))
 

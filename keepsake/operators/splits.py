@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.functions import ranking
+from keepsake.schema import literal_rows
 from keepsake.sources.raw import hash_order
 
 
@@ -58,26 +59,22 @@ class Scaler:
 
     @classmethod
     def fit(cls, frame: DataFrame, features: list[str]) -> Scaler:
-        row = frame.agg(
-            *[F.avg(c).alias(f"{c}_m") for c in features],
-            *[F.stddev_pop(c).alias(f"{c}_s") for c in features],
+        row = frame.selectExpr(
+            *[f"AVG({c}) AS {c}_m" for c in features], *[f"STDDEV_POP({c}) AS {c}_s" for c in features]
         ).first()
         n = len(features)
         return cls(features, list(row[:n]), [s if s else 1.0 for s in row[n:]])
 
-    def columns(self) -> list[Column]:
-        return [
-            ((F.col(c) - F.lit(m)) / F.lit(s)).alias(c)
-            for c, m, s in zip(self.features, self.mean, self.std)
-        ]
-
     def transform(self, frame: DataFrame) -> DataFrame:
         kept = [c for c in frame.columns if c not in self.features]
-        return frame.select(*kept, *self.columns())
+        scaled = [
+            f"({c} - {m!r}D) / {s!r}D AS {c}" for c, m, s in zip(self.features, self.mean, self.std)
+        ]
+        return frame.selectExpr(*kept, *scaled)
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(
-            list(zip(self.features, self.mean, self.std)), "feature string, mean double, std double"
+        return literal_rows(
+            spark, list(zip(self.features, self.mean, self.std)), ["feature", "mean", "std"]
         )
 
 

@@ -16,7 +16,7 @@ from keepsake.operators import (
 )
 from keepsake.plans.fixed_model import fixed_model
 from keepsake.plans.oracle import GROUPS
-from keepsake.schema import FEATURES, RAW_SCHEMA, Tables
+from keepsake.schema import FEATURES, Tables, literal_rows
 from keepsake.sources import quality, raw, sinks, star_schema
 from keepsake.sources.star_schema import AS_OF, raw_extract, raw_shape, retention_tables
 from keepsake.storage import new_path
@@ -174,9 +174,7 @@ def _ntiles(t: Tables) -> DataFrame:
 def _median(t: Tables) -> DataFrame:
     columns = {"median_monthly": "monthly_charges", "median_total": "total_charges"}
     found = ranking.exact_quantiles(t.customers, {n: (F.col(c), [0.5]) for n, c in columns.items()})
-    return t.customers.sparkSession.createDataFrame(
-        [tuple(found[n][0] for n in columns)], ", ".join(f"{n} double" for n in columns)
-    )
+    return literal_rows(t.customers.sparkSession, [tuple(found[n][0] for n in columns)], list(columns))
 
 
 def _per_tenure(t: Tables) -> DataFrame:
@@ -220,6 +218,13 @@ def _feature_group(names: list[str]) -> Query:
     )
 
 
+def _own_feature_group(names: list[str]) -> Query:
+    """Features that come from the record alone are the same in every mode and need no fit."""
+    return _on_tables(
+        lambda t: feat.with_features(views.feature_base(t), "serve").select("customer_id", *names)
+    )
+
+
 def _serve_features(requests: DataFrame) -> DataFrame:
     return feat.select_features(feat.with_features(quality.valid_requests(requests), "serve"))[0]
 
@@ -458,7 +463,10 @@ def all_queries() -> dict[str, Query]:
         "w7_lag": _on_tables(_lag),
         "w8_fixed_bins": _on_tables(_fixed_bins),
         "w9_histogram": _on_tables(_charge_histogram),
-        **{key: _feature_group(names) for key, names in GROUPS.items()},
+        **{
+            key: (_own_feature_group if key in ("f01_demographics", "f02_services", "f03_contract") else _feature_group)(names)
+            for key, names in GROUPS.items()
+        },
         "f08_select_features": _on_tables(_training_frame),
         "f09_serve_features": _on_requests(_serve_features),
         "f10_profile_to_request": _on_requests(lambda df: df),

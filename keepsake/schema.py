@@ -132,15 +132,31 @@ class Tables:
     service_types: DataFrame
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A few constant rows as part of the plan itself: no job, and the optimizer knows their size."""
+
+    def literal(value: object) -> str:
+        if value is None:
+            return "NULL"
+        if isinstance(value, bool):
+            return str(value).upper()
+        if isinstance(value, float):
+            return f"{value!r}D"
+        if isinstance(value, int):
+            return str(value)
+        return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    body = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS rows({', '.join(names)})")
+
+
 def contract_types(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        CONTRACT_TYPES, "contract_type_id int, contract_name string, description string"
-    )
+    return literal_rows(spark, CONTRACT_TYPES, ["contract_type_id", "contract_name", "description"])
 
 
 def service_types(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
+    return literal_rows(
+        spark,
         [(*row, True) for row in SERVICE_TYPES],
-        "service_type_id int, service_name string, service_category string,"
-        " description string, is_active boolean",
+        ["service_type_id", "service_name", "service_category", "description", "is_active"],
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keepsake.operators.features import FeatureStats
 from keepsake.operators.scoring import LinearModel
-from keepsake.schema import FEATURES, Tables
+from keepsake.schema import FEATURES, Tables, literal_rows
 
 TABLES = ["customers", "customer_contracts", "customer_services", "contract_types", "service_types"]
 
@@ -83,9 +83,7 @@ def write_artifacts(
         "model_name string, training_date string, n_features long, n_training_samples long,"
         " n_test_samples long, test_metrics map<string,double>",
     ).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
-    spark.createDataFrame(
-        list(enumerate(features)), "position int, feature string"
-    ).coalesce(1).write.mode("overwrite").json(f"{path}/feature_names")
+    literal_rows(spark, list(enumerate(features)), ["position", "feature"]).coalesce(1).write.mode("overwrite").json(f"{path}/feature_names")
     if importance is not None:
         importance.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/feature_importance")
     if linear is not None:

@@ -10,7 +10,7 @@ from keepsake.functions.bands import first_match
 from keepsake.operators.explain import top_reasons
 from keepsake.operators.features import ADD_ONS
 from keepsake.operators.scoring import LinearModel, score_requests
-from keepsake.schema import REQUEST_SCHEMA, RISK_LEVELS
+from keepsake.schema import REQUEST_SCHEMA, RISK_LEVELS, literal_rows
 from keepsake.sources.raw import clean
 
 
@@ -103,5 +103,5 @@ def latest_summary(spark: SparkSession, out: str) -> DataFrame:
     """The newest complete counts, all four levels present."""
     saved = spark.read.schema("risk_level string, n long, batch long").parquet(out)
     newest = saved.groupBy("risk_level").agg(F.max_by("n", "batch").alias("n"))
-    levels = spark.createDataFrame([(r,) for r in RISK_LEVELS], "risk_level string")
+    levels = literal_rows(spark, [(r,) for r in RISK_LEVELS], ["risk_level"])
     return levels.join(newest, "risk_level", "left").select("risk_level", F.coalesce("n", F.lit(0)).alias("n"))
