@@ -41,11 +41,12 @@ class Prepared:
 def prepare(train: DataFrame, test: DataFrame, resample: bool = True, seed: int = SEED) -> Prepared:
     """Scale by the train rows, oversample the train rows, keep both in memory for the learners."""
     scaler = Scaler.fit(train, FEATURES)
-    scaled, held_out = scaler.transform(train), scaler.transform(test).persist()
+    scaled, held_out = scaler.transform(train), scaler.transform(test).hint("rebalance").persist()
     counts = class_weights(train).collect()  # two rows
     balanced = smote(scaled, FEATURES, seed=seed) if resample else scaled
+    # The learners pass over these rows hundreds of times: even partitions of advisory size pay off.
     return Prepared(
-        balanced.persist(),
+        balanced.hint("rebalance").persist(),
         held_out,
         scaler,
         counts[0]["scale_pos_weight"],
@@ -54,12 +55,20 @@ def prepare(train: DataFrame, test: DataFrame, resample: bool = True, seed: int
     )
 
 
-def prepare_split(base: DataFrame, test_share: float = 0.2, resample: bool = True, seed: int = SEED) -> Prepared:
+def prepare_split(
+    base: DataFrame,
+    test_share: float = 0.2,
+    resample: bool = True,
+    seed: int = SEED,
+    stats: FeatureStats | None = None,
+) -> Prepared:
     """Features over the whole frame, then the stratified split."""
-    frame = stratified_split(training_frame(base), test_share=test_share, seed=seed).persist()
+    frame = stratified_split(training_frame(base, stats), test_share=test_share, seed=seed).persist()
     prepared = prepare(
         frame.filter("part = 'train'").drop("part"), frame.filter("part = 'test'").drop("part"), resample, seed
     )
+    prepared.train.count()  # both parts are cached now, so the joint frame can go
+    frame.unpersist()
     return prepared
 
 
@@ -191,8 +200,13 @@ class Trained:
         return literal_rows(spark, rows, ["model_order", "model", "metric", "value"])
 
 
-def train_models(base: DataFrame, learners: dict[str, Callable] | None = None, resample: bool = True) -> Trained:
-    trained = Trained(prepare_split(base, resample=resample))
+def train_models(
+    base: DataFrame,
+    learners: dict[str, Callable] | None = None,
+    resample: bool = True,
+    stats: FeatureStats | None = None,
+) -> Trained:
+    trained = Trained(prepare_split(base, resample=resample, stats=stats))
     for name, learner in (learners or LEARNERS).items():
         trained.models[name] = learner(trained.prepared)
         trained.measured[name] = test_metrics(trained.models[name], trained.prepared.test)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.functions.metrics import count_if, mean, percent_of_count, sum_if
 from keepsake.schema import SERVICE_FLAGS, Tables
 
+# Most ids that are broadcast without asking Spark for their size.
+BROADCAST_ROWS = 10_000
+
 PROFILE = [
     "customer_id", "gender", "senior_citizen", "partner", "dependents",
     "tenure_months", "monthly_charges", "total_charges", "churn",
@@ -52,12 +57,29 @@ def services_summary(tables: Tables) -> DataFrame:
     held = tables.customer_services.join(F.broadcast(names), "service_type_id")
     return held.groupBy("customer_id").agg(
         *[
-            F.bool_or(F.when(F.col("service_name") == service, F.col("is_subscribed")).otherwise(False)).alias(flag)
+            F.expr(f"bool_or(CASE WHEN service_name = '{service}' THEN is_subscribed ELSE FALSE END) AS {flag}")
             for flag, service in SERVICE_FLAGS.items()
         ]
     )
 
 
+def only_for(tables: Tables, chosen: DataFrame, limit: int) -> Tables:
+    """The tables cut down to a limited choice of customers.
+
+    Contracts and services are filtered while they are scanned, before any shuffle. The ids
+    are broadcast when the limit proves them few; beyond that Spark picks the join.
+    """
+    ids = chosen.select("customer_id")
+    if limit <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return replace(
+        tables,
+        customers=chosen,
+        customer_contracts=tables.customer_contracts.join(ids, "customer_id", "left_semi"),
+        customer_services=tables.customer_services.join(ids, "customer_id", "left_semi"),
+    )
+
+
 def churn_summary(tables: Tables) -> DataFrame:
     return tables.customers.agg(
         F.count(F.lit(1)).alias("total_customers"),
@@ -80,10 +102,9 @@ def feature_base(tables: Tables) -> DataFrame:
 
 
 def get_customers(tables: Tables, limit: int = 100, churn_only: bool = False) -> DataFrame:
-    full = customer_full(tables)
-    if churn_only:
-        full = full.filter("churn")
-    return full.orderBy("customer_id").limit(limit)
+    kept = tables.customers.filter("churn") if churn_only else tables.customers
+    first = kept.orderBy("customer_id").limit(limit)
+    return customer_full(only_for(tables, first, limit)).orderBy("customer_id")
 
 
 def customer_by_id(tables: Tables, customer_id: str) -> DataFrame:
@@ -91,36 +112,34 @@ def customer_by_id(tables: Tables, customer_id: str) -> DataFrame:
 
 
 def list_customers(tables: Tables, limit: int = 20, offset: int = 0) -> DataFrame:
+    page = tables.customers.orderBy("customer_id").offset(offset).limit(limit)
     return (
-        with_contract(tables)
+        with_contract(only_for(tables, page, limit))
         .select(*PROFILE, F.col("contract_name").alias("contract_type"), "payment_method")
         .orderBy("customer_id")
-        .offset(offset)
-        .limit(limit)
     )
 
 
 def at_risk_profile(tables: Tables, limit: int = 50) -> DataFrame:
     """Active month-to-month customers in their first year, dearest first."""
-    return (
-        feature_base(tables)
-        .filter(
-            (~F.col("churn")) & (F.col("contract_type") == "Month-to-month") & (F.col("tenure_months") <= 12)
-        )
+    top = (
+        with_contract(replace(tables, customers=tables.customers.filter("NOT churn AND tenure_months <= 12")), "inner")
+        .filter(F.col("contract_name") == "Month-to-month")
         .orderBy(F.col("monthly_charges").desc(), "customer_id")
         .limit(limit)
+        .select(*PROFILE)
     )
+    return feature_base(only_for(tables, top, limit)).orderBy(F.col("monthly_charges").desc(), "customer_id")
 
 
 def search_customers(tables: Tables, term: str, limit: int = 20) -> DataFrame:
     """Case-insensitive match anywhere in the id; % and _ in the term are wildcards."""
+    hits = tables.customers.filter(F.col("customer_id").ilike(f"%{term}%")).orderBy("customer_id").limit(limit)
     return (
-        with_contract(tables)
-        .filter(F.col("customer_id").ilike(f"%{term}%"))
+        with_contract(only_for(tables, hits, limit))
         .select(
             "customer_id", "gender", "senior_citizen", "tenure_months", "monthly_charges", "churn",
             F.col("contract_name").alias("contract_type"),
         )
         .orderBy("customer_id")
-        .limit(limit)
     )

@@ -930,6 +930,11 @@ def statements() -> dict[str, str]:
         f"SELECT f.customer_id, {scaled} FROM features f, (SELECT {moments} FROM features"
         " JOIN parts USING (customer_id) WHERE part = 'train') s"
     )
+    sql["m03_smote"] = (
+        "SELECT CAST(label AS BIGINT) AS churn, FALSE AS synthetic, COUNT(*) AS n FROM parts WHERE part = 'train' GROUP BY 1"
+        " UNION ALL SELECT 1, TRUE, COUNT(*) FILTER (WHERE label = 0) - COUNT(*) FILTER (WHERE label = 1)"
+        " FROM parts WHERE part = 'train'"
+    )
     sql["m04_class_weights"] = (
         "SELECT CAST(label AS BIGINT) AS churn, n, total / (2.0 * n) AS weight, neg / CAST(pos AS DOUBLE) AS scale_pos_weight"
         " FROM (SELECT label, COUNT(*) AS n FROM parts WHERE part = 'train' GROUP BY 1), (SELECT CAST(COUNT(*) AS DOUBLE) AS total,"

@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 from keepsake.functions import bands, ranking
 from keepsake.functions.metrics import count_if
 from keepsake.operators import (
-    analytics, evaluate, explain, features as feat, reports, scoring, splits, views,
+    analytics, evaluate, explain, features as feat, reports, resampling, scoring, splits, training, trees, views,
 )
+from keepsake.plans import job
 from keepsake.plans.fixed_model import fixed_model
 from keepsake.plans.oracle import GROUPS
 from keepsake.schema import FEATURES, Tables, literal_rows
@@ -287,6 +288,55 @@ def _compare_models(t: Tables) -> DataFrame:
     return _rounded(compared, *[c for c in compared.columns if c not in ("model", "is_best")])
 
 
+# --- training ---------------------------------------------------------------------------------
+
+
+def _resampled(t: Tables) -> DataFrame:
+    """Class sizes after oversampling the scaled train rows."""
+    train = splits.stratified_split(_training_frame(t)).filter("part = 'train'").drop("part")
+    scaled = splits.Scaler.fit(train, FEATURES).transform(train)
+    return resampling.smote(scaled, FEATURES).groupBy("churn", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _trained(name: str) -> Query:
+    """Test metrics of one learner, fitted on the balanced train part."""
+
+    def measure(t: Tables) -> DataFrame:
+        trained = training.train_models(views.feature_base(t), {name: training.LEARNERS[name]})
+        trained.prepared.release()
+        return trained.long(t.customers.sparkSession).select("model", "metric", "value")
+
+    return _on_tables(measure)
+
+
+def _cross_validated(t: Tables) -> DataFrame:
+    return training.cross_validate(views.feature_base(t), training.fit_forest)
+
+
+def _run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "runs")
+    base = views.feature_base(retention_tables(spark, sf_dir))
+    trained = training.train_models(base, {"RandomForest": training.fit_forest})
+    training.log_runs(trained, path, spark, "run-1", AS_OF)
+    trained.prepared.release()
+    return portable(spark.read.parquet(path))
+
+
+def _job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = retention_tables(spark, sf_dir)
+    return portable(
+        job.run(tables, new_path(spark, "job"), AS_OF, {"LogisticRegression": training.fit_logistic})
+    )
+
+
+def _tree_attribution(t: Tables) -> DataFrame:
+    """Every test row explained against the scaled mean, summed up per feature."""
+    prepared = training.prepare_split(views.feature_base(t))
+    forest = training.fit_forest(prepared)
+    explained = trees.tree_attributions(prepared.test, forest, FEATURES, max_rows=None)
+    return trees.tree_importance(explained)
+
+
 # --- scoring and attribution ------------------------------------------------------------------
 
 
@@ -473,12 +523,19 @@ def all_queries() -> dict[str, Query]:
         "f11_class_balance": _on_tables(lambda t: feat.class_balance(_labelled(t))),
         "m01_split": _on_tables(_split),
         "m02_standardise": _on_tables(_standardise),
+        "m03_smote": _on_tables(_resampled),
         "m04_class_weights": _on_tables(_class_weights),
+        "m05_logistic_regression": _trained("LogisticRegression"),
+        "m06_random_forest": _trained("RandomForest"),
+        "m07_boosted_trees": _trained("GradientBoosting"),
+        "m08_cross_validation": _on_tables(_cross_validated),
         "m09_metrics": _on_tables(lambda t: _rounded(_metrics(t), "value")),
         "m10_roc_points": _on_tables(lambda t: evaluate.roc_points(_judged(t), score="risk_score")),
         "m11_confusion_matrix": _on_tables(lambda t: evaluate.confusion_matrix(_judged(t))),
         "m12_compare_models": _on_tables(_compare_models),
         "m13_check_targets": _on_tables(_targets),
+        "m14_run_log": _run_log,
+        "m15_training_job": _job,
         "p01_score": _on_scored(lambda df: df.select("customer_id", "churn_probability", "churn_prediction")),
         "p02_risk_levels": _on_scored(
             lambda df: df.select(
@@ -487,6 +544,7 @@ def all_queries() -> dict[str, Query]:
         ),
         "p03_linear_attribution": _on_scored(_attributions),
         "p03b_centred_attribution": _on_scored(_centred),
+        "p04_tree_attribution": _on_tables(_tree_attribution),
         "p05_top_reasons": _on_tables(_reasons),
         "p06_reason_text": _on_scored(_reason_text),
         "p07_top_reason": _on_scored(
