@@ -57,15 +57,19 @@ def running_totals(df: DataFrame, order: Sequence[str | Column], totals: Sequenc
     return _run_totals(_placed(df, order), order, totals)
 
 
-def global_positions(df: DataFrame, order: Sequence[str | Column], name: str = "position") -> DataFrame:
-    """Add the 1-based row number over the whole frame; one range shuffle, no window."""
-    placed = cut_lineage(
+def _sorted_rows(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """Range partitions, sorted, with partition and row number inside it; no window."""
+    return cut_lineage(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(_ROW_BITS))
-        .withColumn("_one", F.lit(1).cast("long"))
     )
+
+
+def global_positions(df: DataFrame, order: Sequence[str | Column], name: str = "position") -> DataFrame:
+    """Add the 1-based row number over the whole frame; one range shuffle."""
+    placed = _sorted_rows(df, order).withColumn("_one", F.lit(1).cast("long"))
     out = _with_offsets(placed, ["_one"])
     return out.withColumn(name, F.col("_row") + 1 + F.col("_one_offset")).drop(
         "_part", "_row", "_one", "_one_offset"
@@ -90,10 +94,31 @@ def _histogram(counts: DataFrame) -> DataFrame:
     return _run_totals(counts, ["ranking", "value"], ["n"])
 
 
-def _standing_at(frame: DataFrame, places: list[int]) -> DataFrame:
-    wanted = F.array(*[F.lit(p).cast("long") for p in places])
-    inside = F.filter(wanted, lambda p: (p > F.col("n_before")) & (p <= F.col("n_through")))
-    return frame.withColumn("places", inside).filter(F.size("places") > 0)
+def _before_each(sizes: dict[int, int]) -> dict[int, int]:
+    """Rows standing before each partition."""
+    before, total = {}, 0
+    for part in sorted(sizes):
+        before[part] = total
+        total += sizes[part]
+    return before
+
+
+def _standing_at(counts: DataFrame, sizes: dict[int, int], places: set[int]) -> list:
+    """The histogram rows that cover the places; only the partitions holding one are read on."""
+    before = _before_each(sizes)
+    parts = sorted({p for p, first in before.items() for at in places if first < at <= first + sizes[p]})
+    if not parts:
+        return []
+    first = F.create_map(*[F.lit(x).cast("long") for p in parts for x in (p, before[p])])
+    through = W.partitionBy("_part").orderBy("ranking", "value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ran = counts.filter(F.col("_part").isin(parts)).select(
+        "ranking", "value", "n",
+        (F.sum("n").over(through) + F.element_at(first, F.col("_part").cast("long"))).alias("n_through"),
+    )
+    wanted = F.array(*[F.lit(p).cast("long") for p in sorted(places)])
+    covered = F.filter(wanted, lambda p: (p > F.col("n_through") - F.col("n")) & (p <= F.col("n_through")))
+    rows = ran.withColumn("places", covered).filter(F.size("places") > 0).collect()
+    return sorted(rows, key=lambda r: r["n_through"])
 
 
 def look_up(
@@ -115,10 +140,13 @@ def look_up(
     stacked = _stack(df, values, tie)
     counts = _value_counts(stacked)
     given = F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0))
-    spans, first = {}, 0
-    per_column = counts.groupBy("ranking").agg(F.sum("n").alias("rows"), given.alias("given")).collect()
-    for row in sorted(per_column, key=lambda r: r["ranking"]):  # one row per column
-        spans[row["ranking"]] = {"first": first, "rows": row["rows"], "given": row["given"]}
+    spans, sizes, first = {}, {}, 0
+    per_part = counts.groupBy("ranking", "_part").agg(F.sum("n").alias("rows"), given.alias("given")).collect()
+    for row in sorted(per_part, key=lambda r: (r["ranking"], r["_part"])):  # one row per column and partition
+        span = spans.setdefault(row["ranking"], {"first": first, "rows": 0, "given": 0})
+        span["rows"] += row["rows"]
+        span["given"] += row["given"]
+        sizes[row["_part"]] = sizes.get(row["_part"], 0) + row["rows"]
         first += row["rows"]
     cut_places = {
         n: [spans[n]["first"] + p for p in places(spans[n]["rows"]) if 0 < p < spans[n]["rows"]]
@@ -135,8 +163,7 @@ def look_up(
     }
     wanted = {p for places in cut_places.values() for p in places}
     wanted |= {start + f(at) for pairs in quantile_places.values() for start, at in pairs for f in (math.floor, math.ceil)}
-    hits = _standing_at(_histogram(counts), sorted(wanted)).collect() if wanted else []
-    hits.sort(key=lambda r: r["n_through"])
+    hits = _standing_at(counts, sizes, wanted)
     at_place = {place: hit for hit in hits for place in hit["places"]}
 
     found = _tied_rows(stacked, at_place, sorted({p for places in cut_places.values() for p in places}))
@@ -170,11 +197,18 @@ def _tied_rows(stacked: DataFrame, at_place: dict, places: list[int]) -> dict[in
         same = (F.col("ranking") == name) & F.col("value").eqNullSafe(F.lit(value))
         held = same if held is None else held | same
         hit = at_place[inside[0]]
-        local.update({before + place - hit["n_before"]: place for place in inside})
+        local.update({before + place - (hit["n_through"] - hit["n"]): place for place in inside})
         before += hit["n"]
-    placed = global_positions(stacked.filter(held), ["ranking", "value", "tie"])
-    for row in placed.filter(F.col("position").isin(list(local))).collect():
-        found[local[row["position"]]] = (row["value"], row["tie"])
+    rows = _sorted_rows(stacked.filter(held), ["ranking", "value", "tie"])
+    sizes = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}  # one row per partition
+    before, at_row, standing = _before_each(sizes), {}, None
+    for position in local:
+        part = next(p for p, first in before.items() if first < position <= first + sizes[p])
+        at_row[part, position - before[part] - 1] = local[position]
+        here = (F.col("_part") == part) & (F.col("_row") == position - before[part] - 1)
+        standing = here if standing is None else standing | here
+    for row in rows.filter(standing).collect():
+        found[at_row[row["_part"], row["_row"]]] = (row["value"], row["tie"])
     return found
 
 

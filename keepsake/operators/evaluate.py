@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keepsake.functions.metrics import count_if
+from keepsake.functions.metrics import count_if, sum_if
 from keepsake.functions.ranking import running_totals
 from keepsake.schema import METRIC_TARGETS, literal_rows
+from keepsake.storage import cut_lineage
 
 
-def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Positives and negatives per distinct score, with running sums from the highest score down."""
-    counts = df.groupBy(F.col(score).cast("double").alias("score")).agg(
+def _label_counts(df: DataFrame, label: str, keys: list[Column]) -> DataFrame:
+    return df.groupBy(*keys).agg(
         count_if(F.col(label) == 1).alias("pos"), count_if(F.col(label) == 0).alias("neg")
     )
+
+
+def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
+    return _label_counts(df, label, [F.col(score).cast("double").alias("score")])
+
+
+def _ranked(counts: DataFrame) -> DataFrame:
+    """Running sums from the highest score down."""
     return running_totals(counts, [F.desc("score")], ["pos", "neg"])
 
 
@@ -39,13 +47,13 @@ def confusion_matrix(df: DataFrame, label: str = "churn", prediction: str = "chu
     return counted.select(F.explode("cells").alias("c")).select("c.*")
 
 
-def class_metrics(df: DataFrame, label: str = "churn", prediction: str = "churn_prediction") -> DataFrame:
-    y, p = F.col(label), F.col(prediction)
-    cells = df.agg(
-        count_if((y == 1) & (p == 1)).alias("tp"),
-        count_if((y == 0) & (p == 1)).alias("fp"),
-        count_if((y == 1) & (p == 0)).alias("fn"),
-        count_if((y == 0) & (p == 0)).alias("tn"),
+def _class_metrics(counts: DataFrame) -> DataFrame:
+    hit = F.col("prediction") == 1
+    cells = counts.agg(
+        sum_if(hit, F.col("pos")).alias("tp"),
+        sum_if(hit, F.col("neg")).alias("fp"),
+        sum_if(~hit, F.col("pos")).alias("fn"),
+        sum_if(~hit, F.col("neg")).alias("tn"),
     )
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return cells.select(
@@ -56,12 +64,12 @@ def class_metrics(df: DataFrame, label: str = "churn", prediction: str = "churn_
     )
 
 
-def rank_metrics(df: DataFrame, label: str = "churn", score: str = "probability") -> DataFrame:
+def _rank_metrics(counts: DataFrame) -> DataFrame:
     """ROC-AUC (rank sum, ties shared) and average precision (step sum), without binning."""
-    counts = _score_counts(df, label, score)
+    ranked = _ranked(counts.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
     beaten = F.sum(F.col("neg") * (F.col("pos_before") + F.col("pos") / 2.0))
     precision = F.col("pos_through") / (F.col("pos_through") + F.col("neg_through"))
-    return counts.agg(
+    return ranked.agg(
         F.try_divide(beaten, F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("roc_auc"),
         F.try_divide(F.sum(F.col("pos") * precision), F.sum("pos")).alias("avg_precision"),
     )
@@ -70,9 +78,10 @@ def rank_metrics(df: DataFrame, label: str = "churn", score: str = "probability"
 def metrics(
     df: DataFrame, label: str = "churn", prediction: str = "churn_prediction", score: str = "probability"
 ) -> DataFrame:
-    """The six test metrics in long form."""
-    by_class = class_metrics(df, label, prediction)
-    by_rank = rank_metrics(df, label, score)
+    """The six test metrics in long form, from one pass: label counts per score and prediction."""
+    keys = [F.col(score).cast("double").alias("score"), F.col(prediction).alias("prediction")]
+    counts = cut_lineage(_label_counts(df, label, keys))
+    by_class, by_rank = _class_metrics(counts), _rank_metrics(counts)
     return by_class.unpivot([], by_class.columns, "metric", "value").unionByName(
         by_rank.unpivot([], by_rank.columns, "metric", "value")
     )
@@ -80,7 +89,7 @@ def metrics(
 
 def roc_points(df: DataFrame, label: str = "churn", score: str = "probability") -> DataFrame:
     """One point per distinct score, plus the origin (null threshold)."""
-    counts = _score_counts(df, label, score)
+    counts = _ranked(_by_score(df, label, score))
     all_pos, all_neg = counts.agg(F.sum("pos"), F.sum("neg")).first()
     points = counts.select(
         F.col("score").alias("threshold"),

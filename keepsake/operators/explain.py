@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keepsake.operators.features import computed_once
 from keepsake.operators.scoring import LinearModel
 
 # Readable names, online and in the batch tool.
@@ -61,22 +62,37 @@ def scaled_means(features: DataFrame, model: LinearModel) -> list[float]:
     return list(row)
 
 
-def _entries(model: LinearModel, background: list[float] | None, fields: dict[str, str]) -> str:
-    """SQL text of an array with one record per feature; {i}, {name} and {phi} stand for its own."""
-    records = []
-    for i, name in enumerate(model.features):
-        parts = ", ".join(
-            f"'{field}', " + text.format(i=i, name=name, phi=attribution(model, i, background))
-            for field, text in fields.items()
-        )
-        records.append(f"named_struct({parts})")
-    return f"array({', '.join(records)})"
+def _doubles(values: list[float]) -> str:
+    return "array(" + ", ".join(f"{v!r}D" for v in values) + ")"
+
+
+def _values(model: LinearModel) -> str:
+    return "array(" + ", ".join(f"CAST({f} AS DOUBLE)" for f in model.features) + ")"
+
+
+def _phi(model: LinearModel, background: list[float] | None) -> str:
+    """SQL text of the attribution of value x at 0-based position i.
+
+    Looking the coefficients up by position keeps the generated code small however many
+    features there are; spelled out per feature it outgrows what the JVM compiles.
+    """
+    x = f"(x - {_doubles(model.mean)}[i]) / {_doubles(model.std)}[i]"
+    if background is not None:
+        x = f"({x} - {_doubles(background)}[i])"
+    return f"{_doubles(model.coef)}[i] * ({x})"
+
+
+def _feature_names(model: LinearModel) -> str:
+    return "array(" + ", ".join(f"'{f}'" for f in model.features) + ")"
 
 
 def attributions(df: DataFrame, model: LinearModel, background: list[float] | None = None) -> DataFrame:
     """Long form: one row per record and feature."""
-    fields = {"position": "{i}", "feature": "'{name}'", "value": "CAST({name} AS DOUBLE)", "phi": "{phi}"}
-    return df.selectExpr("customer_id", f"inline({_entries(model, background, fields)})")
+    record = (
+        f"named_struct('position', i, 'feature', {_feature_names(model)}[i], 'value', x,"
+        f" 'phi', {_phi(model, background)})"
+    )
+    return df.selectExpr("customer_id", f"inline(transform({_values(model)}, (x, i) -> {record}))")
 
 
 def _names(mapping: dict[str, str], feature: Column) -> Column:
@@ -102,32 +118,33 @@ def top_reasons(
     Structs sort field by field, so ascending order on (-|phi|, -position) puts the
     largest first and, on a tie, the later feature.
     """
-    fields = {
-        "rank_key": "-ABS({phi})", "back": "-{i}", "feature": "'{name}'",
-        "value": "CAST({name} AS DOUBLE)", "phi": "{phi}",
-    }
-    entries = F.expr(_entries(model, background, fields))
+    phis = f"transform({_values(model)}, (x, i) -> {_phi(model, background)})"
+    ranked = "transform(_phis, (p, i) -> named_struct('rank_key', -abs(p), 'back', -i, 'phi', p))"
+    best = computed_once(
+        computed_once(df, {"_phis": phis}), {"_best": f"slice(sort_array({ranked}), 1, {n})"}, drop=("_phis",)
+    )
+    held, features = F.expr(_values(model)), F.expr(_feature_names(model))
 
     def reason(entry: Column) -> Column:
+        place = F.lit(1) - entry["back"]
+        feature = F.element_at(features, place)
         direction = F.when(entry["phi"] > 0, "increases").otherwise("decreases")
         return F.struct(
-            entry["feature"].alias("feature"),
-            entry["value"].alias("value"),
+            feature.alias("feature"),
+            F.element_at(held, place).alias("value"),
             F.abs(entry["phi"]).alias("impact"),
             direction.alias("direction"),
             entry["phi"].alias("shap_value"),
-            reason_text(entry["feature"], direction, names).alias("description"),
+            reason_text(feature, direction, names).alias("description"),
         )
 
-    best = F.slice(F.array_sort(entries), 1, n)
-    return df.withColumn("top_reasons", F.transform(best, reason))
+    return computed_once(best, {"top_reasons": F.transform("_best", reason)}, drop=("_best",))
 
 
 def top_reason(df: DataFrame, model: LinearModel, background: list[float] | None = None) -> DataFrame:
     """Only the leading feature's name per record; on a tie the earlier feature."""
-    fields = {"rank_key": "-ABS({phi})", "position": "{i}", "feature": "'{name}'"}
-    leading = F.array_min(F.expr(_entries(model, background, fields)))
-    return df.withColumn("top_reason", leading["feature"])
+    ranked = f"transform({_values(model)}, (x, i) -> named_struct('rank_key', -abs({_phi(model, background)}), 'at', i))"
+    return df.withColumn("top_reason", F.expr(f"{_feature_names(model)}[array_min({ranked}).at]"))
 
 
 def reason_rows(with_reasons: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.functions import ranking
@@ -56,7 +56,7 @@ def _add(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr("*", *[f"{text} AS {name}" for name, text in columns.items()])
 
 
-def computed_once(df: DataFrame, columns: dict[str, str], drop: tuple[str, ...] = ()) -> DataFrame:
+def computed_once(df: DataFrame, columns: dict[str, str | Column], drop: tuple[str, ...] = ()) -> DataFrame:
     """Add columns as one generated record.
 
     The optimizer copies a column's expression into every later use and filter. For
@@ -64,9 +64,9 @@ def computed_once(df: DataFrame, columns: dict[str, str], drop: tuple[str, ...]
     planning takes longer than the query. A one-record `inline` is evaluated once per row,
     stays in generated code, and later expressions and filters just refer to its output.
     """
-    record = ", ".join(f"'{name}', {text}" for name, text in columns.items())
+    fields = [(F.expr(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()]
     kept = [c for c in df.columns if c not in columns and c not in drop]
-    return df.selectExpr(*kept, f"inline(array(named_struct({record})))")
+    return df.select(*kept, F.inline(F.array(F.struct(*fields))))
 
 
 def profile_to_request(base: DataFrame) -> DataFrame:

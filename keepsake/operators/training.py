@@ -132,10 +132,7 @@ def predict(model, scaled: DataFrame) -> DataFrame:
 
 
 def test_metrics(model, scaled: DataFrame) -> dict[str, float]:
-    judged = predict(model, scaled).persist()
-    values = {r["metric"]: r["value"] for r in evaluate.metrics(judged).collect()}  # six rows
-    judged.unpersist()
-    return values
+    return {r["metric"]: r["value"] for r in evaluate.metrics(predict(model, scaled)).collect()}  # six rows
 
 
 def to_linear(model, scaler: Scaler, name: str = "LogisticRegression") -> LinearModel:
