@@ -61,7 +61,7 @@ def _nearest_in_blocks(k: int, chunk: int = 256):
     return nearest
 
 
-def nearest_neighbours(distinct: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
+def nearest_neighbours(distinct: DataFrame, k: int, block_rows: int = 16384) -> DataFrame:
     """Up to k nearest other distinct rows per row, closest first: (row_id, other_id, copies, distance, place).
 
     Every row is sent once per block of the other side; the emitted rows are k per row and block.
@@ -95,7 +95,7 @@ def smote(
     label: str = "churn",
     k: int = 5,
     seed: int = 42,
-    block_rows: int = 4096,
+    block_rows: int = 16384,
 ) -> DataFrame:
     """Raise the smaller class to the size of the larger one.
 
