@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import mixing, packing, token_counts, token_files, url_rules
+from keepsake.llm import jaccard, language, mixing, packing, substring, token_counts, token_files, url_rules
 from keepsake.llm.store import new_path, table
 
 URL_RULES = [
@@ -34,11 +34,22 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    return found.select("doc_id", (language.fold_of(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.dedup(docs, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 #: Runs of signs that the cleaning before the third batch takes out.
 SIGN_RUNS = "[*%$&#!]{2,}"
 
@@ -62,13 +73,20 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_token_files": op2_token_files,
         "op3_packing": op3_packing,
+        "op5_language": op5_language,
         "op6_url_rules": op6_url_rules,
+        "op8_substring": op8_substring,
         "op9_token_counts": op9_token_counts,
+        "op10_jaccard": op10_jaccard,
     }
 
 
