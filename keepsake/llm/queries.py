@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import jaccard, language, mixing, packing, substring, token_counts, token_files, url_rules
+from keepsake.llm import (
+    embedding_dedup, jaccard, language, mixing, neighbours, packing, substring, token_counts, token_files, url_rules,
+)
 from keepsake.llm.store import new_path, table
 
 URL_RULES = [
@@ -34,6 +36,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs.select("doc_id", "text"), language.fit(docs))
@@ -45,6 +51,11 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.dedup(docs, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -82,8 +93,10 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op2_token_files": op2_token_files,
         "op3_packing": op3_packing,
+        "op4_embedding_dedup": op4_embedding_dedup,
         "op5_language": op5_language,
         "op6_url_rules": op6_url_rules,
+        "op7_neighbours": op7_neighbours,
         "op8_substring": op8_substring,
         "op9_token_counts": op9_token_counts,
         "op10_jaccard": op10_jaccard,
