@@ -207,7 +207,9 @@ def fit(docs: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with lang_pred and score; only the text is read for them."""
+    """The documents with lang_pred and score; only the text is read for them. Columns of
+    these names in the input are replaced."""
+    docs = docs.drop("lang_pred", "score")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

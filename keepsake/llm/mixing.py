@@ -116,8 +116,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = BL
     reaches; every document comes at least once.
 
     The schedule has one row per source and one number per slot of a cycle; buckets have at
-    most one row per source and bucket.
+    most one row per source and bucket. Columns ``mix_*`` of the input are replaced.
     """
+    docs = docs.drop("mix_epoch", "mix_block", "mix_slot", "mix_start")
     sized = _sizes(docs)
     rows = docs.count()
     bucket = F.substring("_key", 1, _bucket_digits(rows))

@@ -157,8 +157,9 @@ def factors_of(n_words: int, runs: list[dict]) -> list[tuple[int, int]]:
 def dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
     """The documents with n_words, n_removed, kept_sha256, spans (word start and length of the
     removed factors) and, with ``texts``, kept_text: the text itself where nothing is removed,
-    else the kept words joined by one space."""
-    extra = [c for c in docs.columns if c not in ("doc_id", "text")] if texts else []
+    else the kept words joined by one space. Columns of these names in the input are replaced."""
+    own = ("doc_id", "text", "n_words", "n_removed", "kept_sha256", "spans", "kept_text", "runs", "_doc", "_key")
+    extra = [c for c in docs.columns if c not in own] if texts else []
     schema = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *extra).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
