@@ -105,40 +105,42 @@ def revenue_impact(tables: Tables) -> DataFrame:
 
 
 def service_adoption(tables: Tables) -> DataFrame:
-    """Churn with and without each service.
+    """Churn with and without each service of the service table.
 
-    Each customer becomes two bit sets (subscribed services, services with a row that
-    is not subscribed); a customer counts as "without" when such a row exists or none
-    does. That equals the distinct counts over every customer x service pair, but the
-    pairs are never built: customers are counted per bit-set combination first, and only
-    those counts are expanded over the eleven services.
+    A customer counts as "without" when a row says so or none exists. That equals the distinct
+    counts over every customer x service pair, but the pairs are never built: subscriptions
+    are counted per service, and "without" is all customers less those who only have rows
+    that subscribe. The totals of all customers travel as one more row of these counts.
     """
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("service_type_id"))
     held = F.coalesce("is_subscribed", F.lit(False))
-    sets = tables.customer_services.groupBy("customer_id").agg(
-        F.bit_or(F.when(held, bit).otherwise(0)).alias("on"),
-        F.bit_or(F.when(~held, bit).otherwise(0)).alias("off"),
+    pairs = tables.customer_services.groupBy("customer_id", "service_type_id").agg(
+        F.max(held).alias("has"), F.max(~held).alias("refuses")
     )
-    nothing = F.lit(0).cast("long")
-    profiles = (
-        tables.customers.select("customer_id", "churn")
-        .join(sets, "customer_id", "left")
-        .groupBy("churn", F.coalesce("on", nothing).alias("on"), F.coalesce("off", nothing).alias("off"))
-        .agg(_rows().alias("n"))
-    )
-    ids = F.array(*[F.lit(row[0]) for row in SERVICE_TYPES])
-    pairs = profiles.select("*", F.explode(ids).alias("service_type_id"))
-    has = F.col("on").bitwiseAND(bit) != 0
-    lacks = (F.col("off").bitwiseAND(bit) != 0) | ~has
-    counts = (
-        pairs.groupBy("service_type_id")
+    only = F.col("has") & ~F.col("refuses")
+    counted = (
+        pairs.join(tables.customers.select("customer_id", "churn"), "customer_id")
+        .groupBy("service_type_id")
         .agg(
-            sum_if(has, F.col("n")).alias("customers_with_service"),
-            sum_if(has & _lost(), F.col("n")).alias("churned_with_service"),
-            sum_if(lacks, F.col("n")).alias("customers_without_service"),
-            sum_if(lacks & _lost(), F.col("n")).alias("churned_without_service"),
+            count_if(F.col("has")).alias("customers_with_service"),
+            count_if(F.col("has") & _lost()).alias("churned_with_service"),
+            count_if(only).alias("only"),
+            count_if(only & _lost()).alias("churned_only"),
         )
-        .join(F.broadcast(tables.service_types.select("service_type_id", "service_name")), "service_type_id")
+    )
+    listed = tables.service_types.select("service_type_id", "service_name").join(counted, "service_type_id", "left")
+    totals = tables.customers.agg(_rows().alias("everyone"), count_if(_lost()).alias("everyone_lost"))
+    # a row per service and one of totals
+    together = W.partitionBy(F.lit(0))
+    nothing = F.lit(0).cast("long")
+    both = listed.unionByName(totals, allowMissingColumns=True).withColumns(
+        {c: F.max(c).over(together) for c in ("everyone", "everyone_lost")}
+        | {c: F.coalesce(c, nothing) for c in ("customers_with_service", "churned_with_service", "only", "churned_only")}
+    )
+    counts = both.filter("service_type_id is not null").withColumns(
+        {
+            "customers_without_service": F.col("everyone") - F.col("only"),
+            "churned_without_service": F.col("everyone_lost") - F.col("churned_only"),
+        }
     )
     return counts.select(
         "service_name",
@@ -335,7 +337,7 @@ def service_bundles(tables: Tables) -> DataFrame:
     names = tables.service_types.select("service_type_id", "service_name")
     bundles = (
         tables.customer_services.filter("is_subscribed")
-        .join(F.broadcast(names), "service_type_id")
+        .join(names, "service_type_id")
         .groupBy("customer_id")
         .agg(F.array_join(F.array_sort(F.collect_set("service_name")), " + ").alias("service_bundle"))
     )

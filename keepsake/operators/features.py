@@ -70,11 +70,14 @@ def computed_once(df: DataFrame, columns: dict[str, str | Column], drop: tuple[s
 
 
 def profile_to_request(base: DataFrame) -> DataFrame:
-    """Stored profile to scoring request: one internet field (fiber wins), plain doubles."""
+    """Stored profile to scoring request: one internet field (fiber wins), plain doubles.
+
+    A missing total is repaired as on loading: monthly charges times tenure, or 0.
+    """
     return base.selectExpr(
         "customer_id", "gender", "senior_citizen", "partner", "dependents", "tenure_months",
         "CAST(monthly_charges AS DOUBLE) AS monthly_charges",
-        "CAST(total_charges AS DOUBLE) AS total_charges",
+        "COALESCE(CAST(total_charges AS DOUBLE), CAST(monthly_charges AS DOUBLE) * tenure_months, 0D) AS total_charges",
         "contract_type", "payment_method",
         "COALESCE(paperless_billing, FALSE) AS paperless_billing",
         "has_phone_service AS phone_service",

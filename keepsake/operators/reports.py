@@ -85,11 +85,15 @@ def risk_distribution(scored: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int) -> DataFrame:
-    """Equal-width bins over [low, high]; the top edge belongs to the last bin."""
-    at = F.least(F.floor((value - low) / ((high - low) / bins)), F.lit(bins - 1))
-    inside = df.filter(value.between(low, high))
+    """Equal-width bins 0 to bins - 1 over [low, high]; the top edge belongs to the last bin.
+
+    Bin -1 counts the values below, bin `bins` those above (NaN too), and bin null the
+    missing ones, so the counts add up to the rows.
+    """
+    inside = F.least(F.floor((value - low) / ((high - low) / bins)), F.lit(bins - 1))
+    at = F.when(value < low, F.lit(-1)).when(value > high, F.lit(bins)).when(value.isNotNull(), inside)
     return (
-        inside.groupBy(at.cast("int").alias("bin"))
+        df.groupBy(at.cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy("bin")
     )
@@ -120,21 +124,20 @@ def risk_list(
     min_probability: float = 0.5,
     levels: list[str] | None = None,
     id_contains: str = "",
-    max_rows: int = 100,
+    max_rows: int | None = None,
 ) -> DataFrame:
-    """Filtered risk list, most at risk first."""
+    """Filtered risk list, most at risk first; all of it unless the caller names a limit."""
     kept = scored.filter(_p() >= min_probability)
     if levels:
         kept = kept.filter(F.upper("risk_level").isin([level.upper() for level in levels]))
     if id_contains:
         kept = kept.filter(F.contains(F.lower("customer_id"), F.lit(id_contains.lower())))
-    return (
-        kept.orderBy(F.desc("churn_probability"), "customer_id")
-        .limit(max_rows)
-        .select(
-            "customer_id", "churn_probability", "risk_level", "contract_type", "tenure_months",
-            "monthly_charges", "payment_method",
-        )
+    listed = kept.orderBy(F.desc("churn_probability"), "customer_id")
+    if max_rows is not None:
+        listed = listed.limit(max_rows)
+    return listed.select(
+        "customer_id", "churn_probability", "risk_level", "contract_type", "tenure_months",
+        "monthly_charges", "payment_method",
     )
 
 
@@ -233,7 +236,8 @@ def best_scenario(compared: DataFrame) -> DataFrame:
 
 
 def feature_categories(features: DataFrame) -> DataFrame:
-    """Features per category by keyword; one feature may count in several."""
+    """Features per category by keyword and their measured importance, summed; one feature may
+    count in several."""
     name = F.lower("feature")
 
     def belongs(keywords: list[str]) -> Column:
@@ -246,10 +250,8 @@ def feature_categories(features: DataFrame) -> DataFrame:
         F.array(*[F.when(belongs(k), F.lit(c)) for c, k in FEATURE_CATEGORIES.items()])
     )
     return (
-        features.select("feature")
-        .distinct()
-        .select(F.explode(categories).alias("category"))
+        features.select(F.explode(categories).alias("category"), "importance")
         .groupBy("category")
-        .agg(F.count(F.lit(1)).alias("n_features"))
+        .agg(F.count(F.lit(1)).alias("n_features"), F.sum("importance").alias("importance"))
         .orderBy("category")
     )

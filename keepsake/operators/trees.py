@@ -116,12 +116,11 @@ def sample_rows(df: DataFrame, most: int, seed: int = 42) -> DataFrame:
 
 
 def tree_attributions(
-    scaled: DataFrame, model, features: list[str], baseline: list[float] | None = None, max_rows: int | None = 500
+    scaled: DataFrame, model, features: list[str], baseline: list[float] | None = None, max_rows: int | None = None
 ) -> DataFrame:
     """Long form (customer_id, position, feature, phi); the baseline is the scaled mean, all zeros.
 
-    At most `max_rows` sampled records by default, as attribution of an ensemble is a
-    report on a sample; None explains every record.
+    Every record is explained; `max_rows` asks for a sample instead.
     """
     leaves = ensemble_leaves(scaled.sparkSession, model)
     origin = np.zeros(len(features)) if baseline is None else np.asarray(baseline, dtype=float)

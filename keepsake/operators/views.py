@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.metrics import count_if, mean, percent_of_count, sum_if
 from keepsake.schema import SERVICE_FLAGS, Tables
-
-# Most ids that are broadcast without asking Spark for their size.
-BROADCAST_ROWS = 10_000
+from keepsake.storage import new_path
 
 PROFILE = [
     "customer_id", "gender", "senior_citizen", "partner", "dependents",
@@ -20,10 +18,10 @@ PROFILE = [
 
 
 def with_contract(tables: Tables, how: str = "left") -> DataFrame:
-    """Customers with their contract; the contract names (three fixed rows) are broadcast."""
+    """Customers with their contract."""
     types = tables.contract_types.select("contract_type_id", "contract_name")
     return tables.customers.join(tables.customer_contracts, "customer_id", how).join(
-        F.broadcast(types), "contract_type_id", how
+        types, "contract_type_id", how
     )
 
 
@@ -54,7 +52,7 @@ def customer_full(tables: Tables) -> DataFrame:
 def services_summary(tables: Tables) -> DataFrame:
     """One row per customer with a flag per service, in a single aggregation."""
     names = tables.service_types.select("service_type_id", "service_name")
-    held = tables.customer_services.join(F.broadcast(names), "service_type_id")
+    held = tables.customer_services.join(names, "service_type_id")
     return held.groupBy("customer_id").agg(
         *[
             F.expr(f"bool_or(CASE WHEN service_name = '{service}' THEN is_subscribed ELSE FALSE END) AS {flag}")
@@ -63,15 +61,16 @@ def services_summary(tables: Tables) -> DataFrame:
     )
 
 
-def only_for(tables: Tables, chosen: DataFrame, limit: int) -> Tables:
+def only_for(tables: Tables, chosen: DataFrame) -> Tables:
     """The tables cut down to a limited choice of customers.
 
-    Contracts and services are filtered while they are scanned, before any shuffle. The ids
-    are broadcast when the limit proves them few; beyond that Spark picks the join.
+    The choice is found once and written, so that the optimizer knows its size: where it is
+    small, contracts and services are filtered while they are scanned, before any shuffle.
     """
+    path = new_path(chosen.sparkSession, "chosen")
+    chosen.write.parquet(path)
+    chosen = chosen.sparkSession.read.schema(chosen.schema).parquet(path)
     ids = chosen.select("customer_id")
-    if limit <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
     return replace(
         tables,
         customers=chosen,
@@ -104,7 +103,7 @@ def feature_base(tables: Tables) -> DataFrame:
 def get_customers(tables: Tables, limit: int = 100, churn_only: bool = False) -> DataFrame:
     kept = tables.customers.filter("churn") if churn_only else tables.customers
     first = kept.orderBy("customer_id").limit(limit)
-    return customer_full(only_for(tables, first, limit)).orderBy("customer_id")
+    return customer_full(only_for(tables, first)).orderBy("customer_id")
 
 
 def customer_by_id(tables: Tables, customer_id: str) -> DataFrame:
@@ -114,7 +113,7 @@ def customer_by_id(tables: Tables, customer_id: str) -> DataFrame:
 def list_customers(tables: Tables, limit: int = 20, offset: int = 0) -> DataFrame:
     page = tables.customers.orderBy("customer_id").offset(offset).limit(limit)
     return (
-        with_contract(only_for(tables, page, limit))
+        with_contract(only_for(tables, page))
         .select(*PROFILE, F.col("contract_name").alias("contract_type"), "payment_method")
         .orderBy("customer_id")
     )
@@ -129,14 +128,14 @@ def at_risk_profile(tables: Tables, limit: int = 50) -> DataFrame:
         .limit(limit)
         .select(*PROFILE)
     )
-    return feature_base(only_for(tables, top, limit)).orderBy(F.col("monthly_charges").desc(), "customer_id")
+    return feature_base(only_for(tables, top)).orderBy(F.col("monthly_charges").desc(), "customer_id")
 
 
 def search_customers(tables: Tables, term: str, limit: int = 20) -> DataFrame:
     """Case-insensitive match anywhere in the id; % and _ in the term are wildcards."""
     hits = tables.customers.filter(F.col("customer_id").ilike(f"%{term}%")).orderBy("customer_id").limit(limit)
     return (
-        with_contract(only_for(tables, hits, limit))
+        with_contract(only_for(tables, hits))
         .select(
             "customer_id", "gender", "senior_citizen", "tenure_months", "monthly_charges", "churn",
             F.col("contract_name").alias("contract_type"),

@@ -189,8 +189,8 @@ _REQUEST_FIELDS = ", ".join(
     [
         "customer_id, gender, senior_citizen, partner, dependents, tenure_months",
         "CAST(monthly_charges AS DOUBLE) AS monthly_charges",
-        "CAST(total_charges AS DOUBLE) AS total_charges",
-        "contract_type, payment_method, paperless_billing",
+        "COALESCE(CAST(total_charges AS DOUBLE), CAST(monthly_charges AS DOUBLE) * tenure_months, 0) AS total_charges",
+        "contract_type, payment_method, COALESCE(paperless_billing, FALSE) AS paperless_billing",
         "has_phone_service AS phone_service, has_multiple_lines AS multiple_lines",
         "CASE WHEN has_fiber THEN 'Fiber optic' WHEN has_dsl THEN 'DSL' ELSE 'No' END AS internet_service",
         *[f"has_{c} AS {c}" for c in _ADD_ONS],
@@ -266,7 +266,8 @@ SUBQUERIES = {
     "served": _SERVE.replace("{source}", "valid"),
     "served_all": _SERVE.replace("{source}", "requests"),
     "fit_input": (
-        "SELECT b.customer_id, b.churn, b.has_fiber, b.has_dsl, r.* EXCLUDE (customer_id)"
+        "SELECT b.customer_id, b.churn, b.has_fiber, b.has_dsl, CAST(b.total_charges AS DOUBLE) AS total_charges,"
+        " b.paperless_billing, r.* EXCLUDE (customer_id, total_charges, paperless_billing)"
         " FROM base b JOIN requests r USING (customer_id)"
     ),
     "fitted": _feature_sql(
@@ -390,6 +391,9 @@ SUBQUERIES["online"] = (
     " DeviceProtection = 'Yes' AS device_protection, TechSupport = 'Yes' AS tech_support,"
     " StreamingTV = 'Yes' AS streaming_tv, StreamingMovies = 'Yes' AS streaming_movies FROM raw"
 )
+SUBQUERIES["served_online"] = _SERVE.replace("{source}", "online")
+SUBQUERIES["phi_online"] = SUBQUERIES["phi"].replace("FROM served", "FROM served_online")
+SUBQUERIES["reasons_online"] = SUBQUERIES["reasons"].replace("FROM phi", "FROM phi_online")
 _YES_NO_TABLE = ", ".join(
     f"CASE {c} WHEN 'Yes' THEN TRUE WHEN 'No' THEN FALSE END AS {c.lower()}"
     for c in ("Partner", "Dependents", "PhoneService", "PaperlessBilling", "Churn")
@@ -739,8 +743,17 @@ def statements() -> dict[str, str]:
         " monthly_charges, payment_method FROM scored"
     )
     sql["s17_export_risk_list"] = (
-        f"{risk_list} WHERE churn_probability >= 0.5 ORDER BY churn_probability DESC, customer_id LIMIT 100"
+        f"{risk_list} WHERE churn_probability >= 0.5 ORDER BY churn_probability DESC, customer_id"
     )
+    rules = {
+        "tenure_0_to_72": "tenure_months BETWEEN 0 AND 72", "monthly_not_negative": "monthly_charges >= 0",
+        "total_not_negative": "total_charges >= 0", "contract_given": "contract_type IS NOT NULL",
+        "payment_given": "payment_method IS NOT NULL",
+    }
+    sql["s13b_rejected_requests"] = " UNION ALL ".join(
+        f"SELECT customer_id, '{rule}' AS rule FROM requests WHERE ({text}) IS NOT TRUE" for rule, text in rules.items()
+    )
+    sql["s13c_batch_size"] = "SELECT COUNT(*) AS records, NOT COUNT(*) BETWEEN 1 AND 100 AS violated FROM requests"
     sql["s18_query_table"] = (
         f"SELECT customer_id, CAST(tenure_months AS BIGINT) AS tenure_months,"
         " CAST(monthly_charges AS DOUBLE) AS monthly_charges FROM customers"
@@ -903,8 +916,9 @@ def statements() -> dict[str, str]:
         " WHEN tenure_months <= 24 THEN 3 WHEN tenure_months <= 48 THEN 4 ELSE 5 END AS BIGINT) AS tenure_bucket FROM customers"
     )
     sql["w9_histogram"] = (
-        "SELECT CAST(LEAST(FLOOR(CAST(monthly_charges AS DOUBLE) / 6.25), 19) AS BIGINT) AS bin, COUNT(*) AS n"
-        " FROM customers WHERE monthly_charges BETWEEN 0 AND 125 GROUP BY 1"
+        "SELECT CASE WHEN monthly_charges < 25 THEN -1 WHEN monthly_charges > 100 THEN 20 ELSE"
+        " CAST(LEAST(FLOOR((CAST(monthly_charges AS DOUBLE) - 25) / 3.75), 19) AS BIGINT) END AS bin, COUNT(*) AS n"
+        " FROM customers GROUP BY 1"
     )
 
     # features
@@ -1082,15 +1096,18 @@ def statements() -> dict[str, str]:
         [(c, k) for c, ks in reports.FEATURE_CATEGORIES.items() for k in ks], "category, keyword"
     )
     sql["d13_feature_categories"] = (
-        f"SELECT category, COUNT(DISTINCT feature) AS n_features FROM ({keywords}) k JOIN phi"
-        " ON CONTAINS(phi.feature, k.keyword) GROUP BY 1"
+        "SELECT category, COUNT(*) AS n_features, ROUND(SUM(importance), 6) AS importance FROM"
+        " (SELECT DISTINCT category, feature, importance FROM (SELECT feature, AVG(ABS(phi)) AS importance FROM phi GROUP BY 1) p"
+        f" JOIN ({keywords}) k ON CONTAINS(p.feature, k.keyword)) GROUP BY 1"
     )
     sql["d14_metrics_vs_targets"] = checked
 
     # streams
-    online = _scored(_SERVE.replace("{source}", "online"))
+    online = _scored("SELECT * FROM served_online")
     sql["x1_stream_scoring"] = (
-        f"SELECT customer_id, churn_probability, CAST(churn_prediction AS BIGINT) AS churn_prediction, risk_level FROM ({online})"
+        "SELECT customer_id, churn_probability, CAST(churn_prediction AS BIGINT) AS churn_prediction, risk_level,"
+        f" CAST(reason_rank AS BIGINT) AS reason_rank, feature, {_DIRECTION} AS direction, ROUND(ABS(phi), 4) AS impact,"
+        f" {_texts(ONLINE_NAMES)} AS description FROM ({online}) JOIN reasons_online USING (customer_id)"
     )
     sql["x2_stream_summary"] = (
         f"SELECT l.risk_level, COUNT(s.customer_id) AS n FROM ({levels}) l LEFT JOIN ({online}) s USING (risk_level) GROUP BY 1"

@@ -207,7 +207,7 @@ def _fixed_bins(t: Tables) -> DataFrame:
 
 
 def _charge_histogram(t: Tables) -> DataFrame:
-    return reports.histogram(t.customers, F.col("monthly_charges").cast("double"), 0.0, 125.0, 20)
+    return reports.histogram(t.customers, F.col("monthly_charges").cast("double"), 25.0, 100.0, 20)
 
 
 # --- features, splits, evaluation -------------------------------------------------------------
@@ -333,7 +333,7 @@ def _tree_attribution(t: Tables) -> DataFrame:
     """Every test row explained against the scaled mean, summed up per feature."""
     prepared = training.prepare_split(views.feature_base(t))
     forest = training.fit_forest(prepared)
-    explained = trees.tree_attributions(prepared.test, forest, FEATURES, max_rows=None)
+    explained = trees.tree_attributions(prepared.test, forest, FEATURES)
     return trees.tree_importance(explained)
 
 
@@ -409,22 +409,32 @@ def _what_if_inputs(requests: DataFrame) -> DataFrame:
 
 
 def _categories(df: DataFrame) -> DataFrame:
-    return reports.feature_categories(explain.importance(df, fixed_model()))
+    found = reports.feature_categories(explain.importance(df, fixed_model()))
+    return found.withColumn("importance", F.round("importance", 6))
 
 
 def _customer_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given customer table read as a stream of scoring requests."""
+    """The given customer table, a file or a folder of files, read as a stream of scoring requests.
+
+    A path that names a file must be a pattern for the stream reader, hence the bracket.
+    """
     given = spark.read.parquet(f"{sf_dir}/customer.parquet").schema
-    arriving = (
-        spark.readStream.schema(given).option("pathGlobFilter", "customer.parquet").parquet(sf_dir)
-    )
+    arriving = spark.readStream.schema(given).parquet(f"{sf_dir}/customer.parque[t]")
     return online.raw_to_requests(raw_shape(arriving))
 
 
 def _stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, mark = new_path(spark, "responses"), new_path(spark, "responses-progress")
     online.start_scoring(_customer_stream(spark, sf_dir), fixed_model(), out, mark, once=True).awaitTermination()
-    return portable(spark.read.parquet(out).drop("top_reasons"))
+    answers = spark.read.parquet(out).select(
+        "customer_id", "churn_prediction", "churn_probability", "risk_level", F.posexplode("top_reasons").alias("p", "r")
+    )
+    return portable(
+        answers.select(
+            "customer_id", "churn_prediction", "churn_probability", "risk_level", (F.col("p") + 1).alias("reason_rank"),
+            "r.feature", "r.direction", F.round("r.impact", 4).alias("impact"), "r.description",
+        )
+    )
 
 
 def _stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -459,6 +469,10 @@ def all_queries() -> dict[str, Query]:
         "s11_load_tables": _load_tables,
         "s12_table_counts": _on_tables(quality.table_counts),
         "s13_check_rules": _on_tables(lambda t: quality.check_rules(t, _predictions(t))),
+        "s13b_rejected_requests": _on_requests(
+            lambda df: quality.rejected_requests(df).select("customer_id", F.explode("broken_rules").alias("rule"))
+        ),
+        "s13c_batch_size": _on_requests(quality.check_batch_size),
         "s14_write_features": _write_features,
         "s15_write_predictions": _write_predictions,
         "s16_artifacts": _artifacts,

@@ -40,13 +40,24 @@ def request_rules() -> dict[str, Column]:
     }
 
 
+def _broken() -> Column:
+    """Names of the rules that a request breaks."""
+    return F.array_compact(F.array(*[F.when(violated, F.lit(rule)) for rule, violated in request_rules().items()]))
+
+
 def valid_requests(requests: DataFrame) -> DataFrame:
+    """Requests that break no rule; `rejected_requests` has the others."""
     kept = None
     for violated in request_rules().values():
         kept = ~violated if kept is None else kept & ~violated
     return requests.filter(kept)
 
 
+def rejected_requests(requests: DataFrame) -> DataFrame:
+    """The requests that are not scored, each with the rules that it breaks."""
+    return requests.withColumn("broken_rules", _broken()).filter(F.size("broken_rules") > 0)
+
+
 def check_batch_size(requests: DataFrame, most: int = 100) -> DataFrame:
     """Request-size rule of the online batch call: 1..most records."""
     return requests.agg(F.count(F.lit(1)).alias("records")).select(

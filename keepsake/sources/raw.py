@@ -96,7 +96,7 @@ def assign_churn_date(customers: DataFrame, as_of: str, seed: int = 42) -> DataF
 def to_contracts(cleaned: DataFrame, contract_types: DataFrame, as_of: str) -> DataFrame:
     """One contract per customer; an unknown contract name keeps its row with a null id."""
     names = contract_types.select("contract_type_id", F.col("contract_name").alias("contract"))
-    return cleaned.join(F.broadcast(names), "contract", "left").select(
+    return cleaned.join(names, "contract", "left").select(
         F.col("customerid").alias("customer_id"),
         "contract_type_id",
         F.col("paymentmethod").alias("payment_method"),

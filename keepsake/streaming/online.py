@@ -86,12 +86,16 @@ def start_summary(
     """Running count per risk level; the state is four rows.
 
     Each batch writes the complete table under its own batch number, so a repeated
-    batch replaces its own folder and readers take the newest one.
+    batch replaces its own folder and readers take the newest one. Older folders than
+    the one before go, so the store stays constant however long the stream runs.
     """
     counts = score_requests(requests, model).groupBy("risk_level").agg(F.count(F.lit(1)).alias("n"))
 
     def save(batch: DataFrame, number: int) -> None:
         batch.coalesce(1).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        session = batch.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(f"{out}/batch={number - 2}")
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
     writer = (
         counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(save)

@@ -7,9 +7,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
 from keepsake.functions import ranking
 from keepsake.operators import analytics, views
+from keepsake.plans.registry import all_queries as queries
 from keepsake.sources import sinks
 from keepsake.sources.star_schema import retention_tables
 

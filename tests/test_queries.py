@@ -5,10 +5,11 @@ from __future__ import annotations
 import pytest
 from compare import connect, differences
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from keepsake.plans import oracle, registry
 
 SF = "/root/testdata/sf0.001"
-STATEMENTS = oracle_sql()
+QUERIES, STATEMENTS = registry.all_queries(), oracle.statements()
 
 
 @pytest.fixture(scope="module")
@@ -17,17 +18,17 @@ def duck():
 
 
 def test_only_known_queries_go_without_sql():
-    without = set(queries()) - set(STATEMENTS)
+    without = set(QUERIES) - set(STATEMENTS)
     assert without == {
         "m05_logistic_regression", "m06_random_forest", "m07_boosted_trees", "m08_cross_validation",
         "m14_run_log", "m15_training_job", "p04_tree_attribution",
     }
-    assert set(STATEMENTS) <= set(queries())
+    assert set(STATEMENTS) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(STATEMENTS))
 def test_query_equals_sql(spark, duck, name):
-    assert differences(queries()[name](spark, SF), duck, STATEMENTS[name]) == []
+    assert differences(QUERIES[name](spark, SF), duck, STATEMENTS[name]) == []
 
 
 def test_entry(spark):
