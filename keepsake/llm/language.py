@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.store import fill_text
+from keepsake.llm.store import ship_package
 
 UNKNOWN = "und"
 PER_LANGUAGE, SAMPLE = 500, 4000
@@ -181,6 +181,7 @@ def fold_of(doc_id) -> F.Column:
 
 def fit(docs: DataFrame) -> Model:
     """Fit on a hash-chosen sample of the labelled rows whose fold is not 2."""
+    ship_package(docs.sparkSession)
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id")) != 2))
     known = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(known)
@@ -209,6 +210,7 @@ def fit(docs: DataFrame) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with lang_pred and score; only the text is read for them. Columns of
     these names in the input are replaced."""
+    ship_package(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -50,12 +50,9 @@ def flattened_weights(totals: DataFrame) -> DataFrame:
     The power makes large sources count less than their size and small ones more.
     """
     power = F.sqrt(F.col("_total")) * F.sqrt(F.sqrt(F.col("_total")))
-    sums = totals.select(power.alias("p"), "_source")
-    whole = sums.agg(F.sum("p").alias("all")).select("all")
-    # one row on the right: the sum over sources
-    return sums.join(F.broadcast(whole)).select(
-        "_source", F.greatest(F.round(F.col("p") / F.col("all") * CYCLE), F.lit(1)).cast("long").alias("weight")
-    )
+    together = Window.partitionBy(F.lit(0))  # a row per source
+    share = power / F.sum(power).over(together)
+    return totals.select("_source", F.greatest(F.round(share * CYCLE), F.lit(1)).cast("long").alias("weight"))
 
 
 def _slots(weights: Column) -> Column:

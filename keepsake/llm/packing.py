@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.store import fill_text
+from keepsake.llm.store import fill_text, ship_package
 from keepsake.llm.tokens import default_vocabulary, encoder
 
 TIERS = (2048, 1024, 512, 256, 128)
@@ -147,6 +147,7 @@ def pack(
     ``step_group`` the group of sequences that one training step takes.
     """
     vocabulary = vocabulary or default_vocabulary()
+    ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, packer, held = encoder(vocabulary), Packer(TaskContext.get().partitionId(), tiers, step_tokens), 0

@@ -2,18 +2,44 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from pathlib import Path
+from tempfile import NamedTemporaryFile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import keepsake
 from keepsake.storage import new_path
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand the package's modules to the workers, once per application, as Spark ships files
+    of a job; they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root, packed = Path(keepsake.__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, f"keepsake/{file.relative_to(root)}")
+    with NamedTemporaryFile(prefix="keepsake-", suffix=".zip", delete=False) as out:  # on the driver; Spark copies it
+        out.write(packed.getvalue())
+    context.addPyFile(out.name)
+    _shipped.add(context.applicationId)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write once to the shared folder and reread; every later use starts from the files."""
+    ship_package(df.sparkSession)
     path = new_path(df.sparkSession, label)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
