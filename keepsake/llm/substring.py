@@ -126,7 +126,8 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
     shared = blocks.groupBy("anchor").agg(
         F.min("block").alias("b0"), F.max("block").alias("b1"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")
     ).filter("d0 <> d1").select("anchor", (F.col("b0") != F.col("b1")).alias("several"))
-    met = written(blocks.join(shared, "anchor"), "shared-blocks")
+    # aggregates are written before they are joined back, so that the join's long side can be split
+    met = written(blocks.join(written(shared, "shared-anchors"), "anchor"), "shared-blocks")
     first = met.groupBy("anchor", "block", "several").agg(F.min(F.struct("doc_id", "text_key", "start", "n")).alias("first"))
     first = written(first, "reference-blocks")
     asked = first.filter("several").select("first.*", "anchor", "block").groupBy("doc_id", "text_key").agg(
@@ -134,10 +135,10 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
     )
     windows = written(_block_windows(keyed.join(asked, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])), "edge-windows")
     held = windows.groupBy("anchor", "window").agg(F.min("first_doc").alias("d0"), F.max("first_doc").alias("d1")).filter("d0 < d1")
-    edges = windows.join(held, ["anchor", "window"]).filter("first_doc > d0")
+    edges = windows.join(written(held, "shared-windows"), ["anchor", "window"]).filter("first_doc > d0")
     edges = edges.groupBy("anchor", "block").agg(F.collect_list("nth").alias("found"))
     known = first.select("anchor", "block", F.col("first.doc_id").alias("first_doc")).join(edges, ["anchor", "block"], "left")
-    runs = met.join(known, ["anchor", "block"]).select("doc_id", "text_key", F.when(
+    runs = met.join(written(known, "judged-blocks"), ["anchor", "block"]).select("doc_id", "text_key", F.when(
         F.col("doc_id") > F.col("first_doc"), F.array(F.struct("start", "n"))
     ).otherwise(F.transform("found", lambda i: F.struct((F.col("start") + i).alias("start"), F.lit(1).alias("n")))).alias("runs"))
     return runs.filter("runs is not null").groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
