@@ -76,10 +76,22 @@ def global_positions(df: DataFrame, order: Sequence[str | Column], name: str = "
     )
 
 
+#: Most values that may count as frequent in `add_rank`.
+FREQUENT = 64
+
+
+def _by_type(df: DataFrame, values: dict[str, Column]) -> list[dict[str, Column]]:
+    """The columns parted by type: each is ranked in its own, as a common one could merge values."""
+    typed = df.select(*[c.alias(n) for n, c in values.items()]).schema
+    parted: dict[str, dict[str, Column]] = {}
+    for name, column in values.items():
+        parted.setdefault(typed[name].dataType.simpleString(), {})[name] = column
+    return list(parted.values())
+
+
 def _stack(df: DataFrame, values: dict[str, Column], tie: str | None) -> DataFrame:
-    pairs = F.array(
-        *[F.struct(F.lit(n).alias("ranking"), c.cast("double").alias("value")) for n, c in values.items()]
-    )
+    """ranking, value (and tie) of columns of one type."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("ranking"), c.alias("value")) for n, c in values.items()])
     extra = [] if tie is None else [F.col(tie).alias("tie")]
     return df.select(F.explode(pairs).alias("r"), *extra).select("r.*", *(["tie"] if tie else []))
 
@@ -136,8 +148,27 @@ def look_up(
     skip nulls and interpolate linearly. What reaches the driver is as long as the places
     asked for: a handful of rows, whatever the data size.
     """
-    cuts, quantiles = cuts or {}, quantiles or {}
-    stacked = _stack(df, values, tie)
+    found_cuts: dict[str, list[Cut]] = {}
+    found_quantiles: dict[str, list[float]] = {}
+    for own in _by_type(df, values):
+        some_cuts, some_quantiles = _look_up(
+            _stack(df, own, tie), {n: c for n, c in (cuts or {}).items() if n in own},
+            {n: q for n, q in (quantiles or {}).items() if n in own},
+        )
+        found_cuts |= some_cuts
+        found_quantiles |= some_quantiles
+    return found_cuts, found_quantiles
+
+
+def cut_points_by(df: DataFrame, group: Column, value: Column, tie: str, places: dict[str, Places]) -> dict[str, list[Cut]]:
+    """Cut rows of one ordering inside each group (named by its text), all in one look-up."""
+    stacked = df.select(group.cast("string").alias("ranking"), value.alias("value"), F.col(tie).alias("tie"))
+    return _look_up(stacked.filter(F.col("ranking").isin(list(places))), places, {})[0]
+
+
+def _look_up(
+    stacked: DataFrame, cuts: dict[str, Places], quantiles: dict[str, list[float]]
+) -> tuple[dict[str, list[Cut]], dict[str, list[float]]]:
     counts = _value_counts(stacked)
     given = F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0))
     spans, sizes, first = {}, {}, 0
@@ -173,10 +204,10 @@ def look_up(
     for name, fractions in quantiles.items():
         edges = []
         for start, at in quantile_places.get(name, []):
-            low = at_place[start + math.floor(at)]["value"]
-            high = at_place[start + math.ceil(at)]["value"]
+            low = float(at_place[start + math.floor(at)]["value"])
+            high = float(at_place[start + math.ceil(at)]["value"])
             edges.append(low + (high - low) * (at - math.floor(at)))
-        found_quantiles[name] = edges or [float("nan")] * len(fractions)
+        found_quantiles[name] = edges or [None] * len(fractions)
     return found_cuts, found_quantiles
 
 
@@ -226,11 +257,10 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]]
 def past_cut(value: Column, tie: Column, cut: Cut) -> Column:
     """True when the row sorts after the cut (null values first)."""
     at, at_tie = cut
-    value = value.cast("double")
-    here, there = F.struct(value.alias("v")), F.struct(F.lit(at).cast("double").alias("v"))
+    after = value.isNotNull() if at is None else F.coalesce(value > F.lit(at), F.lit(False))
     if at_tie is None:
-        return here > there
-    return (here > there) | (value.eqNullSafe(F.lit(at).cast("double")) & (tie > F.lit(at_tie)))
+        return after
+    return after | (value.eqNullSafe(F.lit(at)) & (tie > F.lit(at_tie)))
 
 
 def tile_column(value: Column, tie: Column, cuts: list[Cut]) -> Column:
@@ -277,15 +307,21 @@ def add_first_rank_quartile(df: DataFrame, value: str, tie: str, name: str) -> D
 def add_rank(df: DataFrame, value: Column, name: str) -> DataFrame:
     """RANK over the whole frame, ascending in `value`, null first.
 
-    Ranks come from the value histogram, so the join's right side has one row per
-    value and a frequent value only makes the left side skewed, which adaptive
-    execution splits.
+    Ranks come from the value histogram, which has one row per value. Values that hold at
+    least a share of 1 / FREQUENT of the rows are FREQUENT at most: their rows get the rank
+    from a broadcast of these few and never meet in one task; the others join by value.
     """
-    keyed = df.withColumn("_value", value.cast("double"))
-    ranks = _histogram(_value_counts(_stack(df, {name: value}, None))).select(
-        F.col("value").alias("_ranked"), (F.col("n_before") + 1).alias(name)
-    )
-    return keyed.join(ranks, F.col("_value").eqNullSafe(F.col("_ranked")), "left").drop("_value", "_ranked")
+    keyed = df.withColumn("_value", value)
+    counts = _value_counts(_stack(df, {name: value}, None))
+    ranks = _histogram(counts).select(F.col("value").alias("_ranked"), (F.col("n_before") + 1).alias(name), "n")
+    least = (counts.agg(F.sum("n")).first()[0] or 0) / FREQUENT
+    often = F.broadcast(ranks.filter(F.col("n") >= least).select("_ranked", F.col(name).alias("_often")))
+    same = F.col("_value").eqNullSafe(F.col("_ranked"))
+    marked = keyed.join(often, same, "left").drop("_ranked")
+    few = marked.filter(F.col("_often").isNotNull()).withColumn(name, F.col("_often"))
+    rare = marked.filter(F.col("_often").isNull()).join(ranks.filter(F.col("n") < least).drop("n"), same, "left")
+    kept = [c for c in df.columns if c != name]
+    return few.select(*kept, name).unionByName(rare.select(*kept, name))
 
 
 def add_value_quartile(df: DataFrame, value: str, name: str) -> DataFrame:
@@ -296,6 +332,6 @@ def add_value_quartile(df: DataFrame, value: str, name: str) -> DataFrame:
 
 def value_tile(value: Column, edges: Sequence[float]) -> Column:
     out = F.lit(1)
-    for edge in sorted(set(edges)):
+    for edge in sorted({e for e in edges if e is not None}):
         out = out + (value.cast("double") > F.lit(edge)).cast("int")
     return out.cast("int")

@@ -168,9 +168,9 @@ def _spend_features(df: DataFrame) -> DataFrame:
 class FeatureStats:
     """What the fit and fitted modes need to know about the training data."""
 
-    median_monthly: float
-    monthly_edges: list[float]
-    median_charge_per_service: float
+    median_monthly: float | None
+    monthly_edges: list[float | None]
+    median_charge_per_service: float | None
     tenure_cuts: list[tuple[float | None, str | None]] = field(default_factory=list)
 
     @classmethod
@@ -184,7 +184,7 @@ class FeatureStats:
             {
                 "monthly": F.col("monthly_charges"),
                 "per_service": F.col("charge_per_service"),
-                "tenure": F.col("tenure_months"),
+                "tenure": F.col("tenure_months").cast("double"),
             },
             cuts={"tenure": ranking.first_rank_places(4)},
             quantiles={"monthly": [0.25, 0.5, 0.75], "per_service": [0.5]},
@@ -207,6 +207,13 @@ class FeatureStats:
         return cls(**values)
 
 
+def _above(name: str, median: float | None, times: float = 1.0) -> Column:
+    """1 above the median; 0 where the training data had no value to take one of."""
+    if median is None:
+        return F.lit(0)
+    return F.coalesce(F.col(name) > F.lit(median * times), F.lit(False)).cast("int")
+
+
 def _reference_features(df: DataFrame, stats: FeatureStats | None) -> DataFrame:
     """The four features that compare a record with the data set (or with constants)."""
     if stats is None:
@@ -226,10 +233,8 @@ def _reference_features(df: DataFrame, stats: FeatureStats | None) -> DataFrame:
             "tenure_quartile": ranking.tile_column(
                 F.col("tenure_months"), F.col("customer_id"), stats.tenure_cuts
             ),
-            "is_high_value": F.expr(_int(f"monthly_charges > {stats.median_monthly!r}D")),
-            "risk_high_charge": F.expr(
-                _int(f"charge_per_service > {stats.median_charge_per_service * 1.5!r}D")
-            ),
+            "is_high_value": _above("monthly_charges", stats.median_monthly),
+            "risk_high_charge": _above("charge_per_service", stats.median_charge_per_service, 1.5),
         }
     return _add(
         df.select("*", *[column.alias(name) for name, column in own.items()]),
@@ -264,9 +269,13 @@ def _risk_features(df: DataFrame) -> DataFrame:
 
 
 def with_features(
-    df: DataFrame, mode: str, stats: FeatureStats | None = None, keep: tuple[str, ...] = ()
+    df: DataFrame, mode: str, stats: FeatureStats | None = None, keep: tuple[str, ...] = (),
+    names: list[str] | None = None,
 ) -> DataFrame:
-    """Add every feature to a stored profile or a request; `keep` names input columns to carry along."""
+    """Add features to a stored profile or a request; `keep` names input columns to carry along.
+
+    All features by default; of `names` only these are computed and only their inputs read.
+    """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     if mode == "fitted" and stats is None:
@@ -275,7 +284,7 @@ def with_features(
         stats = None
     elif mode == "fit" and stats is None:
         stats = FeatureStats.fit(df)
-    names = FEATURES + EXTRA_FEATURES
+    names = FEATURES + EXTRA_FEATURES if names is None else list(names)
     carried = [c for c in keep if c not in names and c != "customer_id"]
     built = _risk_features(_reference_features(_spend_features(_profile_features(_entry(df, carried))), stats))
     return computed_once(built.select("customer_id", *carried, *names), {n: n for n in names})

@@ -13,16 +13,12 @@ from keepsake.sources.raw import hash_order
 
 
 def _label_cuts(frame: DataFrame, label: str, seed: int, places) -> dict[int, list[ranking.Cut]]:
-    """Cut rows of a seeded shuffle inside each of the two classes."""
-    shuffled = frame.select(F.col(label).alias("label"), "customer_id").withColumn(
-        "order", hash_order("customer_id", seed)
+    """Cut rows of a seeded shuffle inside each of the two classes, in one look-up."""
+    found = ranking.cut_points_by(
+        frame.select("customer_id", F.col(label).cast("int").alias("label")), F.col("label"),
+        hash_order("customer_id", seed), "customer_id", {"0": places, "1": places},
     )
-    return {
-        y: ranking.cut_points(
-            shuffled.filter(F.col("label") == y), {"shuffle": F.col("order")}, "customer_id", places
-        )["shuffle"]
-        for y in (0, 1)
-    }
+    return {y: found[str(y)] for y in (0, 1)}
 
 
 def _tile(label: str, seed: int, cuts: dict[int, list[ranking.Cut]]) -> Column:
@@ -32,14 +28,15 @@ def _tile(label: str, seed: int, cuts: dict[int, list[ranking.Cut]]) -> Column:
 
 
 def stratified_split(
-    frame: DataFrame, label: str = "churn", test_share: float = 0.2, seed: int = 42
+    frame: DataFrame, label: str = "churn", test_share: float = 0.2, seed: int = 42, labels: DataFrame | None = None
 ) -> DataFrame:
     """Add `part`: within each class the first rows of the seeded shuffle are the test part.
 
     Membership is one comparison with a cut row, so the frame is not moved, and rereading
-    it after a failure gives the same parts.
+    it after a failure gives the same parts. `labels` may name a narrower source of the same
+    ids and labels, to look the cuts up without building the frame.
     """
-    cuts = _label_cuts(frame, label, seed, lambda n: [int(test_share * n + 0.5)])
+    cuts = _label_cuts(frame if labels is None else labels, label, seed, lambda n: [int(test_share * n + 0.5)])
     return frame.withColumn("part", F.when(_tile(label, seed, cuts) == 1, "test").otherwise("train"))
 
 

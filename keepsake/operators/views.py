@@ -90,12 +90,24 @@ def churn_summary(tables: Tables) -> DataFrame:
     )
 
 
-def feature_base(tables: Tables) -> DataFrame:
-    """The profile, contract and service flags the features are built from."""
+def feature_base(tables: Tables, contract: bool = True, services: bool = True) -> DataFrame:
+    """The profile, contract and service flags the features are built from.
+
+    Without contract or services their columns are null or false and their tables unread.
+    """
     flags = [F.coalesce(flag, F.lit(False)).alias(flag) for flag in SERVICE_FLAGS]
+    if contract:
+        base = with_contract(tables)
+    else:
+        base = tables.customers.withColumns(
+            {c: F.lit(None).cast(kind) for c, kind in (("contract_name", "string"), ("payment_method", "string"), ("paperless_billing", "boolean"))}
+        )
+    if services:
+        base = base.join(services_summary(tables), "customer_id", "left")
+    else:
+        base = base.withColumns({flag: F.lit(False) for flag in SERVICE_FLAGS})
     return (
-        with_contract(tables)
-        .join(services_summary(tables), "customer_id", "left")
+        base
         .select(*PROFILE, F.col("contract_name").alias("contract_type"), "payment_method", "paperless_billing", *flags)
     )
 

@@ -166,9 +166,13 @@ def _query_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ntiles(t: Tables) -> DataFrame:
     narrow = t.customers.select("customer_id", "monthly_charges", "tenure_months")
-    quarters = ranking.add_ntiles(narrow, 4, {"charge_quarter": F.col("monthly_charges")}, "customer_id")
-    return ranking.add_ntiles(quarters, 5, {"tenure_fifth": F.col("tenure_months")}, "customer_id").select(
-        "customer_id", "charge_quarter", "tenure_fifth"
+    wanted = {"charge_quarter": ("monthly_charges", 4), "tenure_fifth": ("tenure_months", 5)}
+    cuts, _ = ranking.look_up(
+        narrow, {n: F.col(c) for n, (c, _) in wanted.items()}, {n: ranking.ntile_places(k) for n, (_, k) in wanted.items()},
+        tie="customer_id",
+    )
+    return narrow.select(
+        "customer_id", *[ranking.tile_column(F.col(c), F.col("customer_id"), cuts[n]).alias(n) for n, (c, _) in wanted.items()]
     )
 
 
@@ -215,14 +219,23 @@ def _charge_histogram(t: Tables) -> DataFrame:
 
 def _feature_group(names: list[str]) -> Query:
     return _on_tables(
-        lambda t: feat.with_features(views.feature_base(t), "fit").select("customer_id", *names)
+        lambda t: feat.with_features(views.feature_base(t), "fit", names=names).select("customer_id", *names)
     )
 
 
-def _own_feature_group(names: list[str]) -> Query:
-    """Features that come from the record alone are the same in every mode and need no fit."""
+# Feature groups of the record alone: equal in every mode, without a fit; and the tables they need.
+_OWN_GROUPS = {
+    "f01_demographics": {"contract": False, "services": False},
+    "f02_services": {"contract": False, "services": True},
+    "f03_contract": {"contract": True, "services": False},
+}
+
+
+def _own_feature_group(key: str, names: list[str]) -> Query:
     return _on_tables(
-        lambda t: feat.with_features(views.feature_base(t), "serve").select("customer_id", *names)
+        lambda t: feat.with_features(views.feature_base(t, **_OWN_GROUPS[key]), "serve", names=names).select(
+            "customer_id", *names
+        )
     )
 
 
@@ -243,7 +256,7 @@ def _split(t: Tables) -> DataFrame:
 
 
 def _standardise(t: Tables) -> DataFrame:
-    frame = splits.stratified_split(_training_frame(t))
+    frame = splits.stratified_split(_training_frame(t), labels=_labelled(t)).persist()
     scaler = splits.Scaler.fit(frame.filter("part = 'train'"), FEATURES)
     scaled = scaler.transform(frame.drop("churn", "part"))
     return scaled.select("customer_id", *[F.round(c, 6).alias(c) for c in FEATURES])
@@ -254,8 +267,11 @@ def _class_weights(t: Tables) -> DataFrame:
 
 
 def _judged(t: Tables) -> DataFrame:
-    return _training_frame(t).select(
-        "customer_id", "churn", "risk_score", F.col("high_risk_flag").alias("churn_prediction")
+    names = ["risk_score", "high_risk_flag"]
+    built = feat.with_features(views.feature_base(t), "fit", keep=("churn",), names=names)
+    return built.select(
+        "customer_id", F.col("churn").cast("int").alias("churn"), "risk_score",
+        F.col("high_risk_flag").alias("churn_prediction"),
     )
 
 
@@ -293,7 +309,7 @@ def _compare_models(t: Tables) -> DataFrame:
 
 def _resampled(t: Tables) -> DataFrame:
     """Class sizes after oversampling the scaled train rows."""
-    train = splits.stratified_split(_training_frame(t)).filter("part = 'train'").drop("part")
+    train = splits.stratified_split(_training_frame(t), labels=_labelled(t)).filter("part = 'train'").drop("part").persist()
     scaled = splits.Scaler.fit(train, FEATURES).transform(train)
     return resampling.smote(scaled, FEATURES).groupBy("churn", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
@@ -528,7 +544,7 @@ def all_queries() -> dict[str, Query]:
         "w8_fixed_bins": _on_tables(_fixed_bins),
         "w9_histogram": _on_tables(_charge_histogram),
         **{
-            key: (_own_feature_group if key in ("f01_demographics", "f02_services", "f03_contract") else _feature_group)(names)
+            key: _own_feature_group(key, names) if key in _OWN_GROUPS else _feature_group(names)
             for key, names in GROUPS.items()
         },
         "f08_select_features": _on_tables(_training_frame),

@@ -81,3 +81,41 @@ def test_running_totals(spark):
     got = ranking.running_totals(counts, ["value"], ["count"]).orderBy("value").toPandas()
     assert (got["count_through"] == got["count"].cumsum()).all()
     assert (got["count_before"] == got["count"].cumsum() - got["count"]).all()
+
+
+@pytest.mark.parametrize("kind,values", [
+    ("long", [2**53, 2**53 + 1, 2**53 + 1, None, -5, 2**53 - 1]),
+    ("decimal(38,2)", ["10000000000000000000.01", "10000000000000000000.02", "10000000000000000000.02", None, "-1", "0"]),
+    ("date", ["2024-01-02", "2024-01-01", "2024-01-02", None, "1999-12-31", "2030-01-01"]),
+    ("string", ["b", "a", "b", None, "", "zz"]),
+])
+def test_ranks_and_tiles_of_native_types(spark, kind, values):
+    from pyspark.sql import Window
+
+    rows = [(i, None if v is None else str(v)) for i, v in enumerate(values * 4)]
+    df = spark.createDataFrame(rows, "id int, v string").withColumn("v", F.col("v").cast(kind))
+    one_task = Window.orderBy(F.col("v").asc_nulls_first())
+    want = {r["id"]: (r["r"], r["t"]) for r in df.select(
+        "id", F.rank().over(one_task).alias("r"), F.ntile(5).over(Window.orderBy(F.col("v").asc_nulls_first(), "id")).alias("t")
+    ).collect()}
+    ranked = ranking.add_rank(df, F.col("v"), "r")
+    got = ranking.add_ntiles(ranked, 5, {"t": F.col("v")}, "id").collect()
+    assert {r["id"]: (r["r"], r["t"]) for r in got} == want
+
+
+def test_ranks_with_a_hot_value_and_without_adaptive_execution(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("v"))
+        got = {r["id"]: r["r"] for r in ranking.add_rank(df, F.col("v"), "r").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    order = sorted(7 if i % 3 == 0 else i for i in range(3000))
+    first = {v: order.index(v) + 1 for v in set(order)}
+    assert got == {i: first[7 if i % 3 == 0 else i] for i in range(3000)}
+
+
+@pytest.mark.parametrize("values", [[], [None, None]])
+def test_quantiles_of_nothing(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert ranking.exact_quantiles(df, {"v": (F.col("v"), [0.25, 0.5])}) == {"v": [None, None]}
