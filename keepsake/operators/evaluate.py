@@ -49,7 +49,7 @@ def confusion_matrix(df: DataFrame, label: str = "churn", prediction: str = "chu
 
 def _class_metrics(counts: DataFrame) -> DataFrame:
     hit = F.col("prediction") == 1
-    cells = counts.agg(
+    cells = counts.groupBy("model").agg(
         sum_if(hit, F.col("pos")).alias("tp"),
         sum_if(hit, F.col("neg")).alias("fp"),
         sum_if(~hit, F.col("pos")).alias("fn"),
@@ -57,6 +57,7 @@ def _class_metrics(counts: DataFrame) -> DataFrame:
     )
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return cells.select(
+        "model",
         _ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"),
         _ratio(tp, tp + fp).alias("precision"),
         _ratio(tp, tp + fn).alias("recall"),
@@ -66,10 +67,16 @@ def _class_metrics(counts: DataFrame) -> DataFrame:
 
 def _rank_metrics(counts: DataFrame) -> DataFrame:
     """ROC-AUC (rank sum, ties shared) and average precision (step sum), without binning."""
-    ranked = _ranked(counts.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    by_score = counts.groupBy("model", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    ran = running_totals(by_score, ["model", F.desc("score")], ["pos", "neg"])
+    # the sums run over all models: take off what stands before a model's first row (a row per model)
+    starts = ran.groupBy("model").agg(F.min("pos_before").alias("_pos"), F.min("neg_before").alias("_neg"))
+    ranked = ran.join(starts, "model").withColumns(
+        {f"{c}_{at}": F.col(f"{c}_{at}") - F.col(f"_{c}") for c in ("pos", "neg") for at in ("before", "through")}
+    )
     beaten = F.sum(F.col("neg") * (F.col("pos_before") + F.col("pos") / 2.0))
     precision = F.col("pos_through") / (F.col("pos_through") + F.col("neg_through"))
-    return ranked.agg(
+    return ranked.groupBy("model").agg(
         F.try_divide(beaten, F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("roc_auc"),
         F.try_divide(F.sum(F.col("pos") * precision), F.sum("pos")).alias("avg_precision"),
     )
@@ -79,12 +86,21 @@ def metrics(
     df: DataFrame, label: str = "churn", prediction: str = "churn_prediction", score: str = "probability"
 ) -> DataFrame:
     """The six test metrics in long form, from one pass: label counts per score and prediction."""
-    keys = [F.col(score).cast("double").alias("score"), F.col(prediction).alias("prediction")]
+    return model_metrics(df.withColumn("model", F.lit("")), label, prediction, score).drop("model")
+
+
+def model_metrics(
+    df: DataFrame, label: str = "churn", prediction: str = "churn_prediction", score: str = "probability"
+) -> DataFrame:
+    """`metrics` for each value of `model`, all counted in one pass over the stacked rows."""
+    keys = [F.col("model"), F.col(score).cast("double").alias("score"), F.col(prediction).alias("prediction")]
     counts = cut_lineage(_label_counts(df, label, keys))
-    by_class, by_rank = _class_metrics(counts), _rank_metrics(counts)
-    return by_class.unpivot([], by_class.columns, "metric", "value").unionByName(
-        by_rank.unpivot([], by_rank.columns, "metric", "value")
-    )
+    out = None
+    for part in (_class_metrics(counts), _rank_metrics(counts)):
+        names = [c for c in part.columns if c != "model"]
+        long = part.unpivot(["model"], names, "metric", "value")
+        out = long if out is None else out.unionByName(long)
+    return out
 
 
 def roc_points(df: DataFrame, label: str = "churn", score: str = "probability") -> DataFrame:

@@ -579,6 +579,9 @@ _RULES = {
     ("customer_services", "known_service_type_id"): (
         "SELECT COUNT(*) FROM customer_services WHERE service_type_id NOT IN (SELECT service_type_id FROM service_types)"
     ),
+    ("predictions", "known_customer_id"): (
+        "SELECT COUNT(*) FROM scored WHERE customer_id NOT IN (SELECT customer_id FROM customers)"
+    ),
     ("predictions", "probability_0_to_1"): "SELECT COUNT(*) FROM scored WHERE probability NOT BETWEEN 0 AND 1",
     ("predictions", "risk_level_domain"): "SELECT 0 FROM (SELECT COUNT(*) FROM scored)",
 }

@@ -65,81 +65,71 @@ def check_batch_size(requests: DataFrame, most: int = 100) -> DataFrame:
     )
 
 
-def _row_rules(df: DataFrame, table: str, rules: dict[str, Column]) -> DataFrame:
-    counted = df.agg(*[count_if(violated).alias(rule) for rule, violated in rules.items()])
-    return counted.unpivot([], list(rules), "rule", "violations").select(
-        F.lit(table).alias("table_name"), "rule", F.col("violations").cast("long").alias("violations")
-    )
+def _fails(condition: Column) -> Column:
+    return ~F.coalesce(condition, F.lit(False))
 
 
-def _repeated(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
-    """Rows beyond the first of each key; counted with map-side combine, so a hot key stays one row."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("violations"))
-        .select(F.lit(table).alias("table_name"), F.lit("unique_" + "_".join(keys)).alias("rule"), "violations")
-    )
+def _unknown(df: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """Adds `_known`: whether the key is in the lookup table."""
+    return df.join(lookup.select(key, F.lit(True).alias("_known")), key, "left")
 
 
-def _orphans(df: DataFrame, table: str, parent: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is missing in the parent.
+def check_rules(tables: Tables, predictions: DataFrame | None = None) -> DataFrame:
+    """Every table constraint with its number of violating rows.
 
-    Children are first counted per key, so one hot key crosses the shuffle once per task.
+    Each table is read once. Its rows bring a count per rule and per table to one grouping by
+    customer (combined before the shuffle, so a hot key is one row per task), which also
+    tells repeated ids and rows whose customer is missing.
     """
-    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return (
-        counted.join(parent.select(key), key, "left_anti")
-        .agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("violations"))
-        .select(F.lit(table).alias("table_name"), F.lit(f"known_{key}").alias("rule"), "violations")
-    )
-
-
-def check_rules(tables: Tables, predictions: DataFrame | None = None) -> DataFrame:
-    """Every table constraint with its number of violating rows."""
-    c = tables.customers
-    checks = [
-        _row_rules(
-            c,
-            "customers",
-            {
-                "gender_domain": ~F.coalesce(F.col("gender").isin("Male", "Female"), F.lit(False)),
-                "tenure_not_negative": ~F.coalesce(F.col("tenure_months") >= 0, F.lit(False)),
-                "tenure_at_most_72": F.coalesce(F.col("tenure_months") > 72, F.lit(False)),
-                "monthly_not_negative": ~F.coalesce(F.col("monthly_charges") >= 0, F.lit(False)),
-                "total_not_negative": F.coalesce(F.col("total_charges") < 0, F.lit(False)),
-            },
-        ),
-        _row_rules(
-            tables.customer_contracts,
-            "customer_contracts",
-            {
-                "contract_type_given": F.col("contract_type_id").isNull(),
-                "payment_given": F.col("payment_method").isNull(),
-            },
-        ),
-        _repeated(c, "customers", ["customer_id"]),
-        _repeated(tables.customer_contracts, "customer_contracts", ["customer_id"]),
-        _repeated(tables.customer_services, "customer_services", ["customer_id", "service_type_id"]),
-        _orphans(tables.customer_contracts, "customer_contracts", c, "customer_id"),
-        _orphans(tables.customer_contracts, "customer_contracts", tables.contract_types, "contract_type_id"),
-        _orphans(tables.customer_services, "customer_services", c, "customer_id"),
-        _orphans(tables.customer_services, "customer_services", tables.service_types, "service_type_id"),
-    ]
+    pairs = tables.customer_services.groupBy("customer_id", "service_type_id").agg(F.count(F.lit(1)).alias("n"))
+    pairs = _unknown(pairs, tables.service_types, "service_type_id")
+    one = F.lit(1).cast("long")
+    sources: dict[str, tuple[DataFrame, Column, dict[str, Column]]] = {
+        "customers": (tables.customers, one, {
+            "gender_domain": _fails(F.col("gender").isin("Male", "Female")),
+            "tenure_not_negative": _fails(F.col("tenure_months") >= 0),
+            "tenure_at_most_72": F.col("tenure_months") > 72,
+            "monthly_not_negative": _fails(F.col("monthly_charges") >= 0),
+            "total_not_negative": F.col("total_charges") < 0,
+        }),
+        "customer_contracts": (_unknown(tables.customer_contracts, tables.contract_types, "contract_type_id"), one, {
+            "contract_type_given": F.col("contract_type_id").isNull(),
+            "payment_given": F.col("payment_method").isNull(),
+            "known_contract_type_id": F.col("_known").isNull(),
+        }),
+        "customer_services": (pairs, F.col("n"), {
+            "known_service_type_id": F.col("_known").isNull(),
+        }),
+    }
     if predictions is not None:
-        checks.append(
-            _row_rules(
-                predictions,
-                "predictions",
-                {
-                    "probability_0_to_1": ~F.coalesce(F.col("churn_probability").between(0, 1), F.lit(False)),
-                    "risk_level_domain": ~F.coalesce(
-                        F.col("risk_level").isin("low", "medium", "high"), F.lit(False)
-                    ),
-                },
-            )
+        sources["predictions"] = (predictions, one, {
+            "probability_0_to_1": _fails(F.col("churn_probability").between(0, 1)),
+            "risk_level_domain": _fails(F.col("risk_level").isin("low", "medium", "high")),
+        })
+    stacked = None
+    for table, (df, n, rules) in sources.items():
+        counted = {f"{table}.rows": n} | {f"{table}.{r}": F.when(v, n).otherwise(0).cast("long") for r, v in rules.items()}
+        if table == "customer_services":
+            counted[f"{table}.unique_customer_id_service_type_id"] = n - 1
+        part = df.select("customer_id", *[c.alias(name) for name, c in counted.items()])
+        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
+    names = [c for c in stacked.columns if c != "customer_id"]
+    nothing = F.lit(0).cast("long")
+    each = stacked.groupBy("customer_id").agg(*[F.coalesce(F.sum(f"`{c}`"), nothing).alias(c) for c in names])
+    found = {c: F.sum(f"`{c}`") for c in names if not c.endswith(".rows")}
+    orphan = F.col("customer_id").isNull() | (F.col("`customers.rows`") == 0)
+    for table in sources:
+        rows = F.col(f"`{table}.rows`")
+        if table in ("customers", "customer_contracts"):
+            found[f"{table}.unique_customer_id"] = F.sum(F.greatest(rows - 1, nothing))
+        if table != "customers":
+            found[f"{table}.known_customer_id"] = F.sum(F.when(orphan, rows).otherwise(0))
+    totals = each.agg(*[F.coalesce(v, nothing).cast("long").alias(c) for c, v in found.items()])
+    rows = F.array(*[
+        F.struct(
+            F.lit(c.split(".")[0]).alias("table_name"), F.lit(c.split(".")[1]).alias("rule"),
+            F.col(f"`{c}`").alias("violations"),
         )
-    out = checks[0]
-    for check in checks[1:]:
-        out = out.unionByName(check)
-    return out
+        for c in found
+    ])
+    return totals.select(F.inline(rows))
