@@ -234,22 +234,26 @@ _VALID = (
 
 SUBQUERIES = {
     "customers": f"SELECT {_select(star.CUSTOMERS)} FROM customer",
-    "customer_contracts": f"SELECT {_select(star.CONTRACTS)} FROM customer",
+    "customer_contracts": f"SELECT {_select(star.CONTRACTS)} FROM customer WHERE {star.CONTRACT_PRESENT}",
     "contract_types": _values(schema.CONTRACT_TYPES, "contract_type_id, contract_name, description"),
     "service_types": _values(
         schema.SERVICE_TYPES, "service_type_id, service_name, service_category, description"
     ),
     "customer_services": (
-        f"SELECT c_name AS customer_id, service_type_id, {star.SERVICE_SUBSCRIBED} AS is_subscribed"
-        f" FROM customer, (SELECT UNNEST(RANGE(1, 12)) AS service_type_id) WHERE {star.SERVICE_PRESENT}"
+        f"SELECT {star.SERVICE_OWNER} AS customer_id, service_type_id, {star.SERVICE_SUBSCRIBED} AS is_subscribed"
+        f" FROM (SELECT *, {star.SERVICE_ID} AS service_type_id FROM customer, (SELECT UNNEST(RANGE(1, 13)) AS service_row)"
+        f" WHERE {star.SERVICE_GIVEN}) WHERE {star.SERVICE_PRESENT}"
     ),
     "raw": f"SELECT {_select(star.RAW)} FROM customer",
     "contracted": (
         "SELECT * FROM customers JOIN customer_contracts USING (customer_id) JOIN contract_types USING (contract_type_id)"
     ),
+    "listed": (
+        "SELECT * FROM customers LEFT JOIN customer_contracts USING (customer_id) LEFT JOIN contract_types USING (contract_type_id)"
+    ),
     "held": "SELECT customer_id, COUNT(*) AS subscribed_rows FROM customer_services WHERE is_subscribed GROUP BY 1",
     "counted": (
-        "SELECT c.*, COALESCE(h.subscribed_rows, 0) AS subscribed_rows FROM contracted c LEFT JOIN held h USING (customer_id)"
+        "SELECT c.*, COALESCE(h.subscribed_rows, 0) AS subscribed_rows FROM listed c LEFT JOIN held h USING (customer_id)"
     ),
     "service_flags": (
         f"SELECT customer_id, {_FLAGS} FROM customer_services JOIN service_types USING (service_type_id) GROUP BY 1"
@@ -435,7 +439,7 @@ _FULL = (
     f"SELECT {_VIEW_HEAD}, contract_name AS contract_type, payment_method, paperless_billing,"
     " CAST(subscribed_rows AS BIGINT) AS total_services FROM counted"
 )
-_LISTED = f"SELECT {_VIEW_HEAD}, contract_name AS contract_type, payment_method FROM contracted"
+_LISTED = f"SELECT {_VIEW_HEAD}, contract_name AS contract_type, payment_method FROM listed"
 _AT_RISK = "NOT churn AND contract_type = 'Month-to-month' AND tenure_months <= 12"
 
 
@@ -513,7 +517,7 @@ _BANDED = (
     " SUM(monthly_charges) AS revenue FROM customers GROUP BY 1"
 )
 _BUNDLES = (
-    "SELECT c.customer_id, c.churn, STRING_AGG(t.service_name, ' + ' ORDER BY t.service_name) AS service_bundle"
+    "SELECT c.customer_id, c.churn, STRING_AGG(DISTINCT t.service_name, ' + ' ORDER BY t.service_name) AS service_bundle"
     " FROM customers c LEFT JOIN (SELECT * FROM customer_services WHERE is_subscribed) s USING (customer_id)"
     " LEFT JOIN service_types t USING (service_type_id) GROUP BY 1, 2"
 )
@@ -657,7 +661,7 @@ def _advice_rows(rules: list[tuple[str, str]], otherwise: str, source: str) -> s
     hits = " UNION ALL ".join(
         f"SELECT customer_id, '{text}' AS advice FROM {source} WHERE {condition}" for condition, text in rules
     )
-    none = " AND ".join(f"NOT ({condition})" for condition, _ in rules)
+    none = " AND ".join(f"({condition}) IS NOT TRUE" for condition, _ in rules)
     return f"{hits} UNION ALL SELECT customer_id, '{otherwise}' FROM {source} WHERE {none}"
 
 
@@ -780,7 +784,7 @@ def statements() -> dict[str, str]:
     )
     sql["l4_search_customers"] = (
         "SELECT customer_id, gender, senior_citizen, CAST(tenure_months AS BIGINT) AS tenure_months,"
-        " CAST(monthly_charges AS DOUBLE) AS monthly_charges, churn, contract_name AS contract_type FROM contracted"
+        " CAST(monthly_charges AS DOUBLE) AS monthly_charges, churn, contract_name AS contract_type FROM listed"
         " WHERE customer_id ILIKE '%R#00000_1%' ORDER BY customer_id LIMIT 20"
     )
     top = f"SELECT customer_id FROM base WHERE {_AT_RISK} ORDER BY monthly_charges DESC, customer_id LIMIT 50"
@@ -990,7 +994,7 @@ def statements() -> dict[str, str]:
     sql["p03_linear_attribution"] = f"SELECT {phi_out} FROM phi"
     sql["p03b_centred_attribution"] = (
         "SELECT customer_id, CAST(position AS BIGINT) AS position, feature,"
-        " ROUND(phi - AVG(phi) OVER (PARTITION BY feature), 4) AS phi FROM phi"
+        " ROUND(phi - AVG(phi) OVER (PARTITION BY feature), 8) AS phi FROM phi"
     )
     reason = (
         "SELECT customer_id, CAST(reason_rank AS BIGINT) AS reason_rank, feature, value, ROUND(ABS(phi), 4) AS impact,"

@@ -376,7 +376,7 @@ def _attributions(df: DataFrame) -> DataFrame:
 def _centred(df: DataFrame) -> DataFrame:
     model = fixed_model()
     long = explain.attributions(df, model, explain.scaled_means(df, model))
-    return long.select("customer_id", "position", "feature", F.round("phi", 4).alias("phi"))
+    return long.select("customer_id", "position", "feature", F.round("phi", 8).alias("phi"))
 
 
 def _reasons(t: Tables) -> DataFrame:

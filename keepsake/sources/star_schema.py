@@ -79,8 +79,10 @@ CUSTOMERS = {
     "total_charges": f"CASE WHEN c_custkey % 97 = 0 THEN NULL ELSE {_money(TOTAL_CENTS)} END",
     "churn": CHURN,
 }
+# Some customers have no contract, some no services; some rows belong to customers that are gone.
+CONTRACT_PRESENT = "c_custkey % 43 <> 5"
 CONTRACTS = {
-    "customer_id": "c_name",
+    "customer_id": "CASE WHEN c_custkey % 101 = 7 THEN 'Former ' || c_name ELSE c_name END",
     "contract_type_id": CONTRACT_ID,
     "payment_method": PAYMENT,
     "paperless_billing": PAPERLESS,
@@ -120,6 +122,12 @@ SERVICE_SUBSCRIBED = (
 )
 
 
+SERVICE_OWNER = "CASE WHEN c_custkey % 89 = 11 THEN 'Former ' || c_name ELSE c_name END"
+# Row numbers 1 to 11 are the services; row 12 repeats service 6 for some customers.
+SERVICE_ID = "CASE WHEN service_row = 12 THEN 6 ELSE service_row END"
+SERVICE_GIVEN = "c_custkey % 47 <> 3 AND (service_row <= 11 OR c_custkey % 59 = 4)"
+
+
 def select_list(columns: dict[str, str]) -> list[str]:
     return [f"{text} AS {name}" for name, text in columns.items()]
 
@@ -130,16 +138,18 @@ def _given(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retention_tables(spark: SparkSession, sf_dir: str) -> Tables:
     given = _given(spark, sf_dir)
-    # Service rows come from exploding the fixed id list inside each customer row: no join, no shuffle.
-    ids = F.array(*[F.lit(row[0]) for row in schema.SERVICE_TYPES])
+    # Service rows come from exploding a fixed list inside each customer row: no join, no shuffle.
+    rows = F.sequence(F.lit(1), F.lit(len(schema.SERVICE_TYPES) + 1))
     services = (
-        given.select("c_custkey", "c_name", F.explode(ids).alias("service_type_id"), "c_nationkey")
+        given.select("c_custkey", "c_name", F.explode(rows).alias("service_row"), "c_nationkey")
+        .filter(SERVICE_GIVEN)
+        .selectExpr("*", f"{SERVICE_ID} AS service_type_id")
         .filter(SERVICE_PRESENT)
-        .selectExpr("c_name AS customer_id", "service_type_id", f"{SERVICE_SUBSCRIBED} AS is_subscribed")
+        .selectExpr(f"{SERVICE_OWNER} AS customer_id", "service_type_id", f"{SERVICE_SUBSCRIBED} AS is_subscribed")
     )
     return Tables(
         customers=given.selectExpr(*select_list(CUSTOMERS)),
-        customer_contracts=given.selectExpr(*select_list(CONTRACTS)),
+        customer_contracts=given.filter(CONTRACT_PRESENT).selectExpr(*select_list(CONTRACTS)),
         customer_services=services,
         contract_types=schema.contract_types(spark),
         service_types=schema.service_types(spark),
