@@ -31,7 +31,8 @@ from keepsake.llm.graph import components
 from keepsake.llm.store import written
 from keepsake.llm.vectors import k_means, matrix, sample, squared_distances, valid
 
-#: Rows of the fitted sample; lists that are aimed at; subspaces and codewords of each.
+#: Rows of the fitted sample; rows of a label in a list that are aimed at, and most lists;
+#: subspaces and codewords of each.
 SAMPLE, LIST_ROWS, MOST_LISTS, SUBSPACES, WORDS = 10_000, 1000, 256, 8, 256
 #: Members and queries of a block.
 BLOCK = 2000
@@ -176,7 +177,8 @@ def dedup(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     rows = classes.count()
     if not rows:
         return typed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    quantiser = Quantiser(sample(classes, rows, SAMPLE), int(min(MOST_LISTS, max(1, rows // LIST_ROWS))))
+    per_label = rows // classes.select("label").distinct().count()
+    quantiser = Quantiser(sample(classes, rows, SAMPLE), int(min(MOST_LISTS, max(1, per_label // LIST_ROWS))))
     found = written(links(classes, quantiser, least), "vector-links")
     counts = found.filter("n is not null").groupBy("a").agg(F.sum("n").alias("linked"))
     groups = components(found.filter("b is not null").select("a", "b"), "vector-groups")
