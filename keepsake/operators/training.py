@@ -145,7 +145,16 @@ def to_linear(model, scaler: Scaler, name: str = "LogisticRegression") -> Linear
 def cross_validate(
     base: DataFrame, learner: Callable, folds: int = 5, leaky: bool = False, seed: int = SEED, **params
 ) -> DataFrame:
-    """Mean and deviation of the test metrics over stratified folds.
+    """`cross_validate_models` for one learner."""
+    found = cross_validate_models(base, {"": lambda prepared: learner(prepared, **params)}, folds, leaky, seed)
+    return found.drop("model")
+
+
+def cross_validate_models(
+    base: DataFrame, learners: dict[str, Callable], folds: int = 5, leaky: bool = False, seed: int = SEED
+) -> DataFrame:
+    """Mean and deviation of the test metrics over stratified folds, for each learner; a fold
+    is prepared once for all of them.
 
     Feature statistics, scaler and oversampling are fitted inside each fold. With `leaky`
     the rows are oversampled once before folding, so held-out rows have relatives among
@@ -157,7 +166,7 @@ def cross_validate(
         folded = stratified_folds(resampled, folds=folds, seed=seed).persist()
     else:
         folded = stratified_folds(base.withColumn("churn", F.col("churn").cast("int")), folds=folds, seed=seed).persist()
-    scores: dict[str, list[float]] = {}
+    scores: dict[tuple[str, str], list[float]] = {}
     for fold in range(1, folds + 1):
         kept = folded.filter(F.col("fold") != fold).drop("fold")
         held = folded.filter(F.col("fold") == fold).drop("fold")
@@ -168,13 +177,14 @@ def cross_validate(
             prepared = prepare(
                 training_frame(kept, stats, "fitted"), training_frame(held, stats, "fitted"), seed=seed
             )
-        for metric, value in test_metrics(learner(prepared, **params), prepared.test).items():
-            scores.setdefault(metric, []).append(value)
+        for name, learner in learners.items():
+            for metric, value in test_metrics(learner(prepared), prepared.test).items():
+                scores.setdefault((name, metric), []).append(value)
         prepared.release()
     folded.unpersist()
     wanted = ["accuracy", "precision", "recall", "f1", "roc_auc"]
-    rows = [(m, fmean(scores[m]), pstdev(scores[m])) for m in wanted]
-    return literal_rows(base.sparkSession, rows, ["metric", "mean", "std"])
+    rows = [(name, m, fmean(scores[name, m]), pstdev(scores[name, m])) for name in learners for m in wanted]
+    return literal_rows(base.sparkSession, rows, ["model", "metric", "mean", "std"])
 
 
 @dataclass
@@ -182,6 +192,7 @@ class Trained:
     prepared: Prepared
     models: dict[str, object] = field(default_factory=dict)
     measured: dict[str, dict[str, float]] = field(default_factory=dict)
+    validated: list = field(default_factory=list)  # rows of `cross_validate_models`
 
     @property
     def best(self) -> str:
@@ -202,9 +213,14 @@ def train_models(
     learners: dict[str, Callable] | None = None,
     resample: bool = True,
     stats: FeatureStats | None = None,
+    cv_folds: int = 0,
 ) -> Trained:
+    """Every learner fitted and tested on one split; with `cv_folds` also cross-validated."""
+    learners = learners or LEARNERS
     trained = Trained(prepare_split(base, resample=resample, stats=stats))
-    for name, learner in (learners or LEARNERS).items():
+    if cv_folds:
+        trained.validated = cross_validate_models(base, learners, cv_folds).collect()  # five rows a learner
+    for name, learner in learners.items():
         trained.models[name] = learner(trained.prepared)
         trained.measured[name] = test_metrics(trained.models[name], trained.prepared.test)
     return trained
@@ -221,6 +237,11 @@ def log_runs(trained: Trained, path: str, spark: SparkSession, run_id: str, star
         for name, values in trained.measured.items()
         for metric, value in values.items()
     ]
+    metrics += [
+        (run_id, started, r["model"], "metric", f"cv_{r['metric']}_{kind}", repr(r[kind]))
+        for r in trained.validated
+        for kind in ("mean", "std")
+    ]
     literal_rows(spark, params + metrics, ["run_id", "started", "model", "kind", "name", "value"]).coalesce(
         1
     ).write.mode("append").parquet(path)

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from keepsake.functions import bands, ranking
 from keepsake.functions.metrics import count_if
 from keepsake.operators import (
-    analytics, evaluate, explain, features as feat, reports, resampling, scoring, splits, training, trees, views,
+    analytics, evaluate, explain, features as feat, reports, resampling, scoring, serving, splits,
+    training, trees, views,
 )
 from keepsake.plans import job
 from keepsake.plans.fixed_model import fixed_model
@@ -339,23 +340,54 @@ def _trained(name: str) -> Query:
 
 
 def _cross_validated(t: Tables) -> DataFrame:
-    return training.cross_validate(views.feature_base(t), training.fit_forest)
+    return training.cross_validate_models(views.feature_base(t), training.LEARNERS)
 
 
 def _run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "runs")
     base = views.feature_base(retention_tables(spark, sf_dir))
-    trained = training.train_models(base, {"RandomForest": training.fit_forest})
+    trained = training.train_models(base)
     training.log_runs(trained, path, spark, "run-1", AS_OF)
     trained.prepared.release()
     return portable(spark.read.parquet(path))
 
 
 def _job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = retention_tables(spark, sf_dir)
-    return portable(
-        job.run(tables, new_path(spark, "job"), AS_OF, {"LogisticRegression": training.fit_logistic})
+    """What must hold after a run over all learners, as rows of 1."""
+    out = new_path(spark, "job")
+    metrics = job.run(retention_tables(spark, sf_dir), out, AS_OF)
+    auc = "CAST(value AS DOUBLE)"
+    tests = spark.read.parquet(f"{out}/runs").filter("name = 'test_roc_auc'")
+    best = metrics.filter("metric = 'roc_auc'").select(F.col("model_name").alias("model"), F.col("value").alias("reported"))
+    checks = tests.agg(F.count("*").alias("n"), F.max(F.expr(auc)).alias("top"), F.min(F.expr(auc)).alias("low"))
+    won = tests.join(best, "model").agg(F.max(F.abs(F.expr(auc) - F.col("reported"))).alias("off"), F.max(F.expr(auc)).alias("won"))
+    again = spark.read.parquet(f"{out}/reload_check")
+    facts = (checks.first().asDict() | won.first().asDict() | again.first().asDict())  # one row each
+    sizes = sinks.model_info(spark, f"{out}/model").first()
+    given = spark.read.schema("customer_id string").option("header", True).csv(f"{out}/features").count()
+    held = {
+        "three_models_logged": facts["n"] == 3,
+        "metrics_in_range": 0 <= facts["low"] <= facts["top"] <= 1,
+        "best_has_largest_auc": facts["won"] == facts["top"] and facts["off"] == 0,
+        "reloaded_scores_all_test_rows": facts["rows"] == sizes["n_test_samples"],
+        "reloaded_equals_model": facts["gap"] < 1e-9,
+        "parts_add_up": sizes["n_training_samples"] + sizes["n_test_samples"] == given,
+    }
+    return literal_rows(spark, [(name, int(ok)) for name, ok in held.items()], ["check", "holds"]).select(
+        "check", F.col("holds").cast("long").alias("holds")
+    )
+
+
+def _tree_reasons(t: Tables) -> DataFrame:
+    """Every test record's reasons from a forest, with whether all its attributions add up."""
+    prepared = training.prepare_split(views.feature_base(t))
+    forest = training.fit_forest(prepared)
+    summed = trees.tree_attributions(prepared.test, forest, FEATURES).groupBy("customer_id").agg(F.sum("phi").alias("total"))
+    exact = summed.join(serving.output(forest, prepared.test, FEATURES), "customer_id").select(
+        "customer_id", (F.abs(F.col("total") - F.col("output")) < 1e-6).cast("int").alias("adds_up")
     )
+    reasons = serving.tree_reasons(prepared.test, forest, FEATURES)
+    return exact.join(reasons, "customer_id").select("customer_id", "reason_rank", "adds_up")
 
 
 def _tree_attribution(t: Tables) -> DataFrame:
@@ -588,6 +620,7 @@ def all_queries() -> dict[str, Query]:
         "p03_linear_attribution": _on_scored(_attributions),
         "p03b_centred_attribution": _on_scored(_centred),
         "p04_tree_attribution": _on_tables(_tree_attribution),
+        "p04b_tree_reasons": _on_tables(_tree_reasons),
         "p05_top_reasons": _on_tables(_reasons),
         "p06_reason_text": _on_scored(_reason_text),
         "p07_top_reason": _on_scored(

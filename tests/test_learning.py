@@ -237,7 +237,8 @@ def test_job_end_to_end(spark):
     assert spark.read.option("header", True).csv(f"{out}/features").count() == 150
     assert sinks.stored_importance(spark, f"{out}/model").count() == 20
     assert sinks.stored_stats(spark, f"{out}/model").median_monthly > 0
-    assert spark.read.parquet(f"{out}/check").count() == 1
+    assert spark.read.parquet(f"{out}/check").count() == 30
+    assert spark.read.parquet(f"{out}/reload_check").first()["gap"] < 1e-9
     log = spark.read.parquet(f"{out}/runs")
     assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"param", "metric"}
     info = sinks.model_info(spark, f"{out}/model").first()
@@ -247,6 +248,12 @@ def test_job_end_to_end(spark):
 def test_job_with_a_tree_model(spark):
     out = new_path(spark, "job")
     tables = retention_tables(spark, "/root/testdata/sf0.001")
-    small = {"RandomForest": lambda p: training.fit_forest(p, trees=5, depth=3)}
-    assert job.run(tables, out, AS_OF, small).count() == 4
+    small = {
+        "RandomForest": lambda p: training.fit_forest(p, trees=5, depth=3),
+        "GradientBoosting": lambda p: training.fit_boosted(p, rounds=3, depth=2),
+    }
+    assert job.run(tables, out, AS_OF, small, cv_folds=2).count() == 4
+    assert spark.read.parquet(f"{out}/reload_check").first().asDict() == {"rows": 30, "gap": 0.0}
+    logged = {(r["model"], r["name"]) for r in spark.read.parquet(f"{out}/runs").collect()}
+    assert {(m, f"cv_{x}_{k}") for m in small for x in ("f1", "roc_auc") for k in ("mean", "std")} <= logged
     assert sinks.stored_importance(spark, f"{out}/model", top=None).count() == len(FEATURES)
