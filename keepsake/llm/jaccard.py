@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.llm.graph import components
-from keepsake.llm.shingles import WordHashes, gram_hashes
+from keepsake.llm.shingles import gram_hashes, hashes_of
 from keepsake.llm.signature_tree import PERCENT, Groups, unite, width_of
 from keepsake.llm.store import fill_text, written
 
@@ -47,15 +47,12 @@ SAMPLE, FREQUENT_IN, MOST_FREQUENT = 4000, 8, 50_000
 #: Members of a block; larger groups are split.
 BLOCK = 4000
 
-_known = WordHashes()
-
-
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the 5-word shingles; of the whole text if it is shorter."""
     words = text.encode().lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    return np.unique(gram_hashes(_known.of(words), min(SHINGLE, len(words))))
+    return np.unique(gram_hashes(hashes_of(words), min(SHINGLE, len(words))))
 
 
 def bitmap(grams: np.ndarray) -> bytes:

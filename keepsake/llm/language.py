@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from keepsake.llm.store import ship_package
 
 UNKNOWN = "und"
-PER_LANGUAGE, SAMPLE = 500, 4000
+PER_LANGUAGE, SAMPLE = 400, 2000
 #: Lengths of the byte runs, and bits of the table that each length has.
 RUNS, BITS = (2, 3, 4), 11
 DIMENSIONS = len(RUNS) << BITS
-#: Bytes of text that are looked up at once.
-CHUNK = 1 << 20
+#: Bytes of text that are looked up at once, and rows that are taken from a batch at once.
+CHUNK, ROWS = 1 << 20, 1000
 
 #: Families of languages by ISO 639-1 code. Other codes share one family.
 FAMILIES = {
@@ -99,7 +99,7 @@ def margins(texts: list[bytes], weights: np.ndarray, bias: np.ndarray) -> np.nda
 
 def fit_machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 40) -> np.ndarray:
     """Weights (bias last) of a linear machine with squared hinge loss, by dual descent."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     alpha, w = np.zeros(len(x)), np.zeros(x.shape[1])
     square = (x * x).sum(1) + 0.5 / cost
     order = np.random.default_rng(5)
@@ -124,7 +124,7 @@ class Model:
         self.langs = langs
         self.families = sorted({family_of(x) for x in langs})
         of = np.array([family_of(x) for x in langs])[labels] if len(labels) else np.zeros(0, str)
-        scale = 1 / np.sqrt(features.mean(0) + 1e-6) if len(features) else np.ones(DIMENSIONS)
+        scale = (1 / np.sqrt(features.mean(0) + 1e-6) if len(features) else np.ones(DIMENSIONS)).astype(np.float32)
         scaled, named = features * scale, np.array(langs, object)[labels] if len(labels) else np.zeros(0, object)
         pairs = [(f, g, of) for f, g in combinations(self.families, 2)]
         for family in self.families:
@@ -190,21 +190,29 @@ def fit(docs: DataFrame) -> Model:
     each = max(1, min(PER_LANGUAGE, SAMPLE // len(langs)))
     rank = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
     shares_by = F.create_map(*[F.lit(v) for lang in langs for v in (lang, 1.5 * each / known[lang] + 20 / known[lang])])
-    chosen = labelled.filter(rank < shares_by[F.col("lang")]).select("lang", "text")
+    chosen = labelled.withColumn("rank", rank).filter(F.col("rank") < shares_by[F.col("lang")]).select("lang", "rank", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [cleaned(t) for t in batch.column("text").to_pylist()]
             rows = [shares(t).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(rows, pa.binary()), pa.array([bool(t) for t in texts])], ["lang", "x", "ok"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lang"), batch.column("rank"), pa.array(rows, pa.binary()), pa.array([bool(t) for t in texts])],
+                ["lang", "rank", "x", "ok"],
+            )
 
-    rows = chosen.mapInArrow(features, "lang string, x binary, ok boolean").filter("ok").select("lang", "x").toPandas()
-    rows = rows.assign(x=rows.x.map(bytes)).sort_values(["lang", "x"]).groupby("lang", sort=False).apply(
-        lambda g: g.sample(min(len(g), each), random_state=5)[["x"]], include_groups=False
-    ).reset_index(level=0) if len(rows) else rows
-    found = sorted(set(rows.lang)) if len(rows) else []
-    x = np.frombuffer(b"".join(rows.x), np.float32).reshape(-1, DIMENSIONS) if found else np.zeros((0, DIMENSIONS), np.float32)
-    return Model(found, x, np.array([found.index(lang) for lang in rows.lang], int) if found else np.zeros(0, int))
+    rows = chosen.mapInArrow(features, "lang string, rank double, x binary, ok boolean").filter("ok").drop("ok").toArrow()
+    names, ranks = rows.column("lang").to_pylist(), rows.column("rank").to_pylist()
+    taken, held = [], dict.fromkeys(langs, 0)
+    for i in sorted(range(len(names)), key=lambda i: (ranks[i], names[i])):
+        if held[names[i]] < each:
+            held[names[i]] += 1
+            taken.append(i)
+    found = sorted({names[i] for i in taken})
+    x = np.zeros((len(taken), DIMENSIONS), np.float32)
+    for row, i in enumerate(taken):
+        x[row] = np.frombuffer(rows.column("x")[i].as_buffer(), np.float32)
+    return Model(found, x, np.array([found.index(names[i]) for i in taken], int))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -215,11 +223,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = model.predict(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                [*batch.schema.names, "lang_pred", "score"],
-            )
+            for at in range(0, len(batch), ROWS):
+                part = batch.slice(at, ROWS)
+                names, scores = model.predict(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                    [*part.schema.names, "lang_pred", "score"],
+                )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(predict, f"{kinds}, lang_pred string, score double")

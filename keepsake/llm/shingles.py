@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Distinct words remembered per worker; beyond it the memory is emptied, which changes speed only.
-REMEMBERED = 1_000_000
+#: Distinct words remembered per worker (about 180 bytes each), by all operators together;
+#: beyond it the memory is emptied, which changes speed only.
+REMEMBERED = 250_000
 
 #: Odd multipliers of the rolling hashes.
 _STEP, _RUN = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -21,8 +22,13 @@ class WordHashes(dict):
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+_known = WordHashes()
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -28,16 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.shingles import WordHashes, gram_hashes, run_hashes, sliding_min
+from keepsake.llm.shingles import gram_hashes, hashes_of, run_hashes, sliding_min
 from keepsake.llm.store import fill_text, written
 
 WINDOW, ANCHOR = 50, 16
 #: Words that are hashed together.
 CHUNK_WORDS = 400_000
 
-_known = WordHashes()
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Runs of characters other than space and tab to carriage return, as UTF-8."""
     return text.encode().split() if text else []
@@ -51,7 +48,7 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         if len(words) >= WINDOW:
             rows.append(row)
             counts.append(len(words))
-            hashes.append(_known.of(words))
+            hashes.append(hashes_of(words))
             held += len(words)
         if held >= CHUNK_WORDS:
             yield np.array(rows), np.array(counts), np.concatenate(hashes)
@@ -100,7 +97,7 @@ def _block_windows(docs: DataFrame) -> DataFrame:
             out = [[], [], [], [], []]
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for doc_id, text, asked in zip(doc_ids, texts, batch.column("asked").to_pylist()):
-                window = gram_hashes(_known.of(words_of(text)), WINDOW)
+                window = gram_hashes(hashes_of(words_of(text)), WINDOW)
                 for one in asked:
                     n = one["n"]
                     for column, value in zip(out, (one["anchor"], one["block"], doc_id)):

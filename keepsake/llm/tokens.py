@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces remembered per worker (about 200 bytes each); later ones are encoded anew, which changes speed only.
-REMEMBERED = 1_000_000
+REMEMBERED, REMEMBERED_PARTS = 300_000, 150_000
 
 _ODD_SPACE = re.compile(r" (?:(?<=\s )|\s)")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -75,7 +75,7 @@ class Encoder:
 
     def _learn(self, pieces: set[str]) -> list[str]:
         """Encode the pieces not known yet; returns those that are beyond what is remembered."""
-        if len(self.parts) > REMEMBERED:
+        if len(self.parts) > REMEMBERED_PARTS:
             self.parts.clear()
         new = pieces.difference(self.after_space)
         over = [*new] if len(self.after_space) + len(new) > REMEMBERED else []
