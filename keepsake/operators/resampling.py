@@ -2,10 +2,9 @@
 
 Neighbours are exact. Equal rows are merged first, so copies (one group may hold a third
 of all rows) never meet each other pair by pair: their mutual distance is known to be 0.
-The distinct rows are cut into blocks of bounded size; a task compares one pair of blocks
-and returns only the nearest few per row. Work grows with the square of the number of
-distinct minority rows, which is the nature of exact neighbours in 61 dimensions; for
-classes too large for that, class weights (`splits.class_weights`) balance in one pass.
+The distinct rows are parted by pivots; a row meets its own cell and the cells that can hold
+a closer row than its k-th so far. A task compares blocks of bounded size and returns only
+the nearest few per row.
 """
 
 from __future__ import annotations
@@ -26,6 +25,10 @@ from keepsake.storage import cut_lineage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have the package
 
 
+#: Most pivots, and rows of a block.
+MOST_PIVOTS, BLOCK_ROWS = 1024, 4096
+
+
 def _nearest_in_blocks(k: int, chunk: int = 256):
     """For one block of asking rows and one of answering rows: each asker's k nearest answers."""
     columns = {"row_id": "int64", "other_id": "int64", "copies": "int64", "distance": "float64"}
@@ -61,27 +64,89 @@ def _nearest_in_blocks(k: int, chunk: int = 256):
     return nearest
 
 
-def nearest_neighbours(distinct: DataFrame, k: int, block_rows: int = 16384) -> DataFrame:
-    """Up to k nearest other distinct rows per row, closest first: (row_id, other_id, copies, distance, place).
+def _pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    squares = (x * x).sum(axis=1)[:, None] - 2.0 * x @ pivots.T + (pivots * pivots).sum(axis=1)
+    return np.sqrt(np.maximum(squares, 0.0))
 
-    Every row is sent once per block of the other side; the emitted rows are k per row and block.
-    """
-    n = distinct.count()
-    blocks = max(1, math.ceil(n / block_rows))
-    placed = distinct.withColumn("block", (F.pmod(F.xxhash64("row_id"), F.lit(blocks))).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asking = placed.select(F.col("block").alias("asks"), every.alias("answers"), "row_id", "x")
-    answering = placed.select(
-        every.alias("asks"), F.col("block").alias("answers"), F.col("row_id").alias("other_id"),
+
+def _in_cells(asking: DataFrame, cells: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """Each asking row (row_id, x, cell) against the rows of its cell, in blocks of bounded size."""
+    asked = asking.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("askers"))
+    split = cut_lineage(asked.join(sizes.select("cell", "answers"), "cell"))
+    own = lambda n: F.pmod(F.xxhash64("row_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asking.join(split, "cell").select("cell", own("askers").alias("asks"), every("answers").alias("block"), "row_id", "x")
+    right = cells.join(split, "cell").select(
+        "cell", every("askers").alias("asks"), own("answers").alias("block"), F.col("row_id").alias("other_id"),
         F.col("copies").alias("other_copies"), F.col("x").alias("other"),
     )
-    pairs = (
-        asking.groupBy("asks", "answers")
-        .cogroup(answering.groupBy("asks", "answers"))
-        .applyInPandas(_nearest_in_blocks(k), "row_id long, other_id long, copies long, distance double")
+    left, right = (side.toDF(*side.columns) for side in (left, right))
+    keys = ("cell", "asks", "block")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        _nearest_in_blocks(k), "row_id long, other_id long, copies long, distance double"
+    )
+
+
+def pivot_cells(distinct: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """The rows with their nearest pivot, the cells with size and radius, and the pivots.
+
+    About the square root of the rows are pivots, MOST_PIVOTS at most, so tasks may hold them.
+    """
+    n = distinct.count()
+    wanted = max(1, min(MOST_PIVOTS, math.isqrt(n)))
+    chosen = distinct.orderBy(F.xxhash64("row_id"), "row_id").select("x").limit(wanted).collect()
+    pivots = np.array([r["x"] for r in chosen])
+
+    def assign(batches):
+        for batch in batches:
+            d = _pivot_distances(np.stack(batch["x"].to_numpy()), pivots)
+            nearest = d.argmin(axis=1)
+            yield batch.assign(cell=nearest, away=d[np.arange(len(d)), nearest])
+
+    placed = cut_lineage(distinct.mapInPandas(assign, "row_id long, x array<double>, copies long, cell long, away double"))
+    sizes = placed.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("away").alias("radius"),
+        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("answers"),
     )
+    return placed, cut_lineage(sizes), pivots
+
+
+def other_cells(bounded: DataFrame, sizes: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """The cells beside its own in which a row may have a neighbour within its `bound`: by the
+    triangle inequality those whose radius reaches to within the bound of the row."""
+    listed = sizes.select("cell", "radius").collect()  # one row per pivot
+    radius = np.full(len(pivots), -np.inf)
+    for r in listed:
+        radius[r["cell"]] = r["radius"]
+
+    def route(batches):
+        for batch in batches:
+            x = np.stack(batch["x"].to_numpy()) if len(batch) else np.zeros((0, pivots.shape[1]))
+            near = _pivot_distances(x, pivots) - radius <= batch["bound"].to_numpy()[:, None] * (1 + 1e-9) + 1e-9
+            near[np.arange(len(x)), batch["cell"].to_numpy()] = False
+            row, cell = np.nonzero(near)
+            yield pd.DataFrame({"row_id": batch["row_id"].to_numpy()[row], "x": batch["x"].to_numpy()[row], "cell": cell})
+
+    return bounded.mapInPandas(route, "row_id long, x array<double>, cell long")
+
+
+def nearest_neighbours(distinct: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
+    """Up to k nearest other distinct rows per row, closest first: (row_id, other_id, copies, distance, place).
+
+    Rows belong to the cell of their nearest pivot. A row first meets its own cell; the
+    distance of its k-th neighbour there bounds the search, and only cells that reach within
+    that bound are met too. Large cells are met in blocks. The result is exact.
+    """
+    placed, sizes, pivots = pivot_cells(distinct, block_rows or BLOCK_ROWS)
+    first = cut_lineage(_in_cells(placed.select("row_id", "x", "cell"), placed, sizes, k))
     closest = W.partitionBy("row_id").orderBy("distance", "other_id")
-    return pairs.withColumn("place", F.row_number().over(closest)).filter(F.col("place") <= k)
+    best = first.withColumn("place", F.row_number().over(closest)).filter(F.col("place") == k)
+    bounds = best.select("row_id", F.sqrt("distance").alias("bound"))
+    bounded = placed.join(bounds, "row_id", "left").select(
+        "row_id", "x", "cell", F.coalesce("bound", F.lit(float("inf"))).alias("bound")
+    )
+    more = _in_cells(cut_lineage(other_cells(bounded, sizes, pivots)), placed, sizes, k)
+    return first.unionByName(more).withColumn("place", F.row_number().over(closest)).filter(F.col("place") <= k)
 
 
 def _draw(seed: int, *parts: Column) -> Column:
@@ -95,7 +160,7 @@ def smote(
     label: str = "churn",
     k: int = 5,
     seed: int = 42,
-    block_rows: int = 16384,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Raise the smaller class to the size of the larger one.
 
@@ -103,7 +168,8 @@ def smote(
     and one of its k nearest minority neighbours. Copies count as neighbours at distance 0:
     with m copies of a row, m-1 of its k neighbours are equal to it.
     """
-    counts = {r[label]: r["count"] for r in frame.groupBy(label).count().collect()}  # two rows
+    labelled = frame.filter(F.col(label).isNotNull())
+    counts = {r[label]: r["count"] for r in labelled.groupBy(label).count().collect()}  # two rows
     given = frame.select("customer_id", *features, label, F.lit(False).alias("synthetic"))
     if len(counts) < 2 or len(set(counts.values())) == 1:
         return given
@@ -117,13 +183,20 @@ def smote(
         "customer_id", F.array(*[F.col(c).cast("double") for c in features]).alias("x")
     )
     numbered = global_positions(rows, ["x", "customer_id"], "start")
-    distinct = numbered.groupBy("x").agg(F.min("start").alias("row_id"), F.count(F.lit(1)).alias("copies"))
+    distinct = cut_lineage(
+        numbered.groupBy("x").agg(F.min("start").alias("row_id"), F.count(F.lit(1)).alias("copies")).select("row_id", "x", "copies")
+    )
     near = cut_lineage(nearest_neighbours(distinct, k, block_rows))
 
     # Every row starts an even share of the new rows; the remainder goes to the first ones.
     share, rest = divmod(missing, size)
     turns = F.when(F.col("start") <= rest, share + 1).otherwise(share)
-    starts = numbered.join(distinct, "x").select(
+    # Copies are numbered on from their row_id; a large group is dealt out in runs before it is unrolled.
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {BLOCK_ROWS}")))
+    runs = distinct.withColumn("run", run).repartition("row_id", "run")
+    begin = F.col("row_id") + F.col("run") * BLOCK_ROWS
+    end = F.least(begin + BLOCK_ROWS - 1, F.col("row_id") + F.col("copies") - 1)
+    starts = runs.withColumn("start", F.explode(F.sequence(begin, end))).select(
         "row_id", "x", "copies", "start", turns.alias("turns")
     ).filter("turns > 0").withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("turns"))))
 

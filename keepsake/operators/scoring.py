@@ -87,16 +87,20 @@ def score_customer(tables: Tables, model: LinearModel, customer_id: str) -> Data
 def at_risk_scored(tables: Tables, model: LinearModel, limit: int = 20, threshold: float = 0.5) -> DataFrame:
     """Score the top of the at-risk profile, then keep those at the threshold or above.
 
-    The limit comes first, so fewer rows than `limit` may remain.
+    The limit comes first, so fewer rows than `limit` may remain. The row is the profile with
+    its probability, level and ranked reasons.
     """
+    from keepsake.operators.explain import top_reasons
+
+    profile = ("gender", "senior_citizen", "partner", "dependents")
     top = profile_to_request(at_risk_profile(tables, limit))
-    scored = score_requests(top, model, keep=("contract_type", "payment_method"))
+    scored = score_requests(top, model, keep=(*profile, "contract_type", "payment_method"))
     return (
-        scored.filter(F.col("probability") >= threshold)
-        .withColumn("churn_probability", F.round("probability", 4))
+        top_reasons(scored.filter(F.col("probability") >= threshold), model)
+        .withColumns({"churn_probability": F.round("probability", 4), "churn": F.lit(False)})
         .select(
-            "customer_id", "tenure_months", "monthly_charges", "total_charges", "contract_type",
-            "payment_method", "churn_probability", "risk_level",
+            "customer_id", *profile, "tenure_months", "monthly_charges", "total_charges", "churn", "contract_type",
+            "payment_method", "churn_probability", "risk_level", "top_reasons",
         )
     )
 

@@ -789,8 +789,10 @@ def statements() -> dict[str, str]:
     )
     top = f"SELECT customer_id FROM base WHERE {_AT_RISK} ORDER BY monthly_charges DESC, customer_id LIMIT 50"
     sql["l5_at_risk_scored"] = (
-        "SELECT customer_id, CAST(tenure_months AS BIGINT) AS tenure_months, monthly_charges, total_charges, contract_type,"
-        f" payment_method, churn_probability, risk_level FROM scored WHERE probability >= 0.8 AND customer_id IN ({top})"
+        "SELECT customer_id, gender, senior_citizen, partner, dependents, CAST(tenure_months AS BIGINT) AS tenure_months,"
+        " monthly_charges, total_charges, FALSE AS churn, contract_type, payment_method, churn_probability, risk_level,"
+        f" CAST(reason_rank AS BIGINT) AS reason_rank, feature, {_DIRECTION} AS direction"
+        f" FROM scored JOIN reasons USING (customer_id) WHERE probability >= 0.8 AND customer_id IN ({top})"
     )
 
     # analytic queries

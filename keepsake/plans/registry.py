@@ -415,6 +415,13 @@ def _reasons(t: Tables) -> DataFrame:
     return _rounded(explain.reason_rows(_with_reasons(t)), "impact", "shap_value", digits=4)
 
 
+def _at_risk_scored(t: Tables) -> DataFrame:
+    rows = scoring.at_risk_scored(t, fixed_model(), 50, 0.8)
+    return rows.select(
+        *[c for c in rows.columns if c != "top_reasons"], F.posexplode("top_reasons").alias("p", "r")
+    ).select("*", (F.col("p") + 1).alias("reason_rank"), "r.feature", "r.direction").drop("p", "r")
+
+
 def _reason_text(df: DataFrame) -> DataFrame:
     long = explain.attributions(df, fixed_model()).select(
         "feature", F.when(F.col("phi") > 0, "increases").otherwise("decreases").alias("direction")
@@ -548,7 +555,7 @@ def all_queries() -> dict[str, Query]:
         "l2_list_customers": _on_tables(lambda t: views.list_customers(t, 20, 40)),
         "l3_at_risk_profile": _on_tables(lambda t: views.at_risk_profile(t, 50)),
         "l4_search_customers": _on_tables(lambda t: views.search_customers(t, "R#00000_1", 20)),
-        "l5_at_risk_scored": _on_tables(lambda t: scoring.at_risk_scored(t, model, 50, 0.8)),
+        "l5_at_risk_scored": _on_tables(_at_risk_scored),
         "q01_overall_summary": _on_tables(analytics.overall_summary),
         "q02_churn_by_contract": _on_tables(analytics.churn_by_contract),
         "q03_churn_by_tenure": _on_tables(analytics.churn_by_tenure),

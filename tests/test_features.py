@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from keepsake.operators import features, views
 from keepsake.plans.fixed_model import ROWS
@@ -63,28 +64,40 @@ def test_fitted_mode_keeps_training_values(spark, base):
 
 
 def test_serve_example(spark):
-    """One record worked out by hand."""
+    """One record worked out by hand: just started, no total yet, long contract, paid by card."""
     row = dict(
-        customer_id="x", gender="Female", senior_citizen=False, partner=True, dependents=False, tenure_months=12,
-        monthly_charges=70.35, total_charges=844.2, contract_type="Month-to-month",
-        payment_method="Electronic check", paperless_billing=True, phone_service=True, multiple_lines=False,
-        internet_service="Fiber optic", online_security=False, online_backup=False, device_protection=False,
-        tech_support=False, streaming_tv=True, streaming_movies=True,
+        customer_id="y", gender="Male", senior_citizen=True, partner=False, dependents=False, tenure_months=0,
+        monthly_charges=24.5, total_charges=None, contract_type="Two year",
+        payment_method="Credit card (automatic)", paperless_billing=False, phone_service=True, multiple_lines=True,
+        internet_service="DSL", online_security=True, online_backup=False, device_protection=False,
+        tech_support=True, streaming_tv=False, streaming_movies=False,
     )
     from keepsake.schema import REQUEST_SCHEMA
 
     request = spark.createDataFrame([tuple(row[f.name] for f in REQUEST_SCHEMA)], REQUEST_SCHEMA)
     got = features.with_features(request, "serve").first().asDict()
     want = dict(
-        total_services=4, tenure_quartile=1, tenure_bucket=2, monthly_charge_quartile=3, is_high_value=1,
-        risk_mtm=1, risk_new=0, risk_echeck=1, risk_no_support=1, risk_high_charge=1, risk_fiber=1,
-        risk_factors_count=5, risk_score=8, high_risk_flag=1, mtm_high_value=1, fiber_no_support=1,
-        spending_trend=-1 if 844.2 / 12 < 70.35 else (1 if 844.2 / 12 > 70.35 else 0), premium_service_count=2,
-        has_family=1, family_size_proxy=1, senior_alone=0, contract_length=0, tenure_contract_interaction=0,
+        total_services=5, premium_service_count=2, has_security_bundle=1, has_support_bundle=1, has_streaming_bundle=0,
+        internet_dsl=1, internet_fiber=0, has_family=0, family_size_proxy=0, senior_alone=1, contract_length=2,
+        is_month_to_month=0, has_long_contract=1, has_auto_payment=1, payment_credit_card=1, payment_mailed_check=0,
+        tenure_bucket=1, tenure_quartile=1, is_new_customer=1, is_established=0, monthly_charge_quartile=1,
+        is_high_value=0, avg_monthly_spend=24.5, charge_per_service=4.9, estimated_clv=None, spending_trend=0,
+        risk_mtm=0, risk_new=1, risk_echeck=0, risk_no_support=0, risk_high_charge=0, risk_fiber=0,
+        risk_factors_count=1, risk_score=2, high_risk_flag=0, senior_mtm=0, tenure_contract_interaction=0,
     )
     assert {k: got[k] for k in want} == want
 
 
+def test_statistics_of_nothing(spark, base):
+    blank = base.withColumns({c: F.lit(None).cast(base.schema[c].dataType) for c in ("monthly_charges", "total_charges")})
+    for given in (base.limit(0), blank):
+        stats = features.FeatureStats.fit(given)
+        assert stats.median_monthly is None and stats.median_charge_per_service is None
+        assert features.FeatureStats.from_frame(stats.to_frame(spark)) == stats
+        rows = features.training_frame(given, stats).collect()
+        assert len(rows) == given.count() and {(r["is_high_value"], r["risk_high_charge"]) for r in rows} <= {(0, 0)}
+
+
 def test_missing_features_are_reported(spark, base):
     built = features.with_features(base, "serve").drop("risk_score")
     selected, missing = features.select_features(built)

@@ -77,6 +77,26 @@ def test_neighbours_equal_brute_force(spark, block_rows):
         assert [got[i][p] for p in range(1, 6)] == list(np.argsort(d[i])[:5])
 
 
+def test_neighbour_search_passes_over_far_cells(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(25, 4))[draw.integers(25, size=2500)] * 10 + draw.normal(size=(2500, 4))
+    distinct = spark.createDataFrame([(i + 1, [float(v) for v in row], 1) for i, row in enumerate(x)], "row_id long, x array<double>, copies long")
+    met, compare = [], resampling._in_cells
+
+    def counted(asking, cells, sizes, k):
+        pairs = asking.groupBy("cell").count().join(sizes, "cell")
+        met.append(pairs.agg(F.sum(F.col("count") * F.col("rows"))).first()[0])
+        return compare(asking, cells, sizes, k)
+
+    monkeypatch.setattr(resampling, "_in_cells", counted)
+    got = resampling.nearest_neighbours(distinct, 5).orderBy("row_id", "place").collect()
+    squares = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(squares, np.inf)
+    want = np.sort(squares, axis=1)[:, :5]
+    assert np.allclose(np.array([r["distance"] for r in got]).reshape(-1, 5), want)
+    assert sum(met) < 2500**2 / 4
+
+
 def test_smote_balances_and_stays_on_segments(spark):
     points, df = cloud(spark, 30, 15)
     out = resampling.smote(df, ["a", "b", "c"], block_rows=16)
