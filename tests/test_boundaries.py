@@ -13,6 +13,7 @@ from keepsake.operators import analytics, features, reports, scoring, views
 from keepsake.plans.fixed_model import fixed_model
 from keepsake.schema import Tables
 from keepsake.sources import quality, raw
+from keepsake.sources.star_schema import retention_tables
 
 CUSTOMER = (
     "customer_id string, gender string, senior_citizen boolean, partner boolean, dependents boolean,"
@@ -196,3 +197,33 @@ def test_cleaning(spark):
     assert {str(r["contract_start_date"]) for r in contracts} == {"2024-01-01"}
     days = [r["churn_date"] for r in t.customers.collect()]
     assert None in days and sum(d is not None for d in days) == 1
+
+
+def test_histogram_counts_every_row(spark):
+    df = spark.createDataFrame([(v,) for v in (-1.0, 0.0, 5.0, 10.0, 130.0, 200.0, None)], "v double")
+    got = {r["bin"]: r["n"] for r in reports.histogram(df, F.col("v"), 0.0, 10.0, 2).collect()}
+    assert got == {-1: 1, 0: 1, 1: 2, 2: 2, None: 1}
+
+
+def test_services_beyond_the_fixed_ones_are_reported(spark):
+    from dataclasses import replace
+
+    tables = retention_tables(spark, "/root/testdata/sf0.001")
+    added = tables.service_types.limit(1).withColumns({"service_type_id": F.lit(70), "service_name": F.lit("NewService")})
+    held = tables.customers.limit(3).select("customer_id", F.lit(70).alias("service_type_id"), F.lit(True).alias("is_subscribed"))
+    more = replace(
+        tables, service_types=tables.service_types.unionByName(added),
+        customer_services=tables.customer_services.unionByName(held),
+    )
+    rows = {r["service_name"]: r for r in analytics.service_adoption(more).collect()}
+    assert len(rows) == 12 and rows["NewService"]["customers_with_service"] == 3
+    assert rows["NewService"]["customers_without_service"] == tables.customers.count() - 3
+
+
+def test_scored_and_rejected_requests_are_all_requests(spark):
+    tables = retention_tables(spark, "/root/testdata/sf0.001")
+    requests = features.profile_to_request(views.feature_base(tables))
+    rejected = quality.rejected_requests(requests)
+    assert 0 < rejected.count() < requests.count()
+    assert quality.valid_requests(requests).count() + rejected.count() == requests.count()
+    assert rejected.filter("size(broken_rules) = 0").count() == 0
