@@ -8,6 +8,7 @@ import pytest
 
 from keepsake.llm import embedding_dedup, neighbours, url_rules
 from keepsake.llm.graph import components
+from keepsake.llm.packing import Packer
 from keepsake.llm.queries import URL_RULES
 from keepsake.llm.shingles import gram_hashes, sliding_min
 from keepsake.llm.signature_tree import Groups, unite, width_of
@@ -193,3 +194,36 @@ def test_rolling_hashes_and_minima():
     assert len(set(same.values())) == len(same)
     assert sliding_min(grams, 7).tolist() == [grams[i : i + 7].min() for i in range(len(grams) - 6)]
     assert SHARD_BYTES > 0
+
+
+def test_packer_over_many_groups_loses_no_id():
+    draw = np.random.default_rng(6)
+    for tiers in ((2048, 1024, 512, 256, 128), (64, 32)):
+        packer, lengths, held = Packer(3, tiers, 1 << 14), [], 0
+        for i in range(600):
+            n = int(draw.choice([1, 5, tiers[-1], tiers[0], tiers[0] + 1, draw.integers(1, 3 * tiers[0])]))
+            lengths.append(n)
+            packer.add(i, np.arange(n, dtype=np.uint16))
+            if i % 37 == 0:
+                packer.pack()
+                held = len(packer.rows)
+        packer.finish()
+        rows = packer.taken().to_pylist()
+        assert held < len(rows)
+        spans, windows = {}, {}
+        for r in rows:
+            spans.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+            windows.setdefault((r["sequence_id"], r["window"]), []).append((r["offset"], r["length"]))
+        for i, n in enumerate(lengths):
+            at = 0
+            for start, length in sorted(spans[i]):
+                assert start == at
+                at += length
+            assert at == n
+        for (_, window), parts in windows.items():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at == window
+        assert sum(w for _, w in windows) == sum(lengths)
