@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from keepsake.functions import bands, ranking
 from keepsake.functions.bands import first_match
 from keepsake.functions.metrics import count_if, mean, percent, percent_of_count, sum_if
-from keepsake.operators.views import subscribed_counts, with_contract, with_subscribed_rows
+from keepsake.operators.views import with_contract, with_subscribed_rows
 from keepsake.schema import Tables
 
 

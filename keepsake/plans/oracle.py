@@ -1005,12 +1005,13 @@ def statements() -> dict[str, str]:
     sql["p04b_tree_reasons"] = (
         "SELECT customer_id, UNNEST([1, 2, 3])::BIGINT AS reason_rank, 1::BIGINT AS adds_up FROM parts WHERE part = 'test'"
     )
-    sql["m15_training_job"] = "SELECT *, 1::BIGINT AS holds FROM " + _values(
+    held = _values(
         [(c,) for c in (
             "three_models_logged", "metrics_in_range", "best_has_largest_auc", "reloaded_scores_all_test_rows",
             "reloaded_equals_model", "parts_add_up",
-        )], "\"check\"",
+        )], '"check"',
     )
+    sql["m15_training_job"] = f"SELECT *, 1::BIGINT AS holds FROM ({held})"
     sql["p05_top_reasons"] = reason.replace("{text}", _texts(ONLINE_NAMES))
     sql["p06_reason_text"] = (
         f"SELECT feature, direction, {_readable(ONLINE_NAMES)} || ' ' || direction || ' churn risk' AS online_text,"
