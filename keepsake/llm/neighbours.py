@@ -6,7 +6,8 @@ on a bounded sample; every vector is routed to a leaf. A query goes down best bi
 priority queue holds the nodes met so far by the distance to their centres, and leaves are
 taken from it until a number of visits. That number is widened on a set of calibration
 queries, whose true neighbours come from comparing them with all rows, until their mean
-recall reaches TARGET.
+recall reaches TARGET. A query whose visited leaves do not hold k rows besides those of its
+own id goes on to further leaves, so it gets fewer than k only if there are fewer.
 
 Leaves that stand next to each other in the tree form bins of about BIN rows. A query goes
 once to each bin it visits, with the list of its leaves there. Bins with more rows and bins
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepsake.llm.store import written
+from keepsake.llm.store import spread_parts, written
 from keepsake.llm.vectors import k_means, matrix, sample, squared_distances, valid
 
 SAMPLE, FAN = 20_000, 8
@@ -76,13 +77,15 @@ class Tree:
                 waiting += [(kid, rows[nearest == k]) for k, kid in enumerate(self.kids[node])]
         return out
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """Leaves in best-bin-first order."""
-        queue, found = [(0.0, self.root)], []
-        while queue and len(found) < most:
+    def visits(self, query: np.ndarray, least: int, held: np.ndarray | None = None, needed: int = 0) -> list[int]:
+        """Leaves in best-bin-first order: ``least`` of them, and more until they hold
+        ``needed`` rows, by the rows ``held`` in each leaf."""
+        queue, found, rows = [(0.0, self.root)], [], 0
+        while queue and (len(found) < least or rows < needed):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 found.append(self.leaf[node])
+                rows += 0 if held is None else int(held[self.leaf[node]])
             else:
                 gaps = self.centres[node] - query
                 for kid, distance in zip(self.kids[node], (gaps * gaps).sum(1).tolist()):
@@ -157,7 +160,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of ``vectors`` nearest to each row of
     ``queries`` (both vec_id, embedding), other than the query's own.
 
-    The tree has at most SAMPLE / 2 leaves, so tasks may hold it.
+    The tree has at most SAMPLE / 2 leaves, so tasks may hold it and the rows of each leaf.
     """
     usable = valid(vectors)
     asked = valid(queries).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
@@ -170,13 +173,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     index = written(_index(usable, tree, norm), "tree-index")
     visits = calibrated_visits(tree, index, asked, k)
     per_bin = max(1, round(BIN / max(rows / tree.n_leaves, 1)))
+    held = np.zeros(tree.n_leaves, np.int64)
+    for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect():
+        held[r.leaf] = r.n
+    # rows of the query's own id are no candidates; an id that is not repeated counts one
+    repeated = index.groupBy(F.col("vec_id").alias("own_id")).agg(F.count("*").alias("own")).filter("own > 1")
+    asked = asked.join(repeated, F.col("vec_id") == F.col("own_id"), "left").select("vec_id", "embedding", F.coalesce("own", F.lit(1)).alias("own"))
+    asked = asked.repartition(spread_parts(vectors.sparkSession, rows, 8 * BLOCK), "vec_id")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, x, out = batch.column("vec_id").to_pylist(), matrix(batch.column("embedding")), []
-            for i, q in zip(ids, x):
+            ids, x, own, out = batch.column("vec_id").to_pylist(), matrix(batch.column("embedding")), batch.column("own").to_pylist(), []
+            for i, q, n in zip(ids, x, own):
                 bins: dict[int, list[int]] = {}
-                for leaf in tree.visits(np.append(q, 0.0), visits):
+                for leaf in tree.visits(np.append(q, 0.0), visits, held, k + n):
                     bins.setdefault(leaf // per_bin, []).append(leaf)
                 out += [(i, q, b, leaves) for b, leaves in bins.items()]
             kinds = (pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.list_(pa.int64()))

@@ -112,6 +112,18 @@ def test_neighbours_of_few_rows_are_all(spark, vectors):
     assert neighbours.search(few, vectors.limit(0)).count() == 0
 
 
+def test_neighbours_of_outliers_beside_a_dense_group(spark):
+    draw = np.random.default_rng(3)
+    x = np.vstack([np.eye(8)[:1].repeat(3000, 0), 3 * draw.normal(size=(60, 8))])
+    vectors = spark.createDataFrame(rows_of(x, np.zeros(len(x))), VECTORS)
+    repeated = vectors.filter("vec_id = 3000").crossJoin(spark.range(40).select()).unionByName(vectors)
+    queries = vectors.filter("vec_id >= 3000 or vec_id % 10 = 0")
+    for given in (vectors, repeated):
+        got = found(neighbours.search(given, queries))
+        assert got.keys() == {r.vec_id for r in queries.collect()}
+        assert {len(v) for v in got.values()} == {20} and all(q not in dict(v) for q, v in got.items())
+
+
 def test_neighbours_recall_on_given_vectors(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
     queries = vectors.filter("vec_id % 20 = 0")
