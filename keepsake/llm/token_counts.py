@@ -1,7 +1,8 @@
 """Token counts as rollups that batches of signed changes keep up to date.
 
 The store has one folder per committed batch with signed ledger rows (what a document
-counted under a tokenizer version, +1 when it begins to count and -1 when it ends) and the
+counted under a tokenizer version, +1 when it begins to count and -1 when it ends; equal
+rows without a doc_id are one ledger row whose sign is their number) and the
 signed sums of these rows by source, language and version. A revision is a -1 of the old
 row and a +1 of the new one. Totals are the sum over the committed batches, so they cost as
 much as the sums, not as the documents. A batch is committed by renaming its finished folder
@@ -9,8 +10,8 @@ to its final name; a batch whose name exists is not applied again, and a folder
 attempt left unfinished has another name and is never read.
 
 Nulls and repeats: a null source or language is a group of its own; rows with a null doc_id
-can't be found again and are counted apart under the key null only by inserts; a document
-that is inserted twice in a batch counts once (the largest n_tokens), a second insert of a
+can't be found again: each insert of one counts as a document of its own, also in the same
+batch, and their revisions and deletes do nothing; a document that is inserted twice in a batch counts once (the largest n_tokens), a second insert of a
 known document is a revision, and deletes of unknown documents do nothing.
 """
 
@@ -64,9 +65,10 @@ class Rollup:
         return self.spark.read.schema(schema).parquet(*done) if done else self.spark.createDataFrame([], schema)
 
     def ledger(self) -> DataFrame:
-        """What counts now: the signed rows that are not taken back."""
+        """What counts now: the signed rows that are not taken back, with ``n_rows``, which
+        is above 1 only for equal rows without a doc_id."""
         rows = self._read("ledger", LEDGER).groupBy("doc_id", "version", "source", "lang", "n_tokens")
-        return rows.agg(F.sum("sign").alias("sign")).filter("sign > 0").drop("sign")
+        return rows.agg(F.sum("sign").alias("n_rows")).filter("n_rows > 0")
 
     def totals(self) -> DataFrame:
         sums = self._read("deltas", DELTAS).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
@@ -76,13 +78,14 @@ class Rollup:
         """Apply a batch once; False if it had been applied.
 
         ``changes``: op (insert, revise or delete), doc_id, version, source, lang, n_tokens;
-        a delete needs doc_id and version only. One change per document and version counts.
+        a delete needs doc_id and version only. One change per document and version counts,
+        and every insert without a doc_id.
         """
         if batch in self.batches():
             return False
         one = F.max_by(F.struct("op", "source", "lang", "n_tokens"), F.struct(F.coalesce("n_tokens", F.lit(-1)), "op", "source", "lang"))
-        asked = changes.groupBy("doc_id", "version").agg(one.alias("c")).select("doc_id", "version", "c.*", F.lit(1).alias("asked"))
-        known = self.ledger().select("doc_id", "version", *[F.col(c).alias(f"old_{c}") for c in ("source", "lang", "n_tokens")])
+        asked = changes.filter("doc_id is not null").groupBy("doc_id", "version").agg(one.alias("c")).select("doc_id", "version", "c.*", F.lit(1).alias("asked"))
+        known = self.ledger().filter("doc_id is not null").select("doc_id", "version", *[F.col(c).alias(f"old_{c}") for c in ("source", "lang", "n_tokens")])
         met = asked.join(known, ["doc_id", "version"], "left")
         old = F.struct(
             "doc_id", "version", F.col("old_source").alias("source"), F.col("old_lang").alias("lang"),
@@ -93,6 +96,10 @@ class Rollup:
         signed = met.select(F.inline(F.filter(
             F.array(F.when(was, old), F.when(stays, new)), lambda r: r.isNotNull()
         )))
+        nameless = changes.filter("doc_id is null and op = 'insert' and n_tokens is not null").select(
+            F.lit(None).cast("long").alias("doc_id"), "version", "source", "lang", F.col("n_tokens").cast("long").alias("n_tokens")
+        )
+        signed = signed.unionByName(nameless.groupBy(*nameless.columns).agg(F.count("*").alias("sign")))
         attempt = f"attempt-{uuid.uuid4().hex}"
         signed.write.parquet(f"{self.folder}/{attempt}/ledger")
         rows = self.spark.read.schema(LEDGER).parquet(f"{self.folder}/{attempt}/ledger")

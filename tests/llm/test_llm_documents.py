@@ -8,6 +8,7 @@ import brute
 import numpy as np
 import pytest
 from compare import connect, differences
+from pyspark.sql import functions as F
 
 from keepsake.llm import jaccard, language, mixing, packing, queries, substring, token_counts, token_files
 from keepsake.llm.store import new_path
@@ -254,3 +255,23 @@ def test_rollup_is_additive_and_idempotent(spark, odd, none):
             want[key][1] += n
     assert {(r.source, r.lang): [r.n_docs, r.n_tokens] for r in store.totals().collect()} == dict(want)
     assert store.ledger().count() == len(ODD) - 1
+
+
+def test_rollup_counts_every_row_without_id(spark, odd, tmp_path):
+    store = token_counts.Rollup(spark, new_path(spark, "test-rollup"))
+    counted = token_counts.counts(odd.withColumn("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id"))))
+    assert store.commit("1", counted.withColumn("op", F.lit("insert")))
+    for op in ("revise", "delete"):
+        assert store.commit(op, counted.filter("doc_id is null").withColumn("op", F.lit(op)))
+    want = token_counts.counts(odd).groupBy("source", "lang", "version").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"))
+    assert sorted(map(repr, store.totals().collect())) == sorted(repr(r).replace(" n=", " n_docs=").replace(" t=", " n_tokens=") for r in want.collect())
+    assert store.ledger().agg(F.sum("n_rows")).first()[0] == 2 * len(ODD)
+
+
+def test_token_counts_query_without_some_ids(spark, tmp_path):
+    texts = [(1, "a b", "x"), (None, "a b", "x"), (None, "c d!! e", "x"), (None, "c d!! e", "x"), (None, "lone one", "y"), (None, "two of $$ us", None), (2, "f", "y"), (3, "f", "y"), (None, None, "y")]
+    frame = spark.createDataFrame([(i, t, "en", s) for i, t, s in texts], "doc_id long, text string, lang string, source string")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/given")
+    next((tmp_path / "given").glob("*.parquet")).replace(tmp_path / "documents.parquet")
+    name = "op9_token_counts"
+    assert differences(queries.all_queries()[name](spark, str(tmp_path)), connect(str(tmp_path)), queries.statements()[name]) == []
