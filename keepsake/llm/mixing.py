@@ -6,8 +6,14 @@ characters. With the integer weight ``a`` of a source and the cycle ``A`` (the s
 weights), its block k is released at slot ``floor(k A / a)`` and due before slot
 ``ceil((k + 1) A / a)``. The earliest deadline first among released blocks fills every slot
 and meets every deadline, so that a source's share never deviates from its weight by one
-block or more. The schedule repeats after A slots; one cycle is made by a fold over A slots
-with one counter per source, so its size does not depend on the documents.
+block or more. The schedule repeats after A slots and is made by a fold over its slots with
+one counter per source.
+
+Default weights have CYCLE slots if that leaves every source within half a block of its
+unrounded share over the whole run. Otherwise they are so fine that rounding does not count;
+then the slots of the run are made, which are fewer than A, and sources whose share of the
+run is below one block take no slot of their own: they are served the characters of their
+share, or once if that is more, within a slot of another source.
 
 A document's place is that of the block in which it begins. Prefix sums are taken in two
 levels (hash buckets of a source, then rows of a bucket), so no source meets in one task.
@@ -26,8 +32,8 @@ from pyspark.sql import functions as F
 from keepsake.llm.store import written
 
 BLOCK_CHARS = 65_536
-#: Slots of a cycle that weights are rounded to; a source has one slot at least.
-CYCLE = 1000
+#: Slots of a cycle that default weights are rounded to where that is fine enough, and slots folded at once.
+CYCLE, FOLD = 1000, 1000
 
 
 def _bucket_digits(rows: int) -> int:
@@ -44,26 +50,45 @@ def _sizes(docs: DataFrame) -> DataFrame:
     })
 
 
-def flattened_weights(totals: DataFrame) -> DataFrame:
-    """_source, weight: the size to the power 3/4, rounded to CYCLE slots, one at least.
+def flattened_weights(totals: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """_source, _total, share, weight, fine, small, run: the size to the power 3/4.
 
-    The power makes large sources count less than their size and small ones more.
+    The power makes large sources count less than their size and small ones more. ``share``
+    is the unrounded one, ``run`` the blocks until every source has been read once at these
+    shares, ``fine`` says that CYCLE slots do not hold them, ``small`` marks the sources
+    without slots. Weights of sources with slots add up to the cycle.
     """
     power = F.sqrt(F.col("_total")) * F.sqrt(F.sqrt(F.col("_total")))
     together = Window.partitionBy(F.lit(0))  # a row per source
-    share = power / F.sum(power).over(together)
-    return totals.select("_source", F.greatest(F.round(share * CYCLE), F.lit(1)).cast("long").alias("weight"))
+    share, coarse = F.col("share"), F.col("coarse")
+    off = F.abs(coarse / F.sum(coarse).over(together) - share) * F.col("run")
+    rated = (
+        totals.withColumn("share", power / F.sum(power).over(together))
+        .withColumn("coarse", F.greatest(F.round(share * CYCLE), F.lit(1)).cast("long"))
+        .withColumn("run", F.max(F.col("_total") / share).over(together) / block_chars)
+        .withColumn("fine", F.max((off > 0.5) | (share * CYCLE < 0.5)).over(together))
+        .withColumn("small", F.col("fine") & (share * F.col("run") < 1))
+    )
+    own = F.sum(F.when(~F.col("small"), share)).over(together)
+    finest = F.ceil(F.col("run")) * F.count("*").over(together) * 8
+    weight = F.when(F.col("fine"), F.greatest(F.round(share / own * finest), F.lit(1))).otherwise(coarse)
+    return rated.withColumn("weight", weight.cast("long")).drop("coarse")
+
 
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
 
-def _slots(weights: Column) -> Column:
-    """The source index of every slot of a cycle, from the array of weights."""
-    cycle = F.aggregate(weights, F.lit(0).cast("long"), lambda s, w: s + w)
 
-    def step(state: Column, slot: Column, total: Column, given: Column) -> Column:
+def _slots(weights: Column, slots: Column) -> Column:
+    """The source index of each of the first ``slots`` slots, from the array of weights."""
+    zero = F.lit(0).cast("long")
+    cycle = F.aggregate(weights, zero, lambda s, w: s + w)
+
+    def step(state: Column, slot: Column) -> Column:
         served = state["served"]
         due = F.transform(served, lambda n, i: F.when(
-            (n < F.get(given, i)) & (F.floor(n * total / F.get(given, i)) <= slot),
-            F.struct(F.ceil((n + 1) * total / F.get(given, i)).alias("deadline"), i.alias("index")),
+            (n < F.get(weights, i)) & (_div(n * cycle, F.get(weights, i)) <= slot),
+            F.struct(_div((n + 1) * cycle + F.get(weights, i) - 1, F.get(weights, i)).alias("deadline"), i.alias("index")),
         ))
         pick = F.array_min(due)["index"]
         return F.struct(
@@ -71,32 +96,57 @@ def _slots(weights: Column) -> Column:
             F.concat(state["slots"], F.array(pick)).alias("slots"),
         )
 
-    start = F.struct(
-        F.transform(weights, lambda w: F.lit(0).cast("long")).alias("served"), F.array().cast("array<int>").alias("slots")
-    )
-    return F.aggregate(
-        F.sequence(F.lit(0).cast("long"), cycle - 1), start, lambda s, t: step(s, t, cycle, weights), lambda s: s["slots"]
-    )
+    def part(state: Column, first: Column) -> Column:
+        start = F.struct(state["served"].alias("served"), F.array().cast("array<int>").alias("slots"))
+        made = F.aggregate(F.sequence(first, F.least(first + FOLD, slots) - 1), start, step)
+        return F.transform(F.array(made), lambda m: F.struct(
+            m["served"].alias("served"), F.concat(state["parts"], F.array(m["slots"])).alias("parts")
+        ))[0]
 
+    start = F.struct(F.transform(weights, lambda w: zero).alias("served"), F.array().cast("array<array<int>>").alias("parts"))
+    return F.aggregate(F.sequence(zero, slots - 1, F.lit(FOLD).cast("long")), start, part, lambda s: F.flatten(s["parts"]))
 
-def schedule(totals: DataFrame, weights: DataFrame, block_chars: int) -> DataFrame:
-    """_source, _total, weight, cycle, slots (of its blocks within a cycle) and blocks to serve.
 
-    ``blocks`` is what the source is served up to the slot in which the last source has been
-    read once.
+def schedule(totals: DataFrame, weights: DataFrame | None, block_chars: int) -> DataFrame:
+    """_source, _total, weight, cycle, slots (of its blocks within a cycle) and ``limit``, the
+    characters to serve: those up to the slot in which the last source has been read once.
     """
-    given = totals.join(weights, "_source", "left").withColumn("weight", F.coalesce("weight", F.lit(1)).cast("long"))
-    listed = given.agg(F.array_sort(F.collect_list(F.struct("_source", "_total", "weight"))).alias("s")).filter(F.size("s") > 0)
-    timed = listed.withColumn("order", _slots(F.transform("s", lambda x: x["weight"])))
-    each = timed.select("order", F.size("order").cast("long").alias("cycle"), F.posexplode("s").alias("i", "one")).select(
-        "cycle", F.col("one._source").alias("_source"), F.col("one._total").alias("_total"), F.col("one.weight").alias("weight"),
-        F.expr("filter(transform(order, (x, t) -> if(x = i, cast(t as bigint), null)), t -> t is not null)").alias("slots"),
-    )
+    if weights is None:
+        given = flattened_weights(totals, block_chars)
+    else:
+        given = totals.join(weights, "_source", "left").withColumn("weight", F.coalesce("weight", F.lit(1)).cast("long"))
+        given = given.withColumns({"share": F.lit(0.0), "run": F.lit(0.0), "fine": F.lit(False), "small": F.lit(False)})
+    given = written(given, "mix-weights")
     once = F.ceil(F.col("_total") / block_chars)
+    listed = given.filter("not small").withColumn("once", once).agg(
+        F.array_sort(F.collect_list(F.struct("_source", "_total", "weight"))).alias("s"), F.sum("weight").alias("cycle"),
+        F.max("fine").alias("fine"), F.collect_list(F.struct("once", "weight")).alias("ends"), F.sum("share").alias("own"),
+    ).filter(F.size("s") > 0)
+    last = F.array_max(F.transform("ends", lambda e: _div(e["once"] * F.col("cycle") + e["weight"] - 1, e["weight"])))
+    listed = listed.withColumn("n", F.when(F.col("fine"), F.least(last, F.col("cycle"))).otherwise(F.col("cycle"))).drop("ends")
+    timed = written(listed.withColumn("order", _slots(F.transform("s", lambda x: x["weight"]), F.col("n"))), "mix-fold")
+    taken = timed.select(F.posexplode("order").alias("slot", "i")).groupBy("i").agg(
+        F.array_sort(F.collect_list(F.col("slot").cast("long"))).alias("slots")
+    )
+    each = timed.select("cycle", "own", F.posexplode("s").alias("i", "one")).select(
+        "i", "cycle", "own", F.col("one._source").alias("_source"), F.col("one._total").alias("_total"), F.col("one.weight").alias("weight")
+    ).join(taken, "i")
     ends = each.withColumn("end", _slot_of(once - 1) + 1).withColumn("horizon", F.max("end").over(Window.partitionBy("cycle")))
     rest = F.size(F.filter("slots", lambda t: t < F.col("horizon") % F.col("cycle")))
-    blocks = F.floor(F.col("horizon") / F.col("cycle")) * F.col("weight") + rest
-    return ends.withColumn("blocks", blocks.cast("long")).drop("end", "horizon")
+    blocks = _div(F.col("horizon"), F.col("cycle")) * F.col("weight") + rest
+    slotted = written(ends.withColumn("limit", (blocks * block_chars).cast("long")), "mix-slots")
+    columns = ("_source", "_total", "weight", "cycle", "slots", "limit")
+    # sources without slots; if no source has any, they follow each other
+    run = slotted.agg(F.max("horizon").alias("horizon"), F.max("own").alias("own"))
+    small = given.filter("small").withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_source")) - 1)
+    small = small.withColumn("n", F.count("*").over(Window.partitionBy(F.lit(0)))).crossJoin(run)
+    target = F.coalesce(F.col("share") / F.col("own") * F.col("horizon"), F.col("share") * F.col("run")) * block_chars
+    slot = F.coalesce(F.floor((F.col("place") + 0.5) * F.col("horizon") / F.col("n")), F.col("place")).cast("long")
+    unslotted = small.select(
+        "_source", "_total", F.lit(1).cast("long").alias("weight"), F.lit(1).cast("long").alias("cycle"), F.array(slot).alias("slots"),
+        F.greatest(F.col("_total"), F.least(F.ceil(target), F.lit(block_chars))).cast("long").alias("limit"),
+    )
+    return slotted.select(*columns).unionByName(unslotted.select(*columns))
 
 
 def _slot_of(block: Column) -> Column:
@@ -112,8 +162,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = BL
     mix_epoch, place) gives the mixed stream. A document comes once per epoch that its source
     reaches; every document comes at least once.
 
-    The schedule has one row per source and one number per slot of a cycle; buckets have at
-    most one row per source and bucket. Columns ``mix_*`` of the input are replaced.
+    The schedule has one row per source and one number per slot of a cycle or of the run;
+    buckets have one row per source, bucket and epoch, with the slots of that place. Columns ``mix_*`` of the input are replaced.
     """
     docs = docs.drop("mix_epoch", "mix_block", "mix_slot", "mix_start")
     sized = _sizes(docs)
@@ -122,9 +172,19 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = BL
     per_bucket = sized.groupBy("_source", bucket.alias("_bucket")).agg(F.sum("_chars").alias("_in_bucket"))
     per_bucket = written(per_bucket, "mix-buckets")
     totals = per_bucket.groupBy("_source").agg(F.sum("_in_bucket").alias("_total"))
-    plan = written(schedule(totals, flattened_weights(totals) if weights is None else weights, block_chars), "mix-schedule")
+    plan = written(schedule(totals, weights, block_chars), "mix-schedule")
     before = F.sum("_in_bucket").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("_in_bucket")
-    begins = per_bucket.withColumn("_before", before).join(plan, "_source")
+    begins = per_bucket.withColumn("_before", before).join(plan, "_source").select(
+        "*", F.explode(F.expr("sequence(0L, (limit - 1 - _before) div _total)")).alias("mix_epoch")
+    )
+    offset = "_before + mix_epoch * _total"
+    begins = begins.withColumns({
+        "_first": F.expr(f"({offset}) div {block_chars}L"),
+        "_last": F.expr(f"least({offset} + _in_bucket - 1, limit - 1) div {block_chars}L"),
+    }).select(
+        "_source", "_bucket", F.col("limit").alias("_limit"), "mix_epoch", "_first", F.expr(offset).alias("_offset"),
+        F.expr("transform(sequence(_first, _last), b -> (b div weight) * cycle + get(slots, cast(b % weight as int)))").alias("_slots"),
+    )
     inside = Window.partitionBy("_source", "_bucket").orderBy("_key", "doc_id", F.md5(F.coalesce("text", F.lit("")))).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -132,14 +192,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = BL
         sized.withColumn("_bucket", bucket)
         .withColumn("_inside", F.sum("_chars").over(inside) - F.col("_chars"))
         .join(begins, ["_source", "_bucket"])
-        .withColumn("_start", F.col("_before") + F.col("_inside"))
+        .withColumn("mix_start", F.col("_offset") + F.col("_inside"))
+        .filter("mix_start < _limit")
     )
-    last = F.expr(f"(blocks * {block_chars} - 1 - _start) div _total")
-    copies = placed.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    block = F.floor((F.col("_start") + F.col("mix_epoch") * F.col("_total")) / block_chars)
     return (
-        copies.withColumn("mix_block", block)
-        .withColumn("mix_slot", _slot_of(F.col("mix_block")))
-        .withColumn("mix_start", (F.col("_start") + F.col("mix_epoch") * F.col("_total")))
+        placed.withColumn("mix_block", F.expr(f"mix_start div {block_chars}L"))
+        .withColumn("mix_slot", F.expr("get(_slots, cast(mix_block - _first as int))"))
         .select(*[F.col(c) for c in docs.columns], "mix_epoch", "mix_block", "mix_slot", "mix_start")
     )

@@ -225,6 +225,20 @@ def test_mixture_deviates_by_less_than_a_block(docs):
             assert all(abs((t + 1) * share - (b + 1)) < 1 + share * 2 for b, t in blocks.items()), (source, rates[source])
 
 
+@pytest.mark.parametrize("sizes", [[4000, 1], [60] + [1] * 150, [3000, 500, 7, 3], [2, 1, 1]])
+def test_mixture_keeps_unrounded_shares(spark, monkeypatch, sizes):
+    monkeypatch.setattr(mixing, "CYCLE", 100)
+    monkeypatch.setattr(mixing, "FOLD", 64)
+    block, unit = 100, 20
+    rows = [(1000 * s + i % 1000 + 10**7 * (i // 1000), "x" * unit, f"s{s}") for s, n in enumerate(sizes) for i in range(n)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(frame, block_chars=block).groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).collect()
+    served, power = {r.source: r.n * unit for r in got}, [(n * unit) ** 0.75 for n in sizes]
+    assert {r.source: r.d for r in got} == {f"s{s}": n for s, n in enumerate(sizes)}
+    for s, p in enumerate(power):
+        assert abs(served[f"s{s}"] - p / sum(power) * sum(served.values())) <= 2 * block
+
+
 def test_mixture_of_odd_rows(spark, odd, none, twice):
     got = mixing.mix(odd).collect()
     assert {r.doc_id for r in got} == {r[0] for r in ODD} and {r.source for r in got} == {"a", "b", "c", None}
