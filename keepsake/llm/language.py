@@ -45,6 +45,11 @@ FAMILIES = {
     "indic": ("hi", "bn", "ur", "mr", "ne", "pa", "gu"),
 }
 
+#: What _LETTER finds, and what it doesn't, for Spark's expressions.
+LETTER, NO_LETTER = r"[\p{L}\p{Nl}\p{No}]", r"[^\p{L}\p{Nl}\p{No}]+"
+#: Labelled texts of the held-out fold that limits come from, the share of the least letters of
+#: right ones that is a floor, and the quantile of their scores from which a score is sure.
+HELD_OUT, SLACK, LEAST = 2000, 0.9, 0.02
 _LETTER = re.compile(r"[^\W\d_]")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
@@ -233,3 +238,21 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(predict, f"{kinds}, lang_pred string, score double")
+
+
+def letter_share(text) -> F.Column:
+    """Letters among the characters of a text that are not spaces."""
+    return F.length(F.regexp_replace(text, NO_LETTER, "")) / F.length(F.regexp_replace(text, r"\s+", ""))
+
+
+def limits(docs: DataFrame, model: Model) -> tuple[float, float]:
+    """The floors of letter share and of sure scores, from right predictions for a
+    hash-chosen bounded sample of the labelled held-out fold; without any, both are 0."""
+    held = docs.filter(F.col("lang").isin(model.langs) & F.col("text").isNotNull() & (fold_of(F.col("doc_id")) == 2))
+    n = held.count()
+    rank = F.pmod(F.xxhash64("doc_id", F.lit("limits")), F.lit(1 << 30)) / float(1 << 30)
+    chosen = held.filter(rank < HELD_OUT / max(n, 1)).select("lang", "text")
+    right = identify(chosen, model).filter("lang_pred = lang").agg(
+        F.min(letter_share(F.col("text"))).alias("letters"), F.percentile("score", F.lit(LEAST)).alias("least")
+    ).first()
+    return (0.0, 0.0) if right.least is None else (SLACK * right.letters, right.least)
