@@ -59,6 +59,23 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM f WHERE n
 """
 
 
+_ARCHIVE = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), d AS (
+  SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS x,
+         max(page_id) OVER w AS top, row_number() OVER (PARTITION BY body ORDER BY page_id DESC NULLS LAST) AS nth
+  FROM p WINDOW w AS (PARTITION BY body)
+)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, 1 + 10 * (i // 8), 10))::BIGINT
+    >> (35 - 5 * (i % 8))) & 31)::INT + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN nth > 1 THEN top END AS refers_to
+FROM d
+"""
+
+
 def _counts() -> str:
     words, pieces = token_counts.VERSIONS["words-1"], token_counts.VERSIONS["pieces-1"]
     return f"""
@@ -75,4 +92,4 @@ SELECT source, lang, version, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_to
 
 
 def statements() -> dict[str, str]:
-    return {"op1_mixing": _MIX, "op6_url_rules": _URLS, "op9_token_counts": _counts()}
+    return {"op1_mixing": _MIX, "op6_url_rules": _URLS, "op9_token_counts": _counts(), "op11_warc": _ARCHIVE}

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.store import fill_text, ship_package
+from keepsake.llm.store import fill_text, ship_package, use_memory
 from keepsake.llm.tokens import default_vocabulary, encoder
 
 TIERS = (2048, 1024, 512, 256, 128)
@@ -150,6 +150,7 @@ def pack(
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_memory("tokens")
         tool, packer, held = encoder(vocabulary), Packer(TaskContext.get().partitionId(), tiers, step_tokens), 0
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.llm import (
-    embedding_dedup, jaccard, language, mixing, neighbours, packing, substring, token_counts, token_files, url_rules,
+    alignment, embedding_dedup, jaccard, language, mixing, neighbours, packing, runs, substring, token_counts,
+    token_files, url_rules, warc,
 )
-from keepsake.llm.store import new_path, table
+from keepsake.llm.store import new_path, table, written
+from keepsake.schema import literal_rows
 
 URL_RULES = [
     ("com", "/", "allow"),
@@ -47,7 +49,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = literal_rows(spark, URL_RULES, ["host", "path", "verdict"])
     return url_rules.judge(table(spark, sf_dir, "pages"), rules)
 
 
@@ -61,6 +63,8 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(docs, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+#: A word, as the operators split texts.
+WORD = r"[^\x20\x09-\x0D]+"
 #: Runs of signs that the cleaning before the third batch takes out.
 SIGN_RUNS = "[*%$&#!]{2,}"
 
@@ -96,6 +100,54 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arcs, warcs = new_path(spark, "arc"), new_path(spark, "warc")
+    warc.write_arc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), arcs)
+    warc.convert(spark, arcs, warcs, least=0)
+    records = warc.with_referred_keys(written(warc.read_warc(spark, warcs), "warc-records"))
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    aligned = written(aligned.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    figures = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    return alignment.scored(aligned).select("doc_id", *figures)
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """In about a tenth of the documents, chosen by a hash of doc_id, the words repeat from some
+    word on; the others, and those without a doc_id or a text, are left as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words):
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        places = F.sequence(F.lit(0).cast("long"), n - 1)
+        moved = F.transform(places, lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+        return F.when(n > 0, F.array_join(moved, " "))
+
+    split = F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))  # in an array, so that words are split once
+    text = F.when(h % 10 == 0, F.coalesce(F.get(F.transform(split, repeated), F.lit(0)), F.col("text"))).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find(planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    first = F.get(F.array_sort("runs", runs.stronger), F.lit(0))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    listed = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    best = found.withColumn("best", first)
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256"),
+    )
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -108,6 +160,9 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring": op8_substring,
         "op9_token_counts": op9_token_counts,
         "op10_jaccard": op10_jaccard,
+        "op11_warc": op11_warc,
+        "op12_alignment": op12_alignment,
+        "op13_runs": op13_runs,
     }
 
 

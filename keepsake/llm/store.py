@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 from tempfile import NamedTemporaryFile
 
@@ -14,11 +16,40 @@ import keepsake
 from keepsake.storage import new_path
 
 _shipped: set[str] = set()
+#: What the operators of one worker remember: how to empty it, by name.
+_memories: dict[str, Callable[[], None]] = {}
+_in_use: list[str] = [""]
+#: Rows of the batches that Spark hands to Python where the session keeps its default of 10,000.
+BATCH_ROWS = 2000
+
+
+def memory(name: str, clear: Callable[[], None]) -> None:
+    _memories[name] = clear
+
+
+def use_memory(name: str) -> None:
+    """Workers outlive a stage: empty what other operators remember, and hand free memory back."""
+    if _in_use[0] == name:
+        return
+    _in_use[0] = name
+    for other, clear in _memories.items():
+        if other != name:
+            clear()
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
 
 
 def ship_package(spark: SparkSession) -> None:
     """Hand the package's modules to the workers, once per application, as Spark ships files
     of a job; they need not have it installed."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":  # texts are long: smaller batches, unless the session has its own
+        spark.conf.set(rows, str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keepsake.llm.store import fill_text, written
+from keepsake.llm.store import fill_text, ship_package, use_memory, written
 from keepsake.llm.tokens import default_vocabulary, encoder
 
 MAGIC = b"FVB1"
@@ -106,17 +106,37 @@ def decode_shard(content: bytes, ids_by_rank: np.ndarray) -> Iterator[tuple[int
         yield (None if null else doc_id), pieces
 
 
+def joined_binary(arrays: list[np.ndarray], ends: np.ndarray) -> pa.Array:
+    """A binary column with the bytes of each array; ``ends`` begins with 0."""
+    data = pa.py_buffer(np.concatenate(arrays).tobytes() if arrays else b"")
+    if ends[-1] < 1 << 31:
+        return pa.BinaryArray.from_buffers(pa.binary(), len(arrays), [None, pa.py_buffer(ends.astype("<i4").tobytes()), data])
+    return pa.array([a.tobytes() for a in arrays], pa.binary())
+
+
+def all_ids(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows of a binary column without nulls, and where each row's begin."""
+    _, places, data = column.buffers()
+    ends = np.frombuffer(places, "<i4" if column.type == pa.binary() else "<i8")[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    size = np.dtype(dtype).itemsize
+    if data is None or ends[-1] == ends[0]:
+        return np.zeros(0, dtype), ends * 0
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(dtype), (ends - ends[0]) // size
+
+
 def tokenised(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """part, nth (place in the part), doc_id, ids (binary, u16 or u32) in ascending doc_id."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_memory("tokens")
         part, nth, tool = TaskContext.get().partitionId(), 0, encoder(vocabulary)
         for batch in batches:
             ids = tool.encode(batch.column("text").to_pylist(), end_id)
+            ends = np.cumsum([0, *(x.nbytes for x in ids)])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(ids), part, np.int32)), pa.array(np.arange(nth, nth + len(ids), dtype=np.int64)),
-                    batch.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary()),
+                    batch.column("doc_id"), joined_binary(ids, ends),
                 ],
                 ["part", "nth", "doc_id", "ids"],
             )
@@ -133,10 +153,8 @@ def frequencies(ids: DataFrame, size: int, dtype: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for one in batch.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(one, dtype), minlength=size) if len(one) > size else 0
-                if len(one) <= size:
-                    np.add.at(total, np.frombuffer(one, dtype), 1)
+            values, _ = all_ids(batch.column("ids"), dtype)
+            total += np.bincount(values, minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
@@ -149,6 +167,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
     The rank table has at most one row per entry of the vocabulary, whatever the input, so
     the driver may hold it and hand it to the tasks.
     """
+    ship_package(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
     tool = encoder(vocabulary)
     size, dtype = tool.size, tool.dtype.str
@@ -175,15 +194,18 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
             )
 
         for batch in batches:
-            for part, nth, doc_id, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "nth", "doc_id", "ids"))):
+            values, bounds = all_ids(batch.column("ids"), dtype)
+            values = rank_of[values].astype(dtype)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("part", "nth", "doc_id")), bounds[:-1].tolist(), bounds[1:].tolist())
+            for part, nth, doc_id, begin, end in rows:
                 if doc_ids and (held >= SHARD_BYTES or (part, nth) != (last[0], last[1] + 1)):
                     yield close()
                     doc_ids, ranks, held = [], [], 0
                 if not doc_ids:
                     first = (part, nth)
                 doc_ids.append(doc_id)
-                ranks.append(rank_of[np.frombuffer(raw, dtype)].astype(dtype))
-                held += len(raw)
+                ranks.append(values[begin:end])
+                held += (end - begin) * values.itemsize
                 last = (part, nth)
         if doc_ids:
             yield close()
@@ -195,6 +217,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
 
 def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids, u32 binary) of every document in the files."""
+    ship_package(spark)
     ranked = [r.id for r in spark.read.parquet(f"{folder}/ranks").orderBy("rank").collect()]
     ids_by_rank = np.array(ranked, "<u4")
     manifest = spark.read.parquet(f"{folder}/manifest")

@@ -13,7 +13,6 @@ from tokenizers import Tokenizer
 
 def token_ids(texts, end_id):
     tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tool.encode_special_tokens = True
     return [e.ids + [end_id] for e in tool.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
