@@ -318,7 +318,8 @@ def convert(spark: SparkSession, arc_folder: str, folder: str, least: int = 0) -
     ship_package(spark)
     index = written(arc_index(spark, arc_folder), "arc-index")
     by_archive = originals(index, least).groupBy("archive").agg(F.collect_list(F.struct("offset", "record", "url", "date")).alias("revisits"))
-    work = _dealt(spark.read.parquet(f"{arc_folder}/manifest")).join(by_archive, "archive", "left")
+    # Dealt after the join, whose few rows adaptive execution would gather in one task.
+    work = _dealt(spark.read.parquet(f"{arc_folder}/manifest").join(by_archive, "archive", "left"))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_memory("warc")
