@@ -879,7 +879,8 @@ def statements() -> dict[str, str]:
     sql["q14_contract_opportunities"] = (
         f"SELECT {_OFFER} AS recommendation, {N} AS customer_count, {_avg_money('monthly_charges')} AS avg_monthly_charges,"
         f" CAST(SUM(monthly_charges) AS DOUBLE) AS total_monthly_value, {_avg_int('tenure_months')} AS avg_tenure,"
-        f" {_avg_int('subscribed_rows')} AS avg_services FROM counted WHERE NOT churn GROUP BY 1"
+        f" {_avg_int('subscribed_rows')} AS avg_services FROM (SELECT c.*, COALESCE(subscribed_rows, 0) AS subscribed_rows"
+        " FROM contracted c LEFT JOIN held USING (customer_id)) WHERE NOT churn GROUP BY 1"
     )
     sql["q15_executive_kpis"] = _kpi_rows()
     sql["q16_loyal_low_spenders"] = (

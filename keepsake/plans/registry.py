@@ -13,7 +13,7 @@ from keepsake.functions import bands, ranking
 from keepsake.functions.metrics import count_if
 from keepsake.operators import (
     analytics, evaluate, explain, features as feat, reports, resampling, scoring, serving, splits,
-    training, trees, views,
+    training, trees, validation, views,
 )
 from keepsake.plans import job
 from keepsake.plans.fixed_model import fixed_model
@@ -340,7 +340,7 @@ def _trained(name: str) -> Query:
 
 
 def _cross_validated(t: Tables) -> DataFrame:
-    return training.cross_validate_models(views.feature_base(t), training.LEARNERS)
+    return validation.cross_validate(views.feature_base(t))
 
 
 def _run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
