@@ -33,7 +33,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.storage import cut_lineage
+from keepsake.storage import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have the package
 
@@ -242,10 +242,11 @@ def _best(gain: np.ndarray, left: np.ndarray, total: np.ndarray, least: float) -
     return flat[node, best] > least, column, cut, left[node, column, cut], total[:, 0, 0]
 
 
-def set_splits(trees: Trees, at: int, nodes: np.ndarray, columns: np.ndarray, found: tuple, edges: list[np.ndarray], value: Callable) -> np.ndarray:
-    """Write what was found for the nodes of one level; returns the children to look at next."""
+def set_splits(trees: Trees, at: int, nodes: np.ndarray, columns: np.ndarray, found: tuple, edges: list[np.ndarray], value: Callable, weight: int) -> np.ndarray:
+    """Write what was found for the nodes of one level; returns the children to look at next.
+    ``weight`` is the sum that a node's cover is: the hessian, or the weight of its rows."""
     good, column, cut, left, total = found
-    trees.value[at, nodes], trees.cover[at, nodes], trees.rows[at, nodes] = value(total), _cover(total), np.round(total[:, 2])
+    trees.value[at, nodes], trees.cover[at, nodes], trees.rows[at, nodes] = value(total), total[:, weight], np.round(total[:, 2])
     split = nodes[good]
     if not len(split):
         return split
@@ -253,14 +254,10 @@ def set_splits(trees: Trees, at: int, nodes: np.ndarray, columns: np.ndarray, fo
     trees.feature[at, split], trees.bin[at, split] = chosen, cut[good]
     trees.threshold[at, split] = [edges[f][b] if b < len(edges[f]) else np.inf for f, b in zip(chosen, cut[good])]
     for child, sums in ((2 * split + 1, left[good]), (2 * split + 2, (total - left)[good])):
-        trees.value[at, child], trees.cover[at, child], trees.rows[at, child] = value(sums), _cover(sums), np.round(sums[:, 2])
+        trees.value[at, child], trees.cover[at, child], trees.rows[at, child] = value(sums), sums[:, weight], np.round(sums[:, 2])
     return np.sort(np.concatenate([2 * split + 1, 2 * split + 2]))
 
 
-def _cover(sums: np.ndarray) -> np.ndarray:
-    return sums[:, 2]
-
-
 # --- growing: the same steps on one block or over all -------------------------------------------
 
 
@@ -303,7 +300,7 @@ def boost_in_block(block: Block, shape: Shape, p: Boosting) -> Trees:
         nodes, columns = np.zeros(1, np.int64), boost_columns(p, block.bins.shape[1], block.model, at)
         for _ in range(p.depth):
             found = boost_splits(boost_histogram(block, margins, trees, at, nodes, columns, p, shape.heavy), p)
-            nodes = set_splits(trees, at, nodes, columns, found, shape.edges, boost_value(p))
+            nodes = set_splits(trees, at, nodes, columns, found, shape.edges, boost_value(p), 1)
             if not len(nodes):
                 break
         margins += trees.value[at, trees.nodes_of(at, block.bins)]
@@ -317,7 +314,7 @@ def forest_in_block(block: Block, shape: Shape, p: Forest, begin: int, end: int)
         for _ in range(p.depth):
             columns = forest_columns(p, block.bins.shape[1], block.model, begin + at, nodes)
             found = forest_splits(forest_histogram(block, trees, at, begin + at, nodes, columns, p, shape.balanced), p)
-            nodes = set_splits(trees, at, nodes, columns, found, shape.edges, forest_value)
+            nodes = set_splits(trees, at, nodes, columns, found, shape.edges, forest_value, 0)
             if not len(nodes):
                 break
     return trees
@@ -362,7 +359,7 @@ class Training:
         edges = edges_of(frame, features)
         counts = {(r["model"], int(r["churn"])): r["n"] for r in frame.groupBy("model", "churn").agg(F.count("*").alias("n")).collect()}
         self.shapes = {m: Shape((counts.get((m, 0), 0), counts.get((m, 1), 0)), e) for m, e in edges.items()}
-        self.blocks = cut_lineage(self._packed(frame, edges, rows)).persist()
+        self.blocks = stored(self._packed(frame, edges, rows)).persist()
         held = self.blocks.groupBy("model").agg(F.count("*").alias("blocks")).collect()
         self.split = {r["model"]: r["blocks"] for r in held}
 
@@ -490,7 +487,7 @@ class Training:
                 found = best_of(self._summed(work), lambda h: boost_splits(h, p), {(m, at): len(columns[m]) for m in asked})
                 for m, n in asked.items():
                     rows = tuple(np.array(c) for c in zip(*(found[m, at, int(i)] for i in n)))
-                    nodes[m] = set_splits(trees[m], at, n, columns[m], rows, shapes[m].edges, boost_value(p))
+                    nodes[m] = set_splits(trees[m], at, n, columns[m], rows, shapes[m].edges, boost_value(p), 1)
                 nodes |= {m: np.zeros(0, np.int64) for m in models if m not in asked}
         return trees
 
@@ -520,7 +517,7 @@ class Training:
                 found = best_of(self._summed(work), lambda h: forest_splits(h, p), {k: p.columns(width) for k in asked})
                 for (m, t), n in asked.items():
                     rows = tuple(np.array(c) for c in zip(*(found[m, t, int(i)] for i in n)))
-                    below = set_splits(trees[m], t, n, columns[m, t], rows, shapes[m].edges, forest_value)
+                    below = set_splits(trees[m], t, n, columns[m, t], rows, shapes[m].edges, forest_value, 0)
                     if len(below):
                         waiting[m, t] = below
         return trees

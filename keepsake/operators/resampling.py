@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keepsake.functions.ranking import global_positions
-from keepsake.storage import cut_lineage
+from keepsake.storage import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have the package
 
@@ -72,7 +72,7 @@ def _pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def _in_cells(asking: DataFrame, cells: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
     """Each asking row (row_id, x, cell) against the rows of its cell, in blocks of bounded size."""
     asked = asking.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("askers"))
-    split = cut_lineage(asked.join(sizes.select("cell", "answers"), "cell"))
+    split = stored(asked.join(sizes.select("cell", "answers"), "cell"))
     own = lambda n: F.pmod(F.xxhash64("row_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = asking.join(split, "cell").select("cell", own("askers").alias("asks"), every("answers").alias("block"), "row_id", "x")
@@ -103,12 +103,12 @@ def pivot_cells(distinct: DataFrame, block_rows: int) -> tuple[DataFrame, DataFr
             nearest = d.argmin(axis=1)
             yield batch.assign(cell=nearest, away=d[np.arange(len(d)), nearest])
 
-    placed = cut_lineage(distinct.mapInPandas(assign, "row_id long, x array<double>, copies long, cell long, away double"))
+    placed = stored(distinct.mapInPandas(assign, "row_id long, x array<double>, copies long, cell long, away double"))
     sizes = placed.groupBy("cell").agg(
         F.count(F.lit(1)).alias("rows"), F.max("away").alias("radius"),
         F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("answers"),
     )
-    return placed, cut_lineage(sizes), pivots
+    return placed, stored(sizes), pivots
 
 
 def other_cells(bounded: DataFrame, sizes: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -138,14 +138,14 @@ def nearest_neighbours(distinct: DataFrame, k: int, block_rows: int | None = Non
     that bound are met too. Large cells are met in blocks. The result is exact.
     """
     placed, sizes, pivots = pivot_cells(distinct, block_rows or BLOCK_ROWS)
-    first = cut_lineage(_in_cells(placed.select("row_id", "x", "cell"), placed, sizes, k))
+    first = stored(_in_cells(placed.select("row_id", "x", "cell"), placed, sizes, k))
     closest = W.partitionBy("row_id").orderBy("distance", "other_id")
     best = first.withColumn("place", F.row_number().over(closest)).filter(F.col("place") == k)
     bounds = best.select("row_id", F.sqrt("distance").alias("bound"))
     bounded = placed.join(bounds, "row_id", "left").select(
         "row_id", "x", "cell", F.coalesce("bound", F.lit(float("inf"))).alias("bound")
     )
-    more = _in_cells(cut_lineage(other_cells(bounded, sizes, pivots)), placed, sizes, k)
+    more = _in_cells(stored(other_cells(bounded, sizes, pivots)), placed, sizes, k)
     return first.unionByName(more).withColumn("place", F.row_number().over(closest)).filter(F.col("place") <= k)
 
 
@@ -183,10 +183,10 @@ def smote(
         "customer_id", F.array(*[F.col(c).cast("double") for c in features]).alias("x")
     )
     numbered = global_positions(rows, ["x", "customer_id"], "start")
-    distinct = cut_lineage(
+    distinct = stored(
         numbered.groupBy("x").agg(F.min("start").alias("row_id"), F.count(F.lit(1)).alias("copies")).select("row_id", "x", "copies")
     )
-    near = cut_lineage(nearest_neighbours(distinct, k, block_rows))
+    near = stored(nearest_neighbours(distinct, k, block_rows))
 
     # Every row starts an even share of the new rows; the remainder goes to the first ones.
     share, rest = divmod(missing, size)

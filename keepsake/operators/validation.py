@@ -19,7 +19,7 @@ from keepsake.operators.histogram_trees import Boosting, Forest, Newton, Trainin
 from keepsake.operators.resampling import smote
 from keepsake.operators.splits import Scaler, stratified_folds
 from keepsake.schema import FEATURES
-from keepsake.storage import cut_lineage
+from keepsake.storage import stored
 
 SEED = 42
 METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
@@ -38,18 +38,18 @@ def _columns(frame: DataFrame, fold: int) -> DataFrame:
 
 def fold_rows(base: DataFrame, folds: int = 5, resample: bool = True, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Training and held-out rows of all folds: model (the fold), customer_id, churn, features."""
-    folded = cut_lineage(stratified_folds(base.withColumn("churn", F.col("churn").cast("int")), folds=folds, seed=seed))
+    folded = stored(stratified_folds(base.withColumn("churn", F.col("churn").cast("int")), folds=folds, seed=seed))
 
     def prepare(fold: int) -> tuple[DataFrame, DataFrame]:
         kept = folded.filter(F.col("fold") != fold).drop("fold")
         held = folded.filter(F.col("fold") == fold).drop("fold")
         stats = FeatureStats.fit(kept)
         train, test = (training_frame(part, stats, "fitted") for part in (kept, held))
-        train = cut_lineage(train)
+        train = stored(train)
         scaler = Scaler.fit(train, FEATURES)
         scaled = scaler.transform(train)
         balanced = smote(scaled, FEATURES, seed=seed) if resample else scaled
-        return cut_lineage(_columns(balanced, fold)), _columns(scaler.transform(test), fold)
+        return stored(_columns(balanced, fold)), _columns(scaler.transform(test), fold)
 
     with ThreadPoolExecutor(folds) as pool:  # the folds' jobs share the cluster
         parts = list(pool.map(prepare, range(1, folds + 1)))
@@ -65,7 +65,7 @@ def fold_scores(
     learners = learners or LEARNERS
     train, held = fold_rows(base, folds, resample, seed)
     training = Training(train, FEATURES, block_rows)
-    held = cut_lineage(held)
+    held = stored(held)
     with ThreadPoolExecutor(len(learners)) as pool:
         grown = list(pool.map(training.grow, learners.values()))
     training.release()
@@ -73,7 +73,7 @@ def fold_scores(
         predict(held, FEATURES, models, p).withColumnRenamed("model", "fold").withColumn("model", F.lit(name))
         for (name, p), models in zip(learners.items(), grown)
     ]
-    return cut_lineage(reduce(DataFrame.unionByName, parts))
+    return stored(reduce(DataFrame.unionByName, parts))
 
 
 def fold_metrics(scores: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from keepsake.functions import bands, ranking
 from keepsake.functions.metrics import count_if
 from keepsake.operators import (
-    analytics, evaluate, explain, features as feat, reports, resampling, scoring, serving, splits,
-    training, trees, validation, views,
+    analytics, evaluate, explain, features as feat, histogram_trees, path_attribution, reports, resampling, scoring,
+    serving, splits, training, trees, validation, views,
 )
 from keepsake.plans import job
 from keepsake.plans.fixed_model import fixed_model
@@ -390,12 +390,30 @@ def _tree_reasons(t: Tables) -> DataFrame:
     return exact.join(reasons, "customer_id").select("customer_id", "reason_rank", "adds_up")
 
 
+def _grown(base: DataFrame, learner: str) -> tuple[training.Prepared, histogram_trees.Trees]:
+    """One of the histogram learners, fitted on the balanced train part."""
+    prepared = training.prepare_split(base)
+    rows = histogram_trees.Training(prepared.train.withColumn("model", F.lit(0)), FEATURES)
+    trees = rows.grow(validation.LEARNERS[learner])[0]
+    rows.release()
+    return prepared, trees
+
+
+def _histogram_learner(learner: str) -> Query:
+    """Its test metrics."""
+
+    def measure(t: Tables) -> DataFrame:
+        prepared, trees = _grown(views.feature_base(t), learner)
+        scored = histogram_trees.predict(prepared.test.withColumn("model", F.lit(0)), FEATURES, {0: trees}, validation.LEARNERS[learner])
+        return evaluate.metrics(scored).select(F.lit(learner).alias("model"), "metric", "value")
+
+    return _on_tables(measure)
+
+
 def _tree_attribution(t: Tables) -> DataFrame:
-    """Every test row explained against the scaled mean, summed up per feature."""
-    prepared = training.prepare_split(views.feature_base(t))
-    forest = training.fit_forest(prepared)
-    explained = trees.tree_attributions(prepared.test, forest, FEATURES)
-    return trees.tree_importance(explained)
+    """Every test row's path-dependent attributions by a forest, summed up per feature."""
+    prepared, forest = _grown(views.feature_base(t), "RandomForest")
+    return trees.tree_importance(path_attribution.attributions(prepared.test, forest, FEATURES, averaged=True))
 
 
 # --- scoring and attribution ------------------------------------------------------------------
@@ -610,6 +628,8 @@ def all_queries() -> dict[str, Query]:
         "m05_logistic_regression": _trained("LogisticRegression"),
         "m06_random_forest": _trained("RandomForest"),
         "m07_boosted_trees": _trained("GradientBoosting"),
+        "m06b_histogram_forest": _histogram_learner("RandomForest"),
+        "m07b_second_order_boosting": _histogram_learner("GradientBoosting"),
         "m08_cross_validation": _on_tables(_cross_validated),
         "m09_metrics": _on_tables(lambda t: _rounded(_metrics(t), "value")),
         "m10_roc_points": _on_tables(lambda t: evaluate.roc_points(_judged(t), score="risk_score")),

@@ -34,3 +34,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later stages reread it, even after executors are lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, label: str = "rows") -> DataFrame:
+    """Written once and reread: cuts the lineage like `cut_lineage` but runs the plan once only
+    (a checkpoint runs it again). Partitions are not the same afterwards."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
