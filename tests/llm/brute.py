@@ -94,3 +94,80 @@ def embedding_links(rows, least=0.93):
                 pairs.append((a, b))
     found = groups(counts, pairs)
     return {i: (counts[i], found[i]) for i in counts}
+
+
+def runs(words_of_text, least=24, exponent=3):
+    """[(start, length, period)] by comparing every word with the one a period before it."""
+    w, out = words_of_text, {}
+    for q in range(1, len(w) // exponent + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j - i + q >= max(least, exponent * q):
+                out.setdefault((i, j - i + q), q)
+            i = max(j, i + 1)
+    return sorted(((s, n, q) for (s, n), q in out.items()), key=lambda r: (r[0], r[2]))
+
+
+def collapsed(w, found):
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return [x for i, x in enumerate(w) if i not in gone]
+
+
+def planted(doc_id, text):
+    w = words(text)
+    h = zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(w)
+    if doc_id is None or h % 10 or not n:
+        return w
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def alignment(docs):
+    """{doc_id: (n_a, n_b, n_groups, n_links, n_best, count_sum, groups)} by comparing all token pairs."""
+    import sentencepiece
+
+    tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tool.encode_special_tokens = True
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+    def ranges(tokens):
+        out, at = [], 0
+        for token in tokens:
+            out.append((at, at + len(token)))
+            at += len(token)
+        return out
+
+    out, links, counts = {}, {}, defaultdict(int)
+    for doc_id, text in docs:
+        a = tool.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = pieces.encode(text) if text else []
+        a_tokens = [bytes(byte[c] for c in tool.id_to_token(i)) for i in a]
+        b_tokens = [bytes([int(n[3:5], 16)]) if n.startswith("<0x") else n.replace("▁", " ").encode() for n in map(pieces.id_to_piece, b)]
+        if not text or not b"".join(a_tokens) == b"".join(b_tokens) == b" " + text.encode():
+            out[doc_id], links[doc_id] = (0, 0, 0, 0, ""), []
+            continue
+        x, y = ranges(a_tokens), ranges(b_tokens)
+        cuts = sorted({e for _, e in x} & {e for _, e in y})
+        groups, low = [], 0
+        for cut in cuts:
+            groups.append("|".join(",".join(str(i) for i, (_, e) in zip(ids, spans) if low < e <= cut) for ids, spans in ((a, x), (b, y))))
+            low = cut
+        links[doc_id] = [(i, j) for i, (s, e) in zip(a, x) for j, (t, f) in zip(b, y) if max(s, t) < min(e, f)]
+        for pair in links[doc_id]:
+            counts[pair] += 1
+        out[doc_id] = (len(a), len(b), len(groups), len(links[doc_id]), ";".join(groups))
+    highest = defaultdict(int)
+    for (_, j), n in counts.items():
+        highest[j] = max(highest[j], n)
+    return {
+        d: (*f[:4], sum(counts[p] == highest[p[1]] for p in links[d]), sum(counts[p] for p in links[d]), f[4])
+        for d, f in out.items()
+    }
