@@ -122,15 +122,19 @@ def customer_by_id(tables: Tables, customer_id: str) -> DataFrame:
     return feature_base(tables).filter(F.col("customer_id") == customer_id)
 
 
-def list_customers(tables: Tables, limit: int = 20, offset: int = 0) -> DataFrame:
-    page = tables.customers.orderBy("customer_id").offset(offset).limit(limit)
+def page_profile(tables: Tables, customers: DataFrame) -> DataFrame:
+    """The listed columns of the customers of a page."""
     return (
-        with_contract(only_for(tables, page))
+        with_contract(only_for(tables, customers))
         .select(*PROFILE, F.col("contract_name").alias("contract_type"), "payment_method")
         .orderBy("customer_id")
     )
 
 
+def list_customers(tables: Tables, limit: int = 20, offset: int = 0) -> DataFrame:
+    return page_profile(tables, tables.customers.orderBy("customer_id").offset(offset).limit(limit))
+
+
 def at_risk_profile(tables: Tables, limit: int = 50) -> DataFrame:
     """Active month-to-month customers in their first year, dearest first."""
     top = (
@@ -146,6 +150,11 @@ def at_risk_profile(tables: Tables, limit: int = 50) -> DataFrame:
 def search_customers(tables: Tables, term: str, limit: int = 20) -> DataFrame:
     """Case-insensitive match anywhere in the id; % and _ in the term are wildcards."""
     hits = tables.customers.filter(F.col("customer_id").ilike(f"%{term}%")).orderBy("customer_id").limit(limit)
+    return hit_profile(tables, hits)
+
+
+def hit_profile(tables: Tables, hits: DataFrame) -> DataFrame:
+    """The columns of a search result."""
     return (
         with_contract(only_for(tables, hits))
         .select(

