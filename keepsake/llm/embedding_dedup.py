@@ -14,7 +14,9 @@ number. Lists are kept per label and split into blocks of bounded size.
 
 Nulls and ties: a null label and vectors that are null, zero, of another length than most or
 hold null or non-finite components link with nothing; each is its own component. A repeated
-row counts as another vector. A null vec_id is returned with no links.
+row counts as another vector; rows of one vec_id with other vectors stay rows of their own, and
+the id is one node, linked where any of them is. A null vec_id has no links. Other columns are
+ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.llm.graph import components
-from keepsake.llm.store import written
-from keepsake.llm.vectors import k_means, matrix, sample, squared_distances, valid
+from keepsake.llm.store import ship_package, written
+from keepsake.llm.vectors import k_means, matrix, sample, soundness, squared_distances
 
 #: Rows of the fitted sample; rows of a label in a list that are aimed at, and most lists;
 #: subspaces and codewords of each.
@@ -170,7 +172,9 @@ def links(classes: DataFrame, quantiser: Quantiser, least: float) -> DataFrame:
 def dedup(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row. The fitted parts have a fixed size."""
     typed = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("int"), "embedding")
-    usable = valid(typed).filter("label is not null")
+    ship_package(vectors.sparkSession)
+    takes_part = soundness(typed) & F.col("label").isNotNull()
+    usable = typed.filter(takes_part)
     taking = usable.select("label", "vec_id", F.col("embedding").cast("array<double>"))
     classes = taking.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     classes = written(classes.select("label", F.col("first").alias("vec_id"), "embedding", "copies"), "vector-classes")
@@ -187,7 +191,7 @@ def dedup(vectors: DataFrame, least: float = 0.93) -> DataFrame:
         .select("label", "embedding", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     )
     joined = taking.join(of_class, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
-    rest = typed.join(usable.select("vec_id").distinct(), "vec_id", "left_anti").select(
+    rest = typed.filter(~takes_part).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
     )
     return joined.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))

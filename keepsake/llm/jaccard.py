@@ -19,13 +19,15 @@ choice gives the same links.
 Groups above a size are split into blocks, and every pair of blocks is a task of its own, so
 memory is bounded whatever the size of a group.
 
-Nulls and repeats: texts without words link with nothing; rows of one doc_id are equal to
-each other when their sets are and otherwise treated apart under that id; a null doc_id
-links with nothing and has a null component.
+Nulls, repeats, odd rows: texts without words link with nothing; rows of one doc_id are one
+node of the graph, which has the links of all its texts, in whatever order they come; a null
+doc_id links with nothing and has a null component; other columns are ignored; an empty table
+gives no row; a text is compared as a whole, so memory grows with the longest one.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from keepsake.llm.graph import components
 from keepsake.llm.shingles import gram_hashes, hashes_of
 from keepsake.llm.signature_tree import PERCENT, Groups, unite, width_of
-from keepsake.llm.store import fill_text, written
+from keepsake.llm.store import fill_text, ship_package, use_memory, written
 
 SHINGLE = 5
 #: Shingles of a prefix where few of the set are frequent, and that share.
@@ -80,6 +82,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     chosen = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_memory("words")
         for batch in batches:
             for text in batch.column("text"):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py()).view(np.int64))], ["gram"])
@@ -94,6 +97,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     frequent = frequent_shingles(docs)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_memory("words")
         for batch in batches:
             out = [[], [], [], [], []]
             for text in batch.column("text"):
@@ -122,6 +126,7 @@ def united(rows: DataFrame, group: str, read: Callable[[dict], list], use: Calla
     """a, b: stars over what ``use`` unites among the rows of each (group, lo, hi)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_memory("words")
         groups, items, current = Groups(), [], None
 
         def stars() -> pa.RecordBatch:
@@ -177,26 +182,38 @@ def verified(groups_of: DataFrame, docs: DataFrame) -> DataFrame:
         return row["doc_id"], shingles(row["text"])
 
     def use(items: list, groups: Groups) -> None:
-        sets = dict(items)
+        sets = defaultdict(list)  # an id may have several texts
+        for i, s in items:
+            sets[i].append(s)
+
+        def alike(x: np.ndarray, y: np.ndarray) -> bool:
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            return (100 + PERCENT) * shared >= PERCENT * (len(x) + len(y))
 
         def linked(a: int, b: int) -> bool:
-            shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            return (100 + PERCENT) * shared >= PERCENT * (len(sets[a]) + len(sets[b]))
+            return any(alike(x, y) for x in sets[a] for y in sets[b])
 
-        unite([(i, len(s), int.from_bytes(bitmap(s), "little")) for i, s in sets.items()], groups, linked)
+        unite([(i, len(s), int.from_bytes(bitmap(s), "little")) for i, s in items], groups, linked)
 
     return united(in_blocks(texts, "component", "size"), "component", read, use)
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    ship_package(docs.sparkSession)
     signed = written(signatures(docs), "signatures")
-    grouped = signed.filter("doc_id is not null and n > 0").groupBy("s1", "s2", "n")
+    sets = signed.filter("doc_id is not null and n > 0")
+    grouped = sets.groupBy("s1", "s2", "n")
     classes = written(
         grouped.agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "set-classes"
     )
     maybe = components(candidates(classes), "candidate-groups")
-    linked = components(verified(maybe, docs), "linked-groups")
+    # an id with several texts links the classes of all of them
+    kind = F.struct("n", "s1", "s2")
+    several = sets.groupBy("doc_id").agg(F.min(kind).alias("x"), F.max(kind).alias("y")).filter("x <> y").select("doc_id")
+    own = classes.select("s1", "s2", "n", F.col("doc_id").alias("b"))
+    ties = sets.join(several, "doc_id", "left_semi").join(own, ["s1", "s2", "n"]).select(F.col("doc_id").alias("a"), "b")
+    linked = components(verified(maybe, docs).unionByName(ties), "linked-groups")
     ids = classes.select("s1", "s2", "n", F.col("doc_id").alias("node")).join(linked, "node", "left").select(
         "s1", "s2", "n", F.coalesce("component", "node").alias("component")
     )

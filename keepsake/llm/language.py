@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.store import ship_package
+from keepsake.llm.store import ship_package, use_memory
 
 UNKNOWN = "und"
 PER_LANGUAGE, SAMPLE = 400, 2000
@@ -227,6 +227,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("lang_pred", "score")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_memory("language")
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 part = batch.slice(at, ROWS)

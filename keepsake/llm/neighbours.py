@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepsake.llm.store import spread_parts, written
+from keepsake.llm.store import ship_package, spread_parts, written
 from keepsake.llm.vectors import k_means, matrix, sample, squared_distances, valid
 
 SAMPLE, FAN = 20_000, 8
@@ -48,6 +48,9 @@ class Tree:
         self.leaf: list[int] = []
         self.n_leaves = 0
         self.root = self._grow(x, max(leaf_rows, 2), 0)
+        self.own = np.zeros((len(self.kids), x.shape[1]))  # each node's own centre
+        for node, kids in enumerate(self.kids):
+            self.own[kids] = self.centres[node]
 
     def _grow(self, x: np.ndarray, leaf_rows: float, depth: int) -> int:
         node = len(self.kids)
@@ -77,19 +80,24 @@ class Tree:
                 waiting += [(kid, rows[nearest == k]) for k, kid in enumerate(self.kids[node])]
         return out
 
-    def visits(self, query: np.ndarray, least: int, held: np.ndarray | None = None, needed: int = 0) -> list[int]:
-        """Leaves in best-bin-first order: ``least`` of them, and more until they hold
-        ``needed`` rows, by the rows ``held`` in each leaf."""
+    def gaps(self, queries: np.ndarray) -> np.ndarray:
+        """Squared distances of queries to the centres of all nodes."""
+        return squared_distances(queries, self.own)
+
+    def visits(self, gaps: list[float], least: int, held: list[int] | None = None, needed: int = 0) -> list[int]:
+        """Leaves in best-bin-first order, by a query's ``gaps``: ``least`` of them, and more
+        until they hold ``needed`` rows, by the rows ``held`` in each leaf."""
         queue, found, rows = [(0.0, self.root)], [], 0
+        pop, push, leaf_of, kids_of = heapq.heappop, heapq.heappush, self.leaf, self.kids
         while queue and (len(found) < least or rows < needed):
-            _, node = heapq.heappop(queue)
-            if self.leaf[node] >= 0:
-                found.append(self.leaf[node])
-                rows += 0 if held is None else int(held[self.leaf[node]])
+            _, node = pop(queue)
+            leaf = leaf_of[node]
+            if leaf >= 0:
+                found.append(leaf)
+                rows += held[leaf] if held else 0
             else:
-                gaps = self.centres[node] - query
-                for kid, distance in zip(self.kids[node], (gaps * gaps).sum(1).tolist()):
-                    heapq.heappush(queue, (distance, kid))
+                for kid in kids_of[node]:
+                    push(queue, (gaps[kid], kid))
         return found
 
 
@@ -97,13 +105,18 @@ def lifted(x: np.ndarray, norm: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(norm - (x * x).sum(1), 0))[:, None]])
 
 
-def best(query: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, products: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best rows of one query: ids and exact products, best first."""
-    usable = np.flatnonzero(ids != own)
+def lifted_query(x: np.ndarray) -> np.ndarray:
+    return np.hstack([x, np.zeros((len(x), 1))])
+
+
+def best(query: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, at: np.ndarray, products: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of the rows ``at`` for one query: ids and exact products, best first."""
+    others = ids[at] != own
+    usable, products = at[others], products[others]
     if len(usable) > k:
         # equal vectors may differ in the last bits of the matrix product
-        least = np.partition(products[usable], len(usable) - k)[len(usable) - k]
-        usable = usable[products[usable] >= least - 1e-9 * max(1.0, abs(least))]
+        least = np.partition(products, len(usable) - k)[len(usable) - k]
+        usable = usable[products >= least - 1e-9 * max(1.0, abs(least))]
     exact = (x[usable] * query).sum(1)
     order = np.lexsort((ids[usable], -exact))[:k]
     return ids[usable][order], exact[order]
@@ -128,7 +141,7 @@ def true_leaves(index: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int)
             leaf, products = dict(zip(own.tolist(), batch.column("leaf").to_pylist())), queries @ x.T
             out = []
             for i in range(len(ids)):
-                found, score = best(queries[i], ids[i], own, x, products[i], k)
+                found, score = best(queries[i], ids[i], own, x, np.arange(len(own)), products[i], k)
                 out += [(int(ids[i]), int(v), float(s), leaf[v]) for v, s in zip(found.tolist(), score)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out) if out else ([],) * 4, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))],
@@ -147,7 +160,7 @@ def calibrated_visits(tree: Tree, index: DataFrame, queries: DataFrame, k: int)
         return 1
     ids, x = np.array([r.vec_id for r in chosen]), np.array([r.embedding for r in chosen], float)
     orders = {
-        i: {leaf: n for n, leaf in enumerate(tree.visits(np.append(q, 0.0), tree.n_leaves))} for i, q in zip(ids.tolist(), x)
+        i: {leaf: n for n, leaf in enumerate(tree.visits(row, tree.n_leaves))} for i, row in zip(ids.tolist(), tree.gaps(lifted_query(x)).tolist())
     }
     places = np.array([orders[r.query_id][r.leaf] for r in true_leaves(index, ids, x, k).collect()])
     visits = 1
@@ -160,10 +173,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of ``vectors`` nearest to each row of
     ``queries`` (both vec_id, embedding), other than the query's own.
 
-    The tree has at most SAMPLE / 2 leaves, so tasks may hold it and the rows of each leaf.
+    Rows of ``queries`` that are equal are one query; rows of one vec_id with other vectors are
+    queries of their own under that id. Every row of ``vectors`` is a candidate, repeated ones
+    too. Other columns are ignored; without vectors or queries there is no row. The tree has at most SAMPLE / 2 leaves, so tasks may hold it and the rows of each leaf.
     """
+    ship_package(vectors.sparkSession)
     usable = valid(vectors)
-    asked = valid(queries).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    asked = valid(queries).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).distinct()
     square = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, v: s + v * v)
     rows, norm = usable.agg(F.count("*"), F.max(square)).first()
     if not rows:
@@ -179,16 +195,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     # rows of the query's own id are no candidates; an id that is not repeated counts one
     repeated = index.groupBy(F.col("vec_id").alias("own_id")).agg(F.count("*").alias("own")).filter("own > 1")
     asked = asked.join(repeated, F.col("vec_id") == F.col("own_id"), "left").select("vec_id", "embedding", F.coalesce("own", F.lit(1)).alias("own"))
-    asked = asked.repartition(spread_parts(vectors.sparkSession, rows, 8 * BLOCK), "vec_id")
+    # dealt by another expression than the join's key: else the join's few partitions would stay
+    asked = asked.repartition(spread_parts(vectors.sparkSession, rows, 8 * BLOCK), F.xxhash64("vec_id", F.lit("deal")))
+    rows_held = held.tolist()
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, x, own, out = batch.column("vec_id").to_pylist(), matrix(batch.column("embedding")), batch.column("own").to_pylist(), []
-            for i, q, n in zip(ids, x, own):
-                bins: dict[int, list[int]] = {}
-                for leaf in tree.visits(np.append(q, 0.0), visits, held, k + n):
-                    bins.setdefault(leaf // per_bin, []).append(leaf)
-                out += [(i, q, b, leaves) for b, leaves in bins.items()]
+            for begin in range(0, len(ids), 200):
+                part = slice(begin, begin + 200)
+                for i, q, n, gaps in zip(ids[part], x[part], own[part], tree.gaps(lifted_query(x[part])).tolist()):
+                    bins: dict[int, list[int]] = {}
+                    for leaf in tree.visits(gaps, visits, rows_held, k + n):
+                        bins.setdefault(leaf // per_bin, []).append(leaf)
+                    out += [(i, q, b, sorted(leaves)) for b, leaves in bins.items()]
             kinds = (pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else ([],) * 4, kinds)], ["query_id", "query", "bin", "leaves"])
 
@@ -199,7 +219,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     split = blocks.join(chunks, "bin")
     # hash-dealt blocks: a member goes to one block of rows and all chunks of queries, a query the other way round
     left = sent.join(split, "bin").select(
-        "bin", "query_id", "query", "leaves", F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int").alias("chunk"),
+        "bin", "query_id", F.xxhash64("query").alias("tag"), "query", "leaves", F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int").alias("chunk"),
         F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("block"),
     )
     right = members.join(split, "bin").select(
@@ -212,16 +232,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         if len(asking) and len(rows_):
             rows_ = rows_.sort_values("leaf", kind="stable")
             x, ids, leaf = np.stack(rows_.embedding), rows_.vec_id.to_numpy(), rows_.leaf.to_numpy()
-            for i, q, leaves in zip(asking.query_id, asking["query"], asking.leaves):
-                begin, end = np.searchsorted(leaf, leaves, "left"), np.searchsorted(leaf, leaves, "right")
-                at = np.concatenate([np.arange(a, b) for a, b in zip(begin, end)])
-                found, value = best(q, i, ids[at], x[at], x[at] @ q, k)
-                out += [(i, v, s) for v, s in zip(found, value)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            asked_x = np.stack(asking["query"])
+            names, tags, visited = asking.query_id.tolist(), asking.tag.tolist(), asking.leaves.tolist()
+            for begin in range(0, len(names), 200):
+                products = asked_x[begin : begin + 200] @ x.T
+                for n in range(begin, min(begin + 200, len(names))):
+                    ends = np.searchsorted(leaf, np.stack([visited[n], visited[n] + 1]), "left")
+                    sizes = ends[1] - ends[0]
+                    at = np.repeat(ends[0] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                    found, value = best(asked_x[n], names[n], ids, x, at, products[n - begin, at], k)
+                    out += [(names[n], tags[n], v, s) for v, s in zip(found, value)]
+        kinds = {"query_id": "int64", "tag": "int64", "vec_id": "int64", "score": "float64"}
+        return pd.DataFrame(out, columns=list(kinds)).astype(kinds)
 
     keys = ("bin", "chunk", "block")
     left, right = (side.toDF(*side.columns) for side in (left, right))  # columns of their own, as both meet the same counts
-    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "query_id long, tag long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "tag").orderBy(F.desc("score"), "vec_id")
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

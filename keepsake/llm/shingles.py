@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from keepsake.llm.store import memory
+
 #: Distinct words remembered per worker (about 180 bytes each), by all operators together;
 #: beyond it the memory is emptied, which changes speed only.
 REMEMBERED = 250_000
@@ -25,6 +27,7 @@ class WordHashes(dict):
 
 
 _known = WordHashes()
+memory("words", _known.clear)
 
 
 def hashes_of(words: list[bytes]) -> np.ndarray:

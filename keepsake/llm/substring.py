@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.llm.shingles import gram_hashes, hashes_of, run_hashes, sliding_min
-from keepsake.llm.store import fill_text, written
+from keepsake.llm.store import fill_text, ship_package, use_memory, written
 
 WINDOW, ANCHOR = 50, 16
 #: Words that are hashed together.
@@ -71,6 +71,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
     """anchor, block, doc_id, text_key, start, n of every block of every document."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_memory("words")
         for batch in batches:
             doc_ids, keys = batch.column("doc_id").to_numpy(False), batch.column("text_key").to_numpy(False)
             for rows, counts, hashes in _chunks(batch):
@@ -118,6 +119,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def duplicate_windows(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, runs: per document the runs (start, n) of windows that also start in
     a document with a smaller doc_id."""
+    ship_package(docs.sparkSession)
     keyed = _keyed(docs).filter("doc_id is not null").select("doc_id", "text", "text_key")
     blocks = written(_blocks(keyed), "blocks")
     shared = blocks.groupBy("anchor").agg(
@@ -161,6 +163,7 @@ def dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
     schema = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *extra).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_memory("words")
         for batch in batches:
             n_words, removed, digests, spans, kept_texts = [], [], [], [], []
             for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):

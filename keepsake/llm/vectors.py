@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def valid(vectors: DataFrame) -> DataFrame:
-    """Rows whose embedding has the table's usual length, finite components and not only zeros."""
+def soundness(vectors: DataFrame) -> Column:
+    """Whether a row's embedding has the table's usual length, finite components and not only
+    zeros, and the row a vec_id; never null."""
     x = F.col("embedding")
     sound = x.isNotNull() & ~F.coalesce(F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(True))
-    kept = vectors.filter(F.col("vec_id").isNotNull() & sound & F.exists(x, lambda v: v != 0))
+    sound = F.coalesce(F.col("vec_id").isNotNull() & sound & F.exists(x, lambda v: v != 0), F.lit(False))
+    kept = vectors.filter(sound)
     usual = kept.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return kept.filter(F.size("embedding") == (usual.n if usual else 0))
+    return sound & F.coalesce(F.size("embedding") == (usual.n if usual else 0), F.lit(False))
+
+
+def valid(vectors: DataFrame) -> DataFrame:
+    """The rows that take part."""
+    return vectors.filter(soundness(vectors))
 
 
 def sample(vectors: DataFrame, rows: int, most: int) -> np.ndarray:

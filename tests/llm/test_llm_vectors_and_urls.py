@@ -6,6 +6,8 @@ import brute
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from keepsake.llm import embedding_dedup, neighbours, url_rules
 from keepsake.llm.graph import components
 from keepsake.llm.packing import Packer
@@ -124,6 +126,16 @@ def test_neighbours_of_outliers_beside_a_dense_group(spark):
         assert {len(v) for v in got.values()} == {20} and all(q not in dict(v) for q, v in got.items())
 
 
+def test_repeated_query_rows_are_one_query(spark, vectors):
+    queries = vectors.filter("vec_id % 20 = 0")
+    other = queries.limit(1).select("vec_id", F.transform("embedding", lambda v: -v).alias("embedding"))
+    got = neighbours.search(vectors, queries.select("vec_id", "embedding").unionByName(queries.select("vec_id", "embedding")).unionByName(other)).collect()
+    once = neighbours.search(vectors, queries).collect()
+    turned = other.first().vec_id
+    assert {r for r in got if r.query_id != turned} == {r for r in once if r.query_id != turned}
+    assert len(got) == len(once) + 20 and len({(r.query_id, r.vec_id) for r in once}) == len(once)
+
+
 def test_neighbours_recall_on_given_vectors(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
     queries = vectors.filter("vec_id % 20 = 0")
