@@ -13,7 +13,7 @@ The order of shingles is by hash, frequent ones last. The prefix holds ``n - cei
 shingles, which is exact. Where at most 40 % of the set are frequent, every shingle of the
 first part is shared with a linked set with odds of two in three at least, independent of
 its hash: the first 40 are taken, which miss a link with odds under 1e-18, as a hash collision
-would. Which shingles count as frequent is read off a bounded sample of documents; any
+would; ``exact=True`` takes the whole prefix there too. Which shingles count as frequent is read off a bounded sample of documents; any
 choice gives the same links.
 
 Groups above a size are split into blocks, and every pair of blocks is a task of its own, so
@@ -63,14 +63,14 @@ def bitmap(grams: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def prefix(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+def prefix(grams: np.ndarray, frequent: np.ndarray, exact: bool = False) -> np.ndarray:
     n = len(grams)
     if not n:
         return grams
     at = np.searchsorted(frequent, grams)
     often = np.zeros(n, bool) if not len(frequent) else frequent[np.minimum(at, len(frequent) - 1)] == grams
     size = n - (PERCENT * n + 99) // 100 + 1
-    if n - often.sum() >= RARE_SHARE * n:
+    if not exact and n - often.sum() >= RARE_SHARE * n:
         size = min(size, PREFIX)
     return np.concatenate([grams[~often], grams[often]])[:size]
 
@@ -92,7 +92,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.gram for r in top.collect()], np.int64).view(np.uint64))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, exact: bool = False) -> DataFrame:
     """doc_id, n, s1, s2 (hash of the set), keys (the prefix) and bits (the bitmap)."""
     frequent = frequent_shingles(docs)
 
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             for text in batch.column("text"):
                 grams = shingles(text.as_py())
                 digest = np.frombuffer(xxhash.xxh3_128_digest(grams.tobytes()), np.int64)
-                for column, value in zip(out, (len(grams), digest[0], digest[1], prefix(grams, frequent).view(np.int64), bitmap(grams))):
+                for column, value in zip(out, (len(grams), digest[0], digest[1], prefix(grams, frequent, exact).view(np.int64), bitmap(grams))):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -198,10 +198,11 @@ def verified(groups_of: DataFrame, docs: DataFrame) -> DataFrame:
     return united(in_blocks(texts, "component", "size"), "component", read, use)
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def join(docs: DataFrame, exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row. With ``exact`` all sets send their whole
+    prefix, which brings more candidates together and leaves nothing to chance."""
     ship_package(docs.sparkSession)
-    signed = written(signatures(docs), "signatures")
+    signed = written(signatures(docs, exact), "signatures")
     sets = signed.filter("doc_id is not null and n > 0")
     grouped = sets.groupBy("s1", "s2", "n")
     classes = written(

@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepsake.llm.store import written
+from keepsake.llm.store import ship_package, written
 
 BLOCK_CHARS = 65_536
 #: Slots of a cycle that default weights are rounded to where that is fine enough, and slots folded at once.
@@ -42,11 +42,15 @@ def _bucket_digits(rows: int) -> int:
 
 
 def _sizes(docs: DataFrame) -> DataFrame:
-    """The documents with ``chars`` and the ``order_key`` of the stream."""
-    return docs.withColumns({
-        "_source": F.coalesce(F.col("source"), F.lit("\u0000")),
-        "_chars": F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)).cast("long"),
-        "_key": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))),
+    """The documents with their columns numbered, so that no name meets one of a helper column,
+    and with their characters and their order in the stream."""
+    at = {name: F.col(f"c{i}") for i, name in enumerate(docs.columns)}
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumns({
+        "_source": F.coalesce(at["source"], F.lit("\u0000")),
+        "_chars": F.greatest(F.coalesce(F.length(at["text"]), F.lit(0)), F.lit(1)).cast("long"),
+        "_key": F.md5(F.coalesce(at["doc_id"].cast("string"), F.lit(""))),
+        "_id": at["doc_id"],
+        "_digest": F.md5(F.coalesce(at["text"], F.lit(""))),
     })
 
 
@@ -79,10 +83,10 @@ def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def _slots(weights: Column, slots: Column) -> Column:
-    """The source index of each of the first ``slots`` slots, from the array of weights."""
+def _slots(weights: Column, cycle: Column, slots: Column) -> Column:
+    """The source index of each of the first ``slots`` slots, from the array of weights and
+    their sum. All three are stored columns: an expression would be computed per slot and source."""
     zero = F.lit(0).cast("long")
-    cycle = F.aggregate(weights, zero, lambda s, w: s + w)
 
     def step(state: Column, slot: Column) -> Column:
         served = state["served"]
@@ -124,7 +128,8 @@ def schedule(totals: DataFrame, weights: DataFrame | None, block_chars: int) ->
     ).filter(F.size("s") > 0)
     last = F.array_max(F.transform("ends", lambda e: _div(e["once"] * F.col("cycle") + e["weight"] - 1, e["weight"])))
     listed = listed.withColumn("n", F.when(F.col("fine"), F.least(last, F.col("cycle"))).otherwise(F.col("cycle"))).drop("ends")
-    timed = written(listed.withColumn("order", _slots(F.transform("s", lambda x: x["weight"]), F.col("n"))), "mix-fold")
+    listed = written(listed.withColumn("w", F.transform("s", lambda x: x["weight"])), "mix-listed")
+    timed = written(listed.withColumn("order", _slots(F.col("w"), F.col("cycle"), F.col("n"))), "mix-fold")
     taken = timed.select(F.posexplode("order").alias("slot", "i")).groupBy("i").agg(
         F.array_sort(F.collect_list(F.col("slot").cast("long"))).alias("slots")
     )
@@ -165,6 +170,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = BL
     The schedule has one row per source and one number per slot of a cycle or of the run;
     buckets have one row per source, bucket and epoch, with the slots of that place. Columns ``mix_*`` of the input are replaced.
     """
+    ship_package(docs.sparkSession)
     docs = docs.drop("mix_epoch", "mix_block", "mix_slot", "mix_start")
     sized = _sizes(docs)
     rows = docs.count()
@@ -185,7 +191,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = BL
         "_source", "_bucket", F.col("limit").alias("_limit"), "mix_epoch", "_first", F.expr(offset).alias("_offset"),
         F.expr("transform(sequence(_first, _last), b -> (b div weight) * cycle + get(slots, cast(b % weight as int)))").alias("_slots"),
     )
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_key", "doc_id", F.md5(F.coalesce("text", F.lit("")))).rowsBetween(
+    inside = Window.partitionBy("_source", "_bucket").orderBy("_key", "_id", "_digest").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     placed = (
@@ -198,5 +204,5 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = BL
     return (
         placed.withColumn("mix_block", F.expr(f"mix_start div {block_chars}L"))
         .withColumn("mix_slot", F.expr("get(_slots, cast(mix_block - _first as int))"))
-        .select(*[F.col(c) for c in docs.columns], "mix_epoch", "mix_block", "mix_slot", "mix_start")
+        .select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], "mix_epoch", "mix_block", "mix_slot", "mix_start")
     )

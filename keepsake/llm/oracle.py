@@ -77,7 +77,7 @@ FROM d
 
 
 def _counts() -> str:
-    words, pieces = token_counts.VERSIONS["words-1"], token_counts.VERSIONS["pieces-1"]
+    words, pieces = token_counts.PATTERNS["words-1"], token_counts.PATTERNS["pieces-1"]
     return f"""
 WITH kept AS (
   SELECT source, lang, regexp_replace(coalesce(text, ''), '[*%$&#!]{{2,}}', '', 'g') AS text FROM (
@@ -92,4 +92,4 @@ SELECT source, lang, version, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_to
 
 
 def statements() -> dict[str, str]:
-    return {"op1_mixing": _MIX, "op6_url_rules": _URLS, "op9_token_counts": _counts(), "op11_warc": _ARCHIVE}
+    return {"op1_mixing": _MIX, "op6_url_rules": _URLS, "rollup_by_rule": _counts(), "op11_warc": _ARCHIVE}

@@ -70,26 +70,36 @@ SIGN_RUNS = "[*%$&#!]{2,}"
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batches of ``counted_batches`` under the public vocabularies and a rule of words."""
+    return counted_batches(spark, table(spark, sf_dir, "documents"), token_counts.VERSIONS)
+
+
+def rollup_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under rules that SQL can state."""
+    return counted_batches(spark, table(spark, sf_dir, "documents"), token_counts.PATTERNS)
+
+
+def counted_batches(spark: SparkSession, docs: DataFrame, versions: dict) -> DataFrame:
     """Three batches over all documents: all inserted, exact copies deleted, cleaned texts
     revised; the last two are sent twice, as after a lost answer. Rows without a doc_id can't
     be deleted or revised later, so they are made unique and cleaned before their insert."""
-    docs = table(spark, sf_dir, "documents")
     nameless, docs = docs.filter("doc_id is null"), docs.filter("doc_id is not null")
     first = docs.groupBy(F.xxhash64("text"), F.md5("text")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     gone = docs.select("doc_id").join(first, "doc_id", "left_anti").select(
-        F.lit("delete").alias("op"), "doc_id", F.explode(F.array(*map(F.lit, token_counts.VERSIONS))).alias("version"),
+        F.lit("delete").alias("op"), "doc_id", F.explode(F.array(*map(F.lit, versions))).alias("version"),
         F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("long").alias("n_tokens"),
     )
     cleaned = docs.filter(F.regexp_like("text", F.lit(SIGN_RUNS))).withColumn("text", F.regexp_replace("text", SIGN_RUNS, ""))
-    revised = token_counts.counts(cleaned).join(first, "doc_id", "left_semi").withColumn("op", F.lit("revise"))
+    revised = token_counts.counts(cleaned, versions).join(first, "doc_id", "left_semi").withColumn("op", F.lit("revise"))
     store = token_counts.Rollup(spark, new_path(spark, "token-counts"))
-    inserted = token_counts.counts(docs)
+    inserted = token_counts.counts(docs, versions)
     if not nameless.isEmpty():
         held = docs.select(F.xxhash64("text").alias("a"), F.md5("text").alias("b"))
         keyed = nameless.withColumns({"a": F.xxhash64("text"), "b": F.md5("text")}).dropDuplicates(["a", "b"])
         alone = keyed.alias("l").join(held.alias("r"), (F.col("l.a") == F.col("r.a")) & F.col("l.b").eqNullSafe(F.col("r.b")), "left_anti")
-        inserted = inserted.unionByName(token_counts.counts(alone.withColumn("text", F.regexp_replace("text", SIGN_RUNS, ""))))
+        inserted = inserted.unionByName(token_counts.counts(alone.withColumn("text", F.regexp_replace("text", SIGN_RUNS, "")), versions))
     store.commit("0001", inserted.withColumn("op", F.lit("insert")))
+    store.compact()
     for _ in range(2):
         store.commit("0002", gone)
         store.commit("0003", revised)
@@ -159,6 +169,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_neighbours": op7_neighbours,
         "op8_substring": op8_substring,
         "op9_token_counts": op9_token_counts,
+        "rollup_by_rule": rollup_by_rule,
         "op10_jaccard": op10_jaccard,
         "op11_warc": op11_warc,
         "op12_alignment": op12_alignment,

@@ -17,14 +17,14 @@ from keepsake.storage import new_path
 
 _shipped: set[str] = set()
 #: What the operators of one worker remember: how to empty it, by name.
-_memories: dict[str, Callable[[], None]] = {}
+_memories: dict[str, list[Callable[[], None]]] = {}
 _in_use: list[str] = [""]
 #: Rows of the batches that Spark hands to Python where the session keeps its default of 10,000.
 BATCH_ROWS = 2000
 
 
 def memory(name: str, clear: Callable[[], None]) -> None:
-    _memories[name] = clear
+    _memories.setdefault(name, []).append(clear)
 
 
 def use_memory(name: str) -> None:
@@ -32,9 +32,10 @@ def use_memory(name: str) -> None:
     if _in_use[0] == name:
         return
     _in_use[0] = name
-    for other, clear in _memories.items():
+    for other, clears in _memories.items():
         if other != name:
-            clear()
+            for clear in clears:
+                clear()
     import pyarrow
 
     pyarrow.default_memory_pool().release_unused()

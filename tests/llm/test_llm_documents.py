@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
 import brute
@@ -54,7 +55,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_operator_has_one_query():
-    numbers = sorted(int(n[2:].split("_")[0]) for n in queries.all_queries())
+    numbers = sorted(int(n[2:].split("_")[0]) for n in queries.all_queries() if n.startswith("op"))
     assert numbers == list(range(1, 14))
 
 
@@ -189,6 +190,45 @@ def test_jaccard_of_no_and_of_repeated_rows(none, twice):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.jaccard([r[:2] for r in ODD])
 
 
+def test_jaccard_with_whole_prefixes_is_the_same(docs):
+    assert sorted(jaccard.join(docs, exact=True).collect()) == sorted(jaccard.join(docs).collect())
+
+
+def test_an_id_with_several_texts_is_one_node(spark):
+    word = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(5, word("a", 30)), (5, word("b", 30)), (7, word("a", 30) + " x"), (3, "y " + word("b", 30)), (9, word("c", 9)), (2, word("a", 31))]
+    for given in (rows, rows[::-1]):
+        got = jaccard.join(spark.createDataFrame(given, "doc_id long, text string")).collect()
+        assert {(r.doc_id, r.component_id) for r in got} == {(5, 2), (7, 2), (3, 2), (2, 2), (9, 9)} and len(got) == 6
+
+
+def test_columns_of_any_name_pass_the_mixture(docs):
+    given = docs.limit(60)
+    for name in ("_first", "_source", "_chars", "_key", "_limit", "_slots", "_offset", "_bucket", "_last", "_inside", "_id", "_digest", "c0", "c2", "weight", "cycle", "slots"):
+        given = given.withColumn(name, F.col("lang"))
+    mixed = mixing.mix(given)
+    assert mixed.columns[: len(given.columns)] == given.columns
+    assert mixed.filter("not (_first <=> lang and c0 <=> lang and slots <=> lang)").count() == 0 and mixed.select("doc_id").distinct().count() == 60
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_factors_stand_in_their_references(request, which):
+    frame = request.getfixturevalue(which)
+    texts = {r.doc_id: brute.words(r.text) for r in frame.select("doc_id", "text").collect()}
+    rows = substring.dedup(frame).select("doc_id", "factors", "spans", "n_removed").collect()
+    assert any(r.factors for r in rows)
+    for r in rows:
+        covered = set()
+        for f in r.factors:
+            assert f.reference < r.doc_id and f.length >= substring.WINDOW
+            assert texts[r.doc_id][f.start : f.start + f.length] == texts[f.reference][f.position : f.position + f.length]
+            covered |= set(range(f.start, f.start + f.length))
+        assert len(covered) == r.n_removed == sum(s.length for s in r.spans)
+        for f, g in zip(r.factors, r.factors[1:]):  # greedy: the next one does not continue this one
+            step = f.length - substring.WINDOW + 1
+            assert (g.reference, g.start, g.position) != (f.reference, f.start + step, f.position + step)
+
+
 def test_language_on_held_out_texts(spark):
     rows = queries.op5_language(spark, "/root/testdata/sf0.01").collect()
     given = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
@@ -250,6 +290,47 @@ def test_mixture_of_odd_rows(spark, odd, none, twice):
     assert abs(blocks["a"] - 3 * blocks["b"]) <= 4
 
 
+def test_token_counts_of_the_vocabularies(spark, monkeypatch, odd, docs):
+    import public_tokenizers
+    import sentencepiece
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for frame in (odd, docs):
+        rows = frame.select("doc_id", "text").collect()
+        got = {(r.doc_id, r.version): r.n_tokens for r in token_counts.counts(frame).collect()}
+        for r, ids in zip(rows, brute.token_ids([r.text for r in rows], 0)):
+            assert got[r.doc_id, "byte-bpe-50k"] == len(ids) - 1
+            assert got[r.doc_id, "piece-bpe-32k"] == len(pieces.encode(r.text or ""))
+            assert got[r.doc_id, "words-1"] == len(brute.words(r.text))
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    totals = {(r.source, r.lang, r.version): (r.n_docs, r.n_tokens) for r in queries.op9_token_counts(spark, SF).collect()}
+    first, want = {}, defaultdict(lambda: [0, 0])
+    for r in docs.select("doc_id", "text", "source", "lang").orderBy("doc_id").collect():
+        first.setdefault(r.text, r)
+    for r in first.values():
+        cleaned = re.sub(queries.SIGN_RUNS, "", r.text or "")
+        for version, n in (("byte-bpe-50k", len(brute.token_ids([cleaned], 0)[0]) - 1), ("piece-bpe-32k", len(pieces.encode(cleaned))), ("words-1", len(brute.words(cleaned)))):
+            want[r.source, r.lang, version][0] += 1
+            want[r.source, r.lang, version][1] += n
+    assert totals == {k: tuple(v) for k, v in want.items()}
+
+
+def test_compaction_changes_no_total(spark, odd):
+    store = token_counts.Rollup(spark, new_path(spark, "test-rollup"))
+    counted = token_counts.counts(odd, token_counts.PATTERNS)
+    as_op = lambda df, op: df.withColumn("op", F.lit(op))
+    store.compact()
+    store.commit("1", as_op(counted, "insert"))
+    store.commit("2", as_op(counted.filter("doc_id < 6"), "delete"))
+    before, rows = sorted(map(repr, store.totals().collect())), sorted(map(repr, store.ledger().collect()))
+    store.compact()
+    assert len(store._folders()) == 1 and not store.commit("2", as_op(counted, "insert"))
+    assert sorted(map(repr, store.totals().collect())) == before and sorted(map(repr, store.ledger().collect())) == rows
+    store.commit("3", as_op(counted.filter("doc_id < 6"), "insert"))
+    assert len(store._folders()) == 2
+    assert store.ledger().count() == 2 * len(ODD)
+
+
 def test_rollup_is_additive_and_idempotent(spark, odd, none):
     store = token_counts.Rollup(spark, new_path(spark, "test-rollup"))
     assert store.totals().count() == 0
@@ -279,7 +360,7 @@ def test_rollup_counts_every_row_without_id(spark, odd, tmp_path):
         assert store.commit(op, counted.filter("doc_id is null").withColumn("op", F.lit(op)))
     want = token_counts.counts(odd).groupBy("source", "lang", "version").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"))
     assert sorted(map(repr, store.totals().collect())) == sorted(repr(r).replace(" n=", " n_docs=").replace(" t=", " n_tokens=") for r in want.collect())
-    assert store.ledger().agg(F.sum("n_rows")).first()[0] == 2 * len(ODD)
+    assert store.ledger().agg(F.sum("n_rows")).first()[0] == len(token_counts.VERSIONS) * len(ODD)
 
 
 def test_token_counts_query_without_some_ids(spark, tmp_path):
@@ -287,5 +368,5 @@ def test_token_counts_query_without_some_ids(spark, tmp_path):
     frame = spark.createDataFrame([(i, t, "en", s) for i, t, s in texts], "doc_id long, text string, lang string, source string")
     frame.coalesce(1).write.parquet(f"{tmp_path}/given")
     next((tmp_path / "given").glob("*.parquet")).replace(tmp_path / "documents.parquet")
-    name = "op9_token_counts"
+    name = "rollup_by_rule"
     assert differences(queries.all_queries()[name](spark, str(tmp_path)), connect(str(tmp_path)), queries.statements()[name]) == []
