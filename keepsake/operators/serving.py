@@ -69,7 +69,11 @@ def tree_reasons(scaled: DataFrame, model, features: list[str], n: int = 3) -> D
 
     A record has one row per feature before the choice, so its window is bounded.
     """
-    long = trees.tree_attributions(scaled, model, features)
+    return ranked_reasons(trees.tree_attributions(scaled, model, features), n)
+
+
+def ranked_reasons(long: DataFrame, n: int = 3) -> DataFrame:
+    """The reasons of records from attributions in long form."""
     order = W.partitionBy("customer_id").orderBy(F.desc(F.abs("phi")), F.desc("position"))
     best = long.withColumn("reason_rank", F.row_number().over(order)).filter(F.col("reason_rank") <= n)
     direction = F.when(F.col("phi") > 0, "increases").otherwise("decreases")

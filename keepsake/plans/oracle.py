@@ -1018,9 +1018,6 @@ def statements() -> dict[str, str]:
         "SELECT customer_id, CAST(reason_rank AS BIGINT) AS reason_rank, feature, value, ROUND(ABS(phi), 4) AS impact,"
         f" {_DIRECTION} AS direction, ROUND(phi, 4) AS shap_value, {{text}} AS description FROM reasons"
     )
-    sql["p04b_tree_reasons"] = (
-        "SELECT customer_id, UNNEST([1, 2, 3])::BIGINT AS reason_rank, 1::BIGINT AS adds_up FROM parts WHERE part = 'test'"
-    )
     held = _values(
         [(c,) for c in (
             "three_models_logged", "metrics_in_range", "best_has_largest_auc", "reloaded_scores_all_test_rows",

@@ -444,14 +444,15 @@ def _job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tree_reasons(t: Tables) -> DataFrame:
     """Every test record's reasons from a forest, with whether all its attributions add up."""
-    prepared = training.prepare_split(views.feature_base(t))
-    forest = training.fit_forest(prepared)
-    summed = trees.tree_attributions(prepared.test, forest, FEATURES).groupBy("customer_id").agg(F.sum("phi").alias("total"))
-    exact = summed.join(serving.output(forest, prepared.test, FEATURES), "customer_id").select(
-        "customer_id", (F.abs(F.col("total") - F.col("output")) < 1e-6).cast("int").alias("adds_up")
+    prepared, forest = _grown(views.feature_base(t), "RandomForest")
+    explained = path_attribution.attributions(prepared.test, forest, FEATURES, averaged=True)
+    base = path_attribution.expected(path_attribution.path_leaves(forest, 1 / len(forest.feature)))
+    summed = explained.groupBy("customer_id").agg(F.sum("phi").alias("total"))
+    scored = histogram_trees.predict(prepared.test.withColumn("model", F.lit(0)), FEATURES, {0: forest}, validation.LEARNERS["RandomForest"])
+    exact = summed.join(scored, "customer_id").select(
+        "customer_id", (F.abs(F.col("total") - F.col("probability") + base) < 1e-9).alias("adds_up")
     )
-    reasons = serving.tree_reasons(prepared.test, forest, FEATURES)
-    return exact.join(reasons, "customer_id").select("customer_id", "reason_rank", "adds_up")
+    return serving.ranked_reasons(explained).join(exact, "customer_id")
 
 
 def _grown(base: DataFrame, learner: str) -> tuple[training.Prepared, histogram_trees.Trees]:

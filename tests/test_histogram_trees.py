@@ -191,6 +191,18 @@ def test_cross_validation_equals_folds_one_by_one(spark):
         assert np.isclose(mean, np.mean(values)) and np.isclose(std, np.std(values))
 
 
+def test_tree_reasons_are_the_largest_attributions(spark):
+    rows = all_queries()["p04b_tree_reasons"](spark, SF).collect()
+    by_customer = {}
+    for r in rows:
+        by_customer.setdefault(r.customer_id, []).append(r)
+        assert r.adds_up and r.impact == abs(r.shap_value) and r.direction == ("increases" if r.shap_value > 0 else "decreases")
+        assert r.description.endswith(f"{r.direction} churn risk") and r.feature in FEATURES
+    for own in by_customer.values():
+        own.sort(key=lambda r: r.reason_rank)
+        assert [r.reason_rank for r in own] == [1, 2, 3] and own[0].impact >= own[1].impact >= own[2].impact
+
+
 def test_registered_learners_measure_test_rows(spark):
     for key in ("m06b_histogram_forest", "m07b_second_order_boosting"):
         rows = {r.metric: r.value for r in all_queries()[key](spark, SF).collect()}

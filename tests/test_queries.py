@@ -22,7 +22,7 @@ def test_only_known_queries_go_without_sql():
     assert without == {
         "m05_logistic_regression", "m06_random_forest", "m07_boosted_trees",
         "m06b_histogram_forest", "m07b_second_order_boosting", "m08_cross_validation",
-        "m14_run_log", "p04_tree_attribution",
+        "m14_run_log", "p04_tree_attribution", "p04b_tree_reasons",
     }
     assert set(STATEMENTS) <= set(QUERIES)
 
