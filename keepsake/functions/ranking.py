@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keepsake.storage import cut_lineage
+from keepsake.storage import cut_lineage, stored
 
 Cut = tuple[float | None, str | None]
 Places = Callable[[int], list[int]]
@@ -150,7 +150,11 @@ def look_up(
     """
     found_cuts: dict[str, list[Cut]] = {}
     found_quantiles: dict[str, list[float]] = {}
-    for own in _by_type(df, values):
+    kinds = _by_type(df, values)
+    if len(kinds) > 1:  # each type is counted by itself: compute the values once for all of them
+        df = stored(df.select(*[v.alias(f"v_{n}") for n, v in values.items()], *([] if tie is None else [tie])), "ranked")
+        kinds = [{n: F.col(f"v_{n}") for n in own} for own in kinds]
+    for own in kinds:
         some_cuts, some_quantiles = _look_up(
             _stack(df, own, tie), {n: c for n, c in (cuts or {}).items() if n in own},
             {n: q for n, q in (quantiles or {}).items() if n in own},

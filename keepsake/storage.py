@@ -51,6 +51,12 @@ def _hadoop(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate whose consumers are all written."""
+    system, where = _hadoop(spark, path)
+    system.delete(where, True)
+
+
 def create_once(spark: SparkSession, path: str, text: str) -> bool:
     """Create a small file if no other writer has: false if it is there already."""
     system, where = _hadoop(spark, path)
