@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.store import written
+from keepsake.llm.store import discard, written
 
 
 def components(links: DataFrame, label: str) -> DataFrame:
@@ -27,7 +27,8 @@ def components(links: DataFrame, label: str) -> DataFrame:
         small = large.join(least, "a").select(
             F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))
         )
-        edges = written(small.filter("a <> b").distinct(), label)
+        before, edges = edges, written(small.filter("a <> b").distinct(), label)
+        discard(before)
         now = edges.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == state:
             break

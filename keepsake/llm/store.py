@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import keepsake
+from keepsake.storage import discard as discard_path
 from keepsake.storage import new_path
 
 _shipped: set[str] = set()
+#: Written tables that may be discarded, with their folders.
+_paths: dict[int, tuple[DataFrame, str]] = {}
 #: What the operators of one worker remember: how to empty it, by name.
 _memories: dict[str, list[Callable[[], None]]] = {}
 _in_use: list[str] = [""]
@@ -74,7 +77,16 @@ def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     ship_package(df.sparkSession)
     path = new_path(df.sparkSession, label)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` of which all consumers are written themselves."""
+    for table_ in tables:
+        _, path = _paths.pop(id(table_))
+        discard_path(table_.sparkSession, path)
 
 
 def spread_parts(spark: SparkSession, rows: int, rows_per_part: int) -> int:

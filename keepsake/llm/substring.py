@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.llm.shingles import gram_hashes, hashes_of, run_hashes, sliding_min
-from keepsake.llm.store import fill_text, ship_package, use_memory, written
+from keepsake.llm.store import discard, fill_text, ship_package, use_memory, written
 
 WINDOW, ANCHOR = 50, 16
 #: Words that are hashed together.
@@ -132,7 +132,9 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
         F.min("block").alias("b0"), F.max("block").alias("b1"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")
     ).filter("d0 <> d1").select("anchor", (F.col("b0") != F.col("b1")).alias("several"))
     # aggregates are written before they are joined back, so that the join's long side can be split
-    met = written(blocks.join(written(shared, "shared-anchors"), "anchor"), "shared-blocks")
+    shared = written(shared, "shared-anchors")
+    met = written(blocks.join(shared, "anchor"), "shared-blocks")
+    discard(blocks, shared)
     first = met.groupBy("anchor", "block", "several").agg(F.min(F.struct("doc_id", "text_key", "start", "n")).alias("first"))
     first = written(first, "reference-blocks")
     asked = first.filter("several").select("first.*", "anchor", "block").groupBy("doc_id", "text_key").agg(
@@ -142,7 +144,8 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
     held = windows.groupBy("anchor", "window").agg(
         F.min(F.struct("first_doc", "place")).alias("least"), F.max("first_doc").alias("d1")
     ).select("anchor", "window", F.col("least.first_doc").alias("d0"), F.col("least.place").alias("p0"), "d1").filter("d0 < d1").drop("d1")
-    edges = windows.join(written(held, "shared-windows"), ["anchor", "window"]).filter("first_doc > d0")
+    held = written(held, "shared-windows")
+    edges = windows.join(held, ["anchor", "window"]).filter("first_doc > d0")
     edges = edges.groupBy("anchor", "block").agg(F.collect_list(F.struct("nth", "d0", "p0")).alias("found"))
     known = first.select("anchor", "block", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
     known = known.join(edges, ["anchor", "block"], "left")
@@ -150,7 +153,9 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
     single = F.transform("found", lambda w: F.struct(
         (F.col("start") + w["nth"]).alias("start"), F.lit(1).alias("n"), w["d0"].alias("reference"), w["p0"].alias("position")
     ))
-    runs = met.join(written(known, "judged-blocks"), ["anchor", "block"]).select(
+    known = written(known, "judged-blocks")
+    discard(first, windows, held)
+    runs = met.join(known, ["anchor", "block"]).select(
         "doc_id", "text_key", F.when(F.col("doc_id") > F.col("first_doc"), whole).otherwise(single).alias("runs")
     )
     return runs.filter("runs is not null").groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
