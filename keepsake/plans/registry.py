@@ -20,7 +20,7 @@ from keepsake.plans import job
 from keepsake.plans.fixed_model import fixed_model
 from keepsake.plans.oracle import GROUPS
 from keepsake.schema import FEATURES, Tables, literal_rows
-from keepsake.sources import history, indexes, quality, raw, sinks, star_schema
+from keepsake.sources import history, indexes, quality, raw, sinks
 from keepsake.sources.star_schema import AS_OF, raw_extract, raw_shape, retention_tables
 from keepsake.storage import new_path
 from keepsake.streaming import online
