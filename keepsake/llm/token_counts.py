@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm.store import memory, ship_package, use_memory
+from keepsake.llm.store import discard, memory, ship_package, use_memory, written
 from keepsake.llm.tokens import Remembered, encoder, grouped, pieces_of
 from keepsake.storage import create_once, small_files
 
@@ -182,6 +182,7 @@ class Rollup:
         """
         if batch in self.batches():
             return False
+        changes = written(changes, "count-changes")  # read twice below, and counting tokens is dear
         one = F.max_by(F.struct("op", "source", "lang", "n_tokens"), F.struct(F.coalesce("n_tokens", F.lit(-1)), "op", "source", "lang"))
         asked = changes.filter("doc_id is not null").groupBy("doc_id", "version").agg(one.alias("c")).select("doc_id", "version", "c.*", F.lit(1).alias("asked"))
         known = self.ledger().filter("doc_id is not null").select("doc_id", "version", *[F.col(c).alias(f"old_{c}") for c in ("source", "lang", "n_tokens")])
@@ -204,4 +205,5 @@ class Rollup:
         rows = self.spark.read.schema(LEDGER).parquet(f"{self.folder}/{attempt}/ledger")
         sums = rows.groupBy(*KEYS).agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
         sums.filter("n_docs <> 0 or n_tokens <> 0").write.parquet(f"{self.folder}/{attempt}/deltas")
+        discard(changes)
         return create_once(self.spark, f"{self.folder}/commits/{batch}", attempt)
