@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not
 
 #: Most pivots, and rows of a block.
 MOST_PIVOTS, BLOCK_ROWS = 1024, 4096
+#: Rows whose distances to all pivots are held at once, and pairs of row and cell sent at once.
+MEASURED, ROUTED = 1024, 8192
 
 
 def _nearest_in_blocks(k: int, chunk: int = 256):
@@ -99,9 +102,11 @@ def pivot_cells(distinct: DataFrame, block_rows: int) -> tuple[DataFrame, DataFr
 
     def assign(batches):
         for batch in batches:
-            d = _pivot_distances(np.stack(batch["x"].to_numpy()), pivots)
-            nearest = d.argmin(axis=1)
-            yield batch.assign(cell=nearest, away=d[np.arange(len(d)), nearest])
+            for start in range(0, len(batch), MEASURED):
+                part = batch.iloc[start : start + MEASURED]
+                d = _pivot_distances(np.stack(part["x"].to_numpy()), pivots)
+                nearest = d.argmin(axis=1)
+                yield part.assign(cell=nearest, away=d[np.arange(len(d)), nearest])
 
     placed = stored(distinct.mapInPandas(assign, "row_id long, x array<double>, copies long, cell long, away double"))
     sizes = placed.groupBy("cell").agg(
@@ -111,6 +116,21 @@ def pivot_cells(distinct: DataFrame, block_rows: int) -> tuple[DataFrame, DataFr
     return placed, stored(sizes), pivots
 
 
+def routed(batch: pd.DataFrame, pivots: np.ndarray, radius: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The cells that each row of a batch may have to meet, in frames of ROUTED rows at most: a row
+    may reach every cell, so all pairs of a batch can be a thousand times its size."""
+    for start in range(0, len(batch), MEASURED):
+        part = batch.iloc[start : start + MEASURED]
+        rows = part["x"].to_numpy()
+        near = _pivot_distances(np.stack(rows), pivots) - radius <= part["bound"].to_numpy()[:, None] * (1 + 1e-9) + 1e-9
+        near[np.arange(len(part)), part["cell"].to_numpy()] = False
+        row, cell = np.nonzero(near)
+        ids = part["row_id"].to_numpy()
+        for at in range(0, len(row), ROUTED):
+            own = row[at : at + ROUTED]
+            yield pd.DataFrame({"row_id": ids[own], "x": rows[own], "cell": cell[at : at + ROUTED]})
+
+
 def other_cells(bounded: DataFrame, sizes: DataFrame, pivots: np.ndarray) -> DataFrame:
     """The cells beside its own in which a row may have a neighbour within its `bound`: by the
     triangle inequality those whose radius reaches to within the bound of the row."""
@@ -121,13 +141,11 @@ def other_cells(bounded: DataFrame, sizes: DataFrame, pivots: np.ndarray) -> Dat
 
     def route(batches):
         for batch in batches:
-            x = np.stack(batch["x"].to_numpy()) if len(batch) else np.zeros((0, pivots.shape[1]))
-            near = _pivot_distances(x, pivots) - radius <= batch["bound"].to_numpy()[:, None] * (1 + 1e-9) + 1e-9
-            near[np.arange(len(x)), batch["cell"].to_numpy()] = False
-            row, cell = np.nonzero(near)
-            yield pd.DataFrame({"row_id": batch["row_id"].to_numpy()[row], "x": batch["x"].to_numpy()[row], "cell": cell})
+            yield from routed(batch, pivots, radius)
 
-    return bounded.mapInPandas(route, "row_id long, x array<double>, cell long")
+    # The rows are few bytes, what they become is not: they are dealt by number.
+    dealt = bounded.repartition(max(1, len(pivots) // 4))
+    return dealt.mapInPandas(route, "row_id long, x array<double>, cell long")
 
 
 def nearest_neighbours(distinct: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
