@@ -66,40 +66,89 @@ def expected(leaves: list[PathLeaf]) -> float:
     return float(sum(leaf.value * leaf.shares.prod() for leaf in leaves))
 
 
+_quadratures: dict = {}
+
+
+def quadrature(d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points in [0, 1] and weights that integrate polynomials of d - 1 exactly, found once per d."""
+    if d not in _quadratures:
+        points, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
+        _quadratures[d] = (points + 1) / 2, weights / 2
+    return _quadratures[d]
+
+
 def pattern_values(leaf: PathLeaf, patterns: np.ndarray) -> np.ndarray:
     """Attributions of the leaf's features for each pattern of met conditions (0 or 1 each)."""
-    d = len(leaf.shares)
-    points, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
-    t = (points + 1) / 2
+    t, weights = quadrature(len(leaf.shares))
     terms = leaf.shares[:, None] * (1 - t) + patterns[:, :, None] * t  # never 0: shares are above 0
     others = terms.prod(axis=1, keepdims=True) / terms
-    return leaf.value * (patterns - leaf.shares) * (others @ (weights / 2))
+    return leaf.value * (patterns - leaf.shares) * (others @ weights)
 
 
-def batch_attributions(x: np.ndarray, leaves: list[PathLeaf]) -> np.ndarray:
-    phi = np.zeros_like(x)
+def ranked_bounds(leaves: list[PathLeaf], features: int) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
+    """Per feature the ascending finite bounds that occur, and per leaf its bounds as places
+    among them, so a value's place tells on which side of a bound it is."""
+    found: list[set] = [set() for _ in range(features)]
     for leaf in leaves:
+        for f, low, high in zip(leaf.features, leaf.low, leaf.high):
+            found[f].update(b for b in (low, high) if np.isfinite(b))
+    cuts = [np.array(sorted(s), float) for s in found]
+    place = [{b: i for i, b in enumerate(c.tolist())} | {-np.inf: -1, np.inf: len(c)} for c in cuts]
+    ends = [
+        (np.array([place[f][b] for f, b in zip(leaf.features, leaf.low)], np.int32), np.array([place[f][b] for f, b in zip(leaf.features, leaf.high)], np.int32))
+        for leaf in leaves
+    ]
+    return cuts, ends
+
+
+def places_of(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """[feature, row]: how many bounds lie below a value; -1 if it is above none, not even -inf."""
+    places = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)]).astype(np.int32)
+    places[~(x.T > -np.inf)] = -1
+    return places
+
+
+def batch_attributions(x: np.ndarray, leaves: list[PathLeaf], bounds: tuple | None = None) -> np.ndarray:
+    """Attributions of the rows; ``bounds`` are the leaves' ``ranked_bounds``."""
+    cuts, ends = bounds or ranked_bounds(leaves, x.shape[1])
+    phi = np.zeros((x.shape[1], len(x)))
+    places = places_of(x, cuts)
+    for leaf, (low, high) in zip(leaves, ends):
         d = len(leaf.features)
         if not d or not len(x):
             continue
-        part = x[:, leaf.features]
-        code = ((part > leaf.low) & (part <= leaf.high)) @ (1 << np.arange(d))
-        seen, place = np.unique(code, return_inverse=True)
+        code = np.zeros(len(x), np.int16 if d < 15 else np.int64)
+        for i, f in enumerate(leaf.features):
+            at = places[f]
+            code |= ((at > low[i]) & (at <= high[i])).astype(code.dtype) << i
+        seen, place = _distinct(code, d)
         patterns = ((seen[:, None] >> np.arange(d)) & 1).astype(float)
-        phi[:, leaf.features] += pattern_values(leaf, patterns)[place]
-    return phi
+        values = pattern_values(leaf, patterns)
+        for i, f in enumerate(leaf.features):
+            phi[f] += values[:, i].take(place)
+    return phi.T
+
+
+def _distinct(code: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes below 2^d that occur, ascending, and each row's place among them."""
+    if d > 12:
+        return np.unique(code, return_inverse=True)
+    there = np.zeros(1 << d, bool)
+    there[code] = True
+    return np.flatnonzero(there), (there.cumsum() - 1)[code]
 
 
 def attributions(scaled: DataFrame, trees: Trees, features: list[str], averaged: bool) -> DataFrame:
     """Long form (customer_id, position, feature, phi) of every record; ``averaged`` for a
     forest (probability), else the sum of the trees (margin)."""
     leaves = path_leaves(trees, 1 / len(trees.feature) if averaged else 1.0)
+    bounds = ranked_bounds(leaves, len(features))
     records = scaled.select(F.col("customer_id").cast("string"), *[F.col(c).cast("double").alias(c) for c in features])
 
     def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.column_stack([batch.column(c).to_numpy() for c in features]) if len(batch) else np.zeros((0, len(features)))
-            phi = batch_attributions(np.ascontiguousarray(x), leaves)
+            phi = batch_attributions(np.ascontiguousarray(x), leaves, bounds)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("customer_id"), pa.FixedSizeListArray.from_arrays(pa.array(phi.ravel()), len(features)).cast(pa.list_(pa.float64()))],
                 ["customer_id", "phi"],
