@@ -20,6 +20,8 @@ from keepsake.operators.splits import Scaler, class_weights, stratified_folds, s
 from keepsake.schema import FEATURES, literal_rows
 
 SEED = 42
+#: Bytes of a partition that the learners pass over, at most.
+PART_BYTES = 64 << 20
 
 
 @dataclass
@@ -38,19 +40,26 @@ class Prepared:
         self.test.unpersist()
 
 
+def dealt(frame: DataFrame, rows: int) -> DataFrame:
+    """Even partitions for learners that pass over the rows hundreds of times: one per core, as every
+    further one costs two tasks a pass, and more where they would grow over PART_BYTES."""
+    size = rows * (len(FEATURES) + 2) * 8
+    return frame.repartition(max(frame.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)))
+
+
 def prepare(train: DataFrame, test: DataFrame, resample: bool = True, seed: int = SEED) -> Prepared:
     """Scale by the train rows, oversample the train rows, keep both in memory for the learners."""
     scaler = Scaler.fit(train, FEATURES)
-    scaled, held_out = scaler.transform(train), scaler.transform(test).hint("rebalance").persist()
     counts = class_weights(train).collect()  # two rows
+    sizes = [r["n"] for r in counts]
+    scaled, held_out = scaler.transform(train), dealt(scaler.transform(test), sum(sizes)).persist()
     balanced = smote(scaled, FEATURES, seed=seed) if resample else scaled
-    # The learners pass over these rows hundreds of times: even partitions of advisory size pay off.
     return Prepared(
-        balanced.hint("rebalance").persist(),
+        dealt(balanced, max(sizes, default=0) * 2 if resample else sum(sizes)).persist(),
         held_out,
         scaler,
         counts[0]["scale_pos_weight"],
-        sum(r["n"] for r in counts),
+        sum(sizes),
         held_out.count(),
     )
 

@@ -6,6 +6,7 @@ from itertools import combinations
 from math import factorial
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.sql import functions as F
@@ -97,6 +98,30 @@ def test_neighbour_search_passes_over_far_cells(spark, monkeypatch):
     assert sum(met) < 2500**2 / 4
 
 
+def test_cells_are_routed_in_frames_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(resampling, "MEASURED", 16)
+    monkeypatch.setattr(resampling, "ROUTED", 50)
+    draw = np.random.default_rng(3)
+    x, pivots = draw.normal(size=(40, 3)), draw.normal(size=(20, 3))
+    batch = pd.DataFrame({"row_id": np.arange(40), "x": list(x), "cell": np.arange(40) % 20, "bound": np.inf})
+    frames = list(resampling.routed(batch, pivots, np.zeros(20)))
+    assert max(map(len, frames)) <= 50
+    pairs = pd.concat(frames)
+    assert set(zip(pairs.row_id, pairs.cell)) == {(r, c) for r in range(40) for c in range(20) if c != r % 20} and len(pairs) == 40 * 19
+    assert all((x[r] == v).all() for r, v in zip(pairs.row_id, pairs.x))
+
+
+def test_learners_get_a_partition_per_core(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        prepared = training.prepare_split(views.feature_base(retention_tables(spark, SF)))
+        assert prepared.train.rdd.getNumPartitions() == prepared.test.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+        prepared.release()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_smote_balances_and_stays_on_segments(spark):
     points, df = cloud(spark, 30, 15)
     out = resampling.smote(df, ["a", "b", "c"], block_rows=16)
