@@ -6,9 +6,10 @@ histograms of (model, node, feature, bin) over the blocks, partial sums are comb
 before anything reaches the driver, and only the best split of every node is returned; all
 models share each pass, one per tree level or Newton step.
 
-A model whose rows are one block needs no sums across tasks: there the same growing code runs
-inside one task on that block, all its levels at once, and models (and groups of a forest's
-trees) are dealt to tasks. Both ways give equal trees (tested); the block's size bounds memory.
+A model of at most WHOLE_ROWS rows is one block and needs no sums across tasks: there the same
+growing code runs inside one task on that block, all its levels at once, and models (and groups
+of a forest's trees) are dealt to tasks. Both ways give equal trees (tested); WHOLE_ROWS bounds
+the memory of the one way, BLOCK_ROWS that of the other.
 
 Randomness comes from hashes of row, model, tree and node, so a repeated task gives the same
 trees. Margins of finished rounds are remembered per worker and block; a worker that has none
@@ -37,12 +38,12 @@ from keepsake.storage import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have the package
 
-#: Rows of a block, and most bins of a feature.
-BLOCK_ROWS, BINS = 50_000, 64
+#: Rows of a block, of a model that is one block, and most bins of a feature.
+BLOCK_ROWS, WHOLE_ROWS, BINS = 50_000, 200_000, 64
 #: Bytes of histograms that one pass asks for, and partial results that are combined per step.
 PASS_BYTES, COMBINED = 64 << 20, 32
 #: Trees of a forest that one task grows when a model is one block.
-TREES_PER_TASK = 25
+TREES_PER_TASK = 10
 
 BLOCKS = "model int, block string, n int, ids binary, y binary, x binary, bins binary"
 
@@ -91,16 +92,19 @@ class Trees:
     def depth(self) -> int:
         return (self.feature.shape[1] + 1).bit_length() - 2
 
+    def below(self, tree: int, at: np.ndarray, bins: np.ndarray) -> np.ndarray:
+        """One step down from the nodes where the rows of bins are; those at a leaf stay."""
+        feature = self.feature[tree, at]
+        right = bins[np.arange(len(bins)), np.maximum(feature, 0)] > self.bin[tree, at]
+        return np.where(feature >= 0, 2 * at + 1 + right, at)
+
     def nodes_of(self, tree: int, bins: np.ndarray) -> np.ndarray:
         """The node where each row of bins ends."""
-        at, row = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        at = np.zeros(len(bins), np.int64)
         for _ in range(self.depth):
-            feature = self.feature[tree, at]
-            inner = feature >= 0
-            if not inner.any():
+            if not (self.feature[tree, at] >= 0).any():
                 break
-            right = bins[row, np.maximum(feature, 0)] > self.bin[tree, at]
-            at = np.where(inner, 2 * at + 1 + right, at)
+            at = self.below(tree, at, bins)
         return at
 
     def sums(self, x: np.ndarray) -> np.ndarray:
@@ -170,20 +174,30 @@ def _binned(codes: np.ndarray, size: int, weights: list[np.ndarray]) -> np.ndarr
     return np.stack([np.bincount(codes, w, minlength=size) for w in weights], axis=-1)
 
 
-def boost_histogram(block: Block, margins: np.ndarray, trees: Trees, at: int, nodes: np.ndarray, columns: np.ndarray, p: Boosting, heavy: float) -> np.ndarray:
-    """[node, column, bin, (gradient, hessian, rows)] of the sampled rows at ``nodes``."""
+def boost_sample(block: Block, margins: np.ndarray, at: int, p: Boosting, heavy: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows drawn for a tree, their gradients and hessians."""
     odds = 1 / (1 + np.exp(-margins))
     weight = np.where(block.y == 1, heavy, 1.0)
     g, h = (odds - block.y) * weight, np.maximum(odds * (1 - odds), 1e-16) * weight
-    place = np.full(trees.feature.shape[1], -1)
+    drawn_rows = np.flatnonzero(uniform(block.ids, p.seed, block.model, at) < p.rows)
+    return drawn_rows, g[drawn_rows], h[drawn_rows]
+
+
+def boost_histogram(bins: np.ndarray, ends: np.ndarray, g: np.ndarray, h: np.ndarray, nodes: np.ndarray, places: int) -> np.ndarray:
+    """[node, column, bin, (gradient, hessian, rows)] of drawn rows at ``nodes``, of the ``places``
+    of a tree. ``bins`` has a line per column; ``ends`` are the nodes where the rows are."""
+    place = np.full(places, -1)
     place[nodes] = np.arange(len(nodes))
-    local = place[trees.nodes_of(at, block.bins)]
-    kept = (local >= 0) & (uniform(block.ids, p.seed, block.model, at) < p.rows)
-    local, g, h, bins = local[kept] * BINS, g[kept], h[kept], block.bins[kept]
-    one, size = np.ones(len(g)), len(nodes) * BINS
-    out = np.empty((len(nodes), len(columns), BINS, 3))
-    for i, column in enumerate(columns):
-        out[:, i] = _binned(local + bins[:, column], size, [g, h, one]).reshape(len(nodes), BINS, 3)
+    local = place[ends]
+    kept = np.flatnonzero(local >= 0)
+    if len(kept) < len(local):
+        local, g, h, bins = local[kept], g[kept], h[kept], bins[:, kept]
+    local, size = local * BINS, len(nodes) * BINS
+    out = np.empty((len(nodes), len(bins), BINS, 3))
+    for i, line in enumerate(bins):
+        codes = local + line
+        for j, weights in enumerate((g, h, None)):
+            out[:, i, :, j] = np.bincount(codes, weights, minlength=size).reshape(len(nodes), BINS)
     return out
 
 
@@ -298,12 +312,15 @@ def boost_in_block(block: Block, shape: Shape, p: Boosting) -> Trees:
     trees, margins = Trees.empty(p.rounds, p.depth), np.zeros(len(block.y))
     for at in range(p.rounds):
         nodes, columns = np.zeros(1, np.int64), boost_columns(p, block.bins.shape[1], block.model, at)
+        rows, g, h = boost_sample(block, margins, at, p, shape.heavy)
+        lines, ends = np.ascontiguousarray(block.bins.T[columns][:, rows]), np.zeros(len(block.y), np.int64)
         for _ in range(p.depth):
-            found = boost_splits(boost_histogram(block, margins, trees, at, nodes, columns, p, shape.heavy), p)
+            found = boost_splits(boost_histogram(lines, ends[rows], g, h, nodes, trees.feature.shape[1]), p)
             nodes = set_splits(trees, at, nodes, columns, found, shape.edges, boost_value(p), 1)
             if not len(nodes):
                 break
-        margins += trees.value[at, trees.nodes_of(at, block.bins)]
+            ends = trees.below(at, ends, block.bins)
+        margins += trees.value[at, ends]
     return trees
 
 
@@ -353,23 +370,25 @@ class Training:
     and the features, which are not null."""
 
     def __init__(self, frame: DataFrame, features: list[str], block_rows: int | None = None):
-        self.features, rows = list(features), block_rows or BLOCK_ROWS
+        self.features = list(features)
         self.spark = frame.sparkSession
         frame = frame.filter("churn is not null")
         edges = edges_of(frame, features)
         counts = {(r["model"], int(r["churn"])): r["n"] for r in frame.groupBy("model", "churn").agg(F.count("*").alias("n")).collect()}
         self.shapes = {m: Shape((counts.get((m, 0), 0), counts.get((m, 1), 0)), e) for m, e in edges.items()}
-        self.blocks = stored(self._packed(frame, edges, rows)).persist()
+        whole = block_rows or WHOLE_ROWS
+        blocks = {m: 1 if sum(s.counts) <= whole else -(-sum(s.counts) // (block_rows or BLOCK_ROWS)) for m, s in self.shapes.items()}
+        self.blocks = stored(self._packed(frame, edges, blocks)).persist()
         held = self.blocks.groupBy("model").agg(F.count("*").alias("blocks")).collect()
         self.split = {r["model"]: r["blocks"] for r in held}
 
     def release(self) -> None:
         self.blocks.unpersist()
 
-    def _packed(self, frame: DataFrame, edges: dict, rows: int) -> DataFrame:
+    def _packed(self, frame: DataFrame, edges: dict, blocks: dict[int, int]) -> DataFrame:
         """Each model's rows dealt by hash into enough parts, each part a block."""
         features = self.features
-        parts = F.coalesce(*[F.when(F.col("model") == m, -(-sum(s.counts) // rows)) for m, s in self.shapes.items()], F.lit(1))
+        parts = F.coalesce(*[F.when(F.col("model") == m, n) for m, n in blocks.items()], F.lit(1))
         key = F.xxhash64("customer_id")
         dealt = frame.select(
             F.col("model").cast("int"), key.alias("id"), F.col("churn").cast("double").alias("y"), F.pmod(F.xxhash64("customer_id", F.lit("block")), parts).alias("part"),
@@ -390,8 +409,12 @@ class Training:
 
         return dealt.groupBy("model", "part").applyInArrow(pack, BLOCKS)
 
-    def _whole(self) -> DataFrame:
-        return self.blocks.filter(F.col("model").isin([m for m, n in self.split.items() if n == 1]))
+    def _blocks(self, p: Boosting | Forest | Newton) -> DataFrame:
+        """The blocks; trees need the bins alone, which are an eighth of the values."""
+        return self.blocks if isinstance(p, Newton) else self.blocks.withColumn("x", F.lit(b""))
+
+    def _whole(self, p: Boosting | Forest | Newton) -> DataFrame:
+        return self._blocks(p).filter(F.col("model").isin([m for m, n in self.split.items() if n == 1]))
 
     def _spread(self) -> list[int]:
         return sorted(m for m, n in self.split.items() if n > 1)
@@ -432,7 +455,7 @@ class Training:
                         ["model", "begin", "made"],
                     )
 
-        dealt = self._whole().withColumn("begin", F.explode(F.array(*map(F.lit, groups)))).repartition(len(whole) * len(groups), "model", "begin")
+        dealt = self._whole(p).withColumn("begin", F.explode(F.array(*map(F.lit, groups)))).repartition(len(whole) * len(groups))
         rows = sorted(dealt.mapInArrow(run, "model int, begin int, made array<binary>").collect(), key=lambda r: (r["model"], r["begin"]))
         found: dict = {}
         for r in rows:  # bounded by the models: trees x nodes
@@ -445,7 +468,7 @@ class Training:
             found[r["model"]] = found[r["model"]].join(trees) if r["model"] in found else trees
         return found
 
-    def _summed(self, work: Callable, keys: Callable | None = None) -> dict[tuple[int, int, int], np.ndarray] | DataFrame:
+    def _summed(self, work: Callable, p: Boosting | Forest | Newton) -> DataFrame:
         """Sums of what ``work(block)`` yields as (tree, node, array), by (model, tree, node):
         added within a task, then by groups of tasks, then by key."""
         width, spread = len(self.features), self._spread()
@@ -460,7 +483,7 @@ class Training:
                         sums[key] = sums[key] + array if key in sums else array
             yield from summed_rows(sums)
 
-        parts = self.blocks.filter(F.col("model").isin(spread)).mapInArrow(run, SUMS)
+        parts = self._blocks(p).filter(F.col("model").isin(spread)).mapInArrow(run, SUMS)
         if max(self.split.values()) > COMBINED:
             parts = combined(parts.withColumn("salt", F.pmod(F.xxhash64("sums"), F.lit(COMBINED))), ["model", "tree", "node", "salt"])
         return combined(parts, ["model", "tree", "node"])
@@ -481,10 +504,12 @@ class Training:
                     if block.model in asked:
                         own, n = sent[block.model], asked[block.model]
                         margins = remembered_margins(run_id, block, own, at)
-                        h = boost_histogram(block, margins, own, at, n, columns[block.model], p, shapes[block.model].heavy)
+                        rows, g, h = boost_sample(block, margins, at, p, shapes[block.model].heavy)
+                        lines, ends = block.bins.T[columns[block.model]][:, rows], own.nodes_of(at, block.bins)[rows]
+                        h = boost_histogram(lines, ends, g, h, n, own.feature.shape[1])
                         yield from ((at, int(node), h[i].ravel()) for i, node in enumerate(n))
 
-                found = best_of(self._summed(work), lambda h: boost_splits(h, p), {(m, at): len(columns[m]) for m in asked})
+                found = best_of(self._summed(work, p), lambda h: boost_splits(h, p), {(m, at): len(columns[m]) for m in asked})
                 for m, n in asked.items():
                     rows = tuple(np.array(c) for c in zip(*(found[m, at, int(i)] for i in n)))
                     nodes[m] = set_splits(trees[m], at, n, columns[m], rows, shapes[m].edges, boost_value(p), 1)
@@ -514,7 +539,7 @@ class Training:
                             h = forest_histogram(block, sent[m, t], 0, t, n, columns[m, t], p, shapes[m].balanced)
                             yield from ((t, int(node), h[i].ravel()) for i, node in enumerate(n))
 
-                found = best_of(self._summed(work), lambda h: forest_splits(h, p), {k: p.columns(width) for k in asked})
+                found = best_of(self._summed(work, p), lambda h: forest_splits(h, p), {k: p.columns(width) for k in asked})
                 for (m, t), n in asked.items():
                     rows = tuple(np.array(c) for c in zip(*(found[m, t, int(i)] for i in n)))
                     below = set_splits(trees[m], t, n, columns[m, t], rows, shapes[m].edges, forest_value, 0)
@@ -533,7 +558,7 @@ class Training:
                     yield 0, 0, newton_sums(block, now[block.model], shapes[block.model].balanced)
 
             left = {}
-            for r in self._summed(work).collect():  # a row per model
+            for r in self._summed(work, p).collect():  # a row per model
                 weights[r["model"]], left[r["model"]] = newton_step(weights[r["model"]], np.frombuffer(r["sums"], float), p)
             going = [m for m in going if left[m] >= p.tolerance]
             if not going:

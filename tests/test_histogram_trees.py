@@ -56,6 +56,14 @@ def test_shared_passes_equal_growing_in_one_task(whole, spread, p):
         assert np.allclose(one[m].value, many[m].value) and np.allclose(one[m].cover, many[m].cover)
 
 
+def test_a_model_of_60000_rows_needs_no_pass_per_level(spark):
+    rows = spark.range(60_000).selectExpr("0 AS model", "CAST(id AS STRING) AS customer_id", "CAST(id % 3 = 0 AS INT) AS churn", "id % 7 AS a", "id % 11 AS b")
+    training = ht.Training(rows, ["a", "b"])
+    assert training.split == {0: 1}
+    assert int(training.grow(ht.Boosting(rounds=2, depth=2))[0].rows[0, 0]) > 40_000  # four in five rows are drawn
+    training.release()
+
+
 def blocks(training):
     rows = training.blocks.toArrow().combine_chunks().to_batches()[0]
     return {b.model: b for b in (ht.read_block(rows, i, len(NAMES)) for i in range(len(rows)))}
@@ -160,6 +168,23 @@ def test_attributions_equal_all_coalitions(whole, frame):
             assert np.isclose(sum(found[r.customer_id].values()), trees.sums(x[None])[0] * scale - pa_.expected(leaves))
 
 
+def test_attributions_of_many_leaves_equal_the_plain_form(whole, frame, monkeypatch):
+    trees = whole.grow(FOREST)[1]
+    leaves, rows = pa_.path_leaves(trees, 1 / FOREST.trees), frame.filter("model = 1").toPandas()
+    x = rows[NAMES].to_numpy(float)
+    x[0, 1], x[1, 2], x[2, 3] = np.nan, np.inf, -np.inf
+    plain = np.zeros_like(x)
+    for leaf in leaves:
+        if d := len(leaf.features):
+            part = x[:, leaf.features]
+            met = ((part > leaf.low) & (part <= leaf.high)).astype(float)
+            plain[:, leaf.features] += pa_.pattern_values(leaf, met)
+    asked, found = [], np.polynomial.legendre.leggauss
+    monkeypatch.setattr(np.polynomial.legendre, "leggauss", lambda n: asked.append(n) or found(n))
+    assert np.allclose(pa_.batch_attributions(x, leaves), plain, atol=1e-12)
+    assert len(asked) <= len(NAMES)  # not once per leaf and batch
+
+
 def test_odd_training_rows(spark, frame):
     rows = frame.filter("model = 1").unionByName(frame.filter("model = 1").withColumn("churn", F.lit(None).cast("int")))
     one = rows.withColumn("d", F.lit(3.0))
