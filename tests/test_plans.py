@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from keepsake.functions import ranking
 from keepsake.operators import analytics, views
+from keepsake.plans import registry
 from keepsake.plans.registry import all_queries as queries
 from keepsake.sources import sinks
 from keepsake.sources.star_schema import retention_tables
@@ -99,3 +100,14 @@ def test_feature_groups_read_only_what_they_need(spark):
 
 def test_rules_read_each_table_once(spark):
     assert plan(queries()["s13_check_rules"](spark, SF)).count("FileScan") == 4
+
+
+def test_adoption_keeps_one_row_a_customer_in_memory(spark):
+    plan = analytics.service_adoption(retention_tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"keys=\[([^\]]*)\]", plan)
+    assert any("customer_id" in k for k in keys) and not any("customer_id" in k and "service_type_id" in k for k in keys)
+
+
+def test_streamed_customers_are_dealt_to_all_cores(spark):
+    plan = registry._customer_stream(spark, "/root/testdata/sf0.001")._jdf.queryExecution().logical().toString()
+    assert f"Repartition {spark.sparkContext.defaultParallelism}, true" in plan
