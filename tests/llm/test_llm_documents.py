@@ -194,6 +194,14 @@ def test_jaccard_with_whole_prefixes_is_the_same(docs):
     assert sorted(jaccard.join(docs, exact=True).collect()) == sorted(jaccard.join(docs).collect())
 
 
+@pytest.mark.parametrize("often", [lambda grams: grams[:0], lambda grams: grams, lambda grams: grams[::2]], ids=["none", "all", "half"])
+def test_jaccard_is_the_same_whichever_shingles_count_as_frequent(docs, monkeypatch, often):
+    grams = np.unique(np.concatenate([jaccard.shingles(r.text) for r in docs.select("text").collect()]))
+    usual = sorted(map(tuple, jaccard.join(docs).collect()), key=str)
+    monkeypatch.setattr(jaccard, "frequent_shingles", lambda _: often(grams))
+    assert sorted(map(tuple, jaccard.join(docs).collect()), key=str) == usual
+
+
 def test_an_id_with_several_texts_is_one_node(spark):
     word = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
     rows = [(5, word("a", 30)), (5, word("b", 30)), (7, word("a", 30) + " x"), (3, "y " + word("b", 30)), (9, word("c", 9)), (2, word("a", 31))]
