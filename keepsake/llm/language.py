@@ -5,7 +5,7 @@ its hashed runs of two, three and four bytes. One linear support vector machine
 families votes for the family, one per pair of languages of that family for the language.
 All machines are rows of one weight matrix, so predicting is one pass of table lookups over
 the whole text. The machines are fitted on a bounded sample of labelled texts, at most
-PER_LANGUAGE per language and SAMPLE in all; everything else covers all rows.
+PER_LANGUAGE per language and SAMPLE in all, by one task; everything else covers all rows.
 
 Nulls and ties: a text that is null or has no letter is ``und`` with score 0; equal votes go
 to the larger sum of margins, then to the first name. Without labelled texts every text is
@@ -14,6 +14,7 @@ to the larger sum of margins, then to the first name. Without labelled texts eve
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -21,6 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keepsake.llm.store import ship_package, use_memory
@@ -206,18 +208,22 @@ def fit(docs: DataFrame) -> Model:
                 ["lang", "rank", "x", "ok"],
             )
 
-    rows = chosen.mapInArrow(features, "lang string, rank double, x binary, ok boolean").filter("ok").drop("ok").toArrow()
-    names, ranks = rows.column("lang").to_pylist(), rows.column("rank").to_pylist()
-    taken, held = [], dict.fromkeys(langs, 0)
-    for i in sorted(range(len(names)), key=lambda i: (ranks[i], names[i])):
-        if held[names[i]] < each:
-            held[names[i]] += 1
-            taken.append(i)
-    found = sorted({names[i] for i in taken})
-    x = np.zeros((len(taken), DIMENSIONS), np.float32)
-    for row, i in enumerate(taken):
-        x[row] = np.frombuffer(rows.column("x")[i].as_buffer(), np.float32)
-    return Model(found, x, np.array([found.index(names[i]) for i in taken], int))
+    def learn(sample: pa.Table) -> pa.Table:
+        names, ranks = sample.column("lang").to_pylist(), sample.column("rank").to_pylist()
+        order = sorted(range(len(names)), key=lambda i: (ranks[i], names[i], sample.column("place")[i].as_py()))
+        found = sorted(set(names))
+        x = np.zeros((len(order), DIMENSIONS), np.float32)
+        for row, i in enumerate(order):
+            x[row] = np.frombuffer(sample.column("x")[i].as_buffer(), np.float32)
+        del sample
+        model = Model(found, x, np.array([found.index(names[i]) for i in order], int))
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    made = chosen.mapInArrow(features, "lang string, rank double, x binary, ok boolean").filter("ok").drop("ok")
+    first = made.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("rank", "x"))).filter(F.col("place") <= each)
+    # The sample stays on the executors: the driver gets the machines only.
+    learned = first.groupBy().applyInArrow(learn, "model binary").first()
+    return pickle.loads(learned.model) if learned else Model([], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

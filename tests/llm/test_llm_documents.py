@@ -257,6 +257,17 @@ def test_language_of_odd_rows(docs, odd, none, twice):
     assert {(r.lang_pred, r.score) for r in one} == {("und", 0.0), ("de", 1.0)}
 
 
+def test_language_is_learnt_by_a_task_whatever_the_order_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(language, "fit_machine", None)  # here only: the workers import their own
+    texts = {"en": ("the house and the tree", "this is one of them"), "de": ("das Haus und der Baum", "dies ist eines davon"), "fr": ("la maison et le chat",)}
+    rows = [(i // 3, f"{t} {'x' * i}", lang, None, None) for lang, own in texts.items() for t in own for i in range(40)]  # repeated ids
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    model, again = (language.fit(spark.createDataFrame(r, shape).coalesce(1)) for r in (rows, rows[::-1]))
+    assert model.langs == ["de", "en", "fr"] and model.pairs == [("germanic", "romance"), ("de", "en")]
+    assert (model.weights == again.weights).all() and (model.bias == again.bias).all()
+    assert model.predict(["the tree", "der Baum", "le chat", None])[0] == ["en", "de", "fr", "und"]
+
+
 def test_mixture_deviates_by_less_than_a_block(docs):
     rows = mixing.mix(docs, block_chars=2000).select("source", "doc_id", "mix_slot", "mix_block", "mix_epoch").distinct().collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.select("doc_id").collect()}
