@@ -8,8 +8,9 @@ models share each pass, one per tree level or Newton step.
 
 A model of at most WHOLE_ROWS rows is one block and needs no sums across tasks: there the same
 growing code runs inside one task on that block, all its levels at once, and models (and groups
-of a forest's trees) are dealt to tasks. Both ways give equal trees (tested); WHOLE_ROWS bounds
-the memory of the one way, BLOCK_ROWS that of the other.
+of a forest's trees) are dealt to tasks. Trees need the bins alone, an eighth of the values, so a
+task grows them on models of up to TREE_ROWS rows, whose blocks it is sent. Both ways give equal
+trees (tested); WHOLE_ROWS and TREE_ROWS bound the memory of the one way, BLOCK_ROWS that of the other.
 
 Randomness comes from hashes of row, model, tree and node, so a repeated task gives the same
 trees. Margins of finished rounds are remembered per worker and block; a worker that has none
@@ -40,10 +41,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not
 
 #: Rows of a block, of a model that is one block, and most bins of a feature.
 BLOCK_ROWS, WHOLE_ROWS, BINS = 50_000, 200_000, 64
+#: Rows of a model whose trees one task grows: about 200 bytes of the task's memory for each.
+TREE_ROWS = 1_500_000
 #: Bytes of histograms that one pass asks for, and partial results that are combined per step.
 PASS_BYTES, COMBINED = 64 << 20, 32
-#: Trees of a forest that one task grows when a model is one block.
-TREES_PER_TASK = 10
+#: Trees of a forest that one task grows: of a model that is one block, and of one sent as several.
+TREES_PER_TASK, TREES_OF_BLOCKS = 10, 25
 
 BLOCKS = "model int, block string, n int, ids binary, y binary, x binary, bins binary"
 
@@ -170,10 +173,6 @@ class Newton:
 # --- histograms of one block ------------------------------------------------------------------
 
 
-def _binned(codes: np.ndarray, size: int, weights: list[np.ndarray]) -> np.ndarray:
-    return np.stack([np.bincount(codes, w, minlength=size) for w in weights], axis=-1)
-
-
 def boost_sample(block: Block, margins: np.ndarray, at: int, p: Boosting, heavy: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The rows drawn for a tree, their gradients and hessians."""
     odds = 1 / (1 + np.exp(-margins))
@@ -201,8 +200,45 @@ def boost_histogram(bins: np.ndarray, ends: np.ndarray, g: np.ndarray, h: np.nda
     return out
 
 
-def forest_histogram(block: Block, trees: Trees, at: int, number: int, nodes: np.ndarray, columns: np.ndarray, p: Forest, weights: tuple[float, float]) -> np.ndarray:
-    """[node, column, bin, (weight, weight of positives, rows)] of tree ``number``'s bootstrap."""
+def packed_lines(bins: np.ndarray, edges: list[np.ndarray]) -> tuple[np.ndarray, list[list[tuple[int, int, int]]]]:
+    """The columns of ``bins``, those of few values several to a line as digits of one number below
+    BINS: the lines, and of every line its columns with their digits' unit and number of values."""
+    groups, sizes = [], []
+    for column in sorted(range(len(edges)), key=lambda i: len(edges[i])):
+        values = len(edges[column]) + 1
+        if not groups or sizes[-1] * values > BINS:
+            groups.append([])
+            sizes.append(1)
+        groups[-1].append((column, sizes[-1], values))
+        sizes[-1] *= values
+    lines = np.zeros((len(groups), len(bins)), np.uint8)
+    for line, group in zip(lines, groups):
+        for column, unit, _ in group:
+            line += bins[:, column] * np.uint8(unit)
+    return lines, groups
+
+
+def packed_histogram(lines: list[np.ndarray], groups: list, columns: np.ndarray, local: np.ndarray, g: np.ndarray, h: np.ndarray, nodes: int) -> np.ndarray:
+    """What `boost_histogram` gives but the rows, which are 0, of drawn rows that stand at the nodes
+    ``local``, from a count per line: a column's sums are those over the other digits."""
+    place = {int(c): i for i, c in enumerate(columns)}
+    at, size = local * BINS, nodes * BINS
+    out = np.zeros((nodes, len(columns), BINS, 3))
+    for line, group in zip(lines, groups):
+        if not any(c in place for c, _, _ in group):
+            continue
+        codes = at + line
+        for j, weights in enumerate((g, h)):
+            sums = np.bincount(codes, weights, minlength=size).reshape(nodes, BINS)
+            for c, unit, values in group:
+                if c in place:
+                    used = sums[:, : BINS // (unit * values) * unit * values].reshape(nodes, -1, values, unit)
+                    out[:, place[c], :values, j] = used.sum(axis=(1, 3))
+    return out
+
+
+def forest_sample(block: Block, number: int, p: Forest, weights: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows in tree ``number``'s bootstrap, their weights, and these where the label is 1."""
     u, times, below = uniform(block.ids, p.seed, block.model, number), np.zeros(len(block.ids)), np.exp(-1.0)
     limit, k = below, 0
     while k < 12 and (over := u >= limit).any():
@@ -210,16 +246,26 @@ def forest_histogram(block: Block, trees: Trees, at: int, number: int, nodes: np
         k += 1
         below /= k
         limit += below
-    place = np.full(trees.feature.shape[1], -1)
+    rows = np.flatnonzero(times)
+    w = times[rows] * np.where(block.y[rows] == 1, weights[1], weights[0])
+    return rows, w, w * block.y[rows]
+
+
+def forest_histogram(bins: np.ndarray, ends: np.ndarray, w: np.ndarray, positive: np.ndarray, nodes: np.ndarray, columns: np.ndarray, places: int) -> np.ndarray:
+    """[node, column, bin, (weight, weight of positives, rows)] of a bootstrap's rows at ``nodes``,
+    of the ``places`` of a tree. ``ends`` are the nodes where the rows are."""
+    place = np.full(places, -1)
     place[nodes] = np.arange(len(nodes))
-    local = place[trees.nodes_of(at, block.bins)]
-    kept = (local >= 0) & (times > 0)
-    local, y, bins = local[kept], block.y[kept], block.bins[kept]
-    w = times[kept] * np.where(y == 1, weights[1], weights[0])
-    positive, one, row, size = w * y, np.ones(len(w)), np.arange(len(w)), len(nodes) * BINS
+    local = place[ends]
+    kept = np.flatnonzero(local >= 0)
+    if len(kept) < len(local):
+        local, w, positive, bins = local[kept], w[kept], positive[kept], bins[kept]
+    row, size = np.arange(len(w)), len(nodes) * BINS
     out = np.empty((len(nodes), columns.shape[1], BINS, 3))
     for i in range(columns.shape[1]):
-        out[:, i] = _binned(local * BINS + bins[row, columns[local, i]], size, [w, positive, one]).reshape(len(nodes), BINS, 3)
+        codes = local * BINS + bins[row, columns[local, i]]
+        for j, weights in enumerate((w, positive, None)):
+            out[:, i, :, j] = np.bincount(codes, weights, minlength=size).reshape(len(nodes), BINS)
     return out
 
 
@@ -309,17 +355,37 @@ def forest_columns(p: Forest, features: int, model: int, number: int, nodes: np.
 
 
 def boost_in_block(block: Block, shape: Shape, p: Boosting) -> Trees:
+    """Of two children only the one with fewer rows is counted: the other's sums are what is left."""
     trees, margins = Trees.empty(p.rounds, p.depth), np.zeros(len(block.y))
+    lines, groups = packed_lines(block.bins, shape.edges)
+    places = trees.feature.shape[1]
     for at in range(p.rounds):
         nodes, columns = np.zeros(1, np.int64), boost_columns(p, block.bins.shape[1], block.model, at)
         rows, g, h = boost_sample(block, margins, at, p, shape.heavy)
-        lines, ends = np.ascontiguousarray(block.bins.T[columns][:, rows]), np.zeros(len(block.y), np.int64)
-        for _ in range(p.depth):
-            found = boost_splits(boost_histogram(lines, ends[rows], g, h, nodes, trees.feature.shape[1]), p)
+        own, ends = [line[rows] for line in lines], np.zeros(len(block.y), np.int64)
+        sums = packed_histogram(own, groups, columns, ends[rows], g, h, 1)
+        for level in range(p.depth):
+            found = boost_splits(sums, p)
+            parents = sums[found[0]]
             nodes = set_splits(trees, at, nodes, columns, found, shape.edges, boost_value(p), 1)
-            if not len(nodes):
+            ends = trees.below(at, ends, block.bins) if len(nodes) else ends
+            here = ends[rows]
+            counts = np.bincount(here, minlength=places)
+            if not len(nodes) or level + 1 == p.depth:
                 break
-            ends = trees.below(at, ends, block.bins)
+            pairs = nodes.reshape(-1, 2)
+            few = (counts[pairs[:, 1]] < counts[pairs[:, 0]]).astype(np.int64)
+            place = np.full(places, -1)
+            place[pairs[np.arange(len(pairs)), few]] = np.arange(len(pairs))
+            local = place[here]
+            kept = np.flatnonzero(local >= 0)
+            counted = packed_histogram([line[kept] for line in own], groups, columns, local[kept], g[kept], h[kept], len(pairs))
+            sums = np.empty((len(pairs), 2, *counted.shape[1:]))
+            sums[np.arange(len(pairs)), few], sums[np.arange(len(pairs)), 1 - few] = counted, parents - counted
+            sums = sums.reshape(len(nodes), *counted.shape[1:])
+        for node in reversed(np.flatnonzero(trees.feature[at] >= 0)):
+            counts[node] += counts[2 * node + 1] + counts[2 * node + 2]
+        trees.rows[at] = counts
         margins += trees.value[at, ends]
     return trees
 
@@ -328,12 +394,15 @@ def forest_in_block(block: Block, shape: Shape, p: Forest, begin: int, end: int)
     trees = Trees.empty(end - begin, p.depth)
     for at in range(end - begin):
         nodes = np.zeros(1, np.int64)
+        rows, w, positive = forest_sample(block, begin + at, p, shape.balanced)
+        bins, ends = block.bins[rows], np.zeros(len(rows), np.int64)
         for _ in range(p.depth):
             columns = forest_columns(p, block.bins.shape[1], block.model, begin + at, nodes)
-            found = forest_splits(forest_histogram(block, trees, at, begin + at, nodes, columns, p, shape.balanced), p)
+            found = forest_splits(forest_histogram(bins, ends, w, positive, nodes, columns, trees.feature.shape[1]), p)
             nodes = set_splits(trees, at, nodes, columns, found, shape.edges, forest_value, 0)
             if not len(nodes):
                 break
+            ends = trees.below(at, ends, bins)
     return trees
 
 
@@ -381,6 +450,7 @@ class Training:
         self.blocks = stored(self._packed(frame, edges, blocks)).persist()
         held = self.blocks.groupBy("model").agg(F.count("*").alias("blocks")).collect()
         self.split = {r["model"]: r["blocks"] for r in held}
+        self.most = block_rows or TREE_ROWS
 
     def release(self) -> None:
         self.blocks.unpersist()
@@ -413,56 +483,67 @@ class Training:
         """The blocks; trees need the bins alone, which are an eighth of the values."""
         return self.blocks if isinstance(p, Newton) else self.blocks.withColumn("x", F.lit(b""))
 
-    def _whole(self, p: Boosting | Forest | Newton) -> DataFrame:
-        return self._blocks(p).filter(F.col("model").isin([m for m, n in self.split.items() if n == 1]))
+    def _whole(self, p: Boosting | Forest | Newton) -> list[int]:
+        """Models that grow inside tasks; the others are summed over the tasks."""
+        fits = lambda m: not isinstance(p, Newton) and sum(self.shapes[m].counts) <= self.most
+        return sorted(m for m, n in self.split.items() if n == 1 or fits(m))
 
-    def _spread(self) -> list[int]:
-        return sorted(m for m, n in self.split.items() if n > 1)
+    def _spread(self, p: Boosting | Forest | Newton) -> list[int]:
+        return sorted(set(self.split) - set(self._whole(p)))
 
     def grow(self, p: Boosting | Forest | Newton) -> dict[int, Trees | np.ndarray]:
         """The fitted trees (or weights, the intercept last) of every model."""
         found = self._grown_in_tasks(p)
-        spread = self._spread()
+        spread = self._spread(p)
         if spread:
             found |= {Boosting: self._boost, Forest: self._forest, Newton: self._newton}[type(p)](p, spread)
         return found
 
     def _grown_in_tasks(self, p) -> dict:
         width, shapes = len(self.features), self.shapes
-        groups = [0] if not isinstance(p, Forest) else list(range(0, p.trees, TREES_PER_TASK))
-        whole = [m for m, n in self.split.items() if n == 1]
+        whole = self._whole(p)
         if not whole:
             return {}
+        each = {m: TREES_PER_TASK if n == 1 else TREES_OF_BLOCKS for m, n in self.split.items()}
+        begins = {m: list(range(0, p.trees, each[m])) if isinstance(p, Forest) else [0] for m in whole}
+        first = dict(zip(whole, [0, *np.cumsum([len(b) for b in begins.values()]).tolist()]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(len(batch)):
-                    block, begin = read_block(batch, i, width), batch.column("begin")[i].as_py()
-                    shape = shapes[block.model]
-                    if isinstance(p, Newton):
-                        w, left = np.zeros(width + 1), np.inf
-                        for _ in range(p.steps):
-                            w, left = newton_step(w, newton_sums(block, w, shape.balanced), p)
-                            if left < p.tolerance:
-                                break
-                        made = [w]
-                    elif isinstance(p, Boosting):
-                        made = list(vars(boost_in_block(block, shape, p)).values())
-                    else:
-                        made = list(vars(forest_in_block(block, shape, p, begin, min(begin + TREES_PER_TASK, p.trees))).values())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([block.model], pa.int32()), pa.array([begin], pa.int32()), pa.array([[a.tobytes() for a in made]], pa.list_(pa.binary()))],
-                        ["model", "begin", "made"],
-                    )
-
-        dealt = self._whole(p).withColumn("begin", F.explode(F.array(*map(F.lit, groups)))).repartition(len(whole) * len(groups))
+            blocks, begin = [], 0
+            for batch in batches:  # of one model, with one begin
+                blocks += [read_block(batch, i, width) for i in range(len(batch))]
+                begin = batch.column("begin")[0].as_py() if len(batch) else begin
+            if not blocks:
+                return
+            block = joined(blocks)
+            shape = shapes[block.model]
+            if isinstance(p, Newton):
+                w, left = np.zeros(width + 1), np.inf
+                for _ in range(p.steps):
+                    w, left = newton_step(w, newton_sums(block, w, shape.balanced), p)
+                    if left < p.tolerance:
+                        break
+                made = [w]
+            elif isinstance(p, Boosting):
+                made = list(vars(boost_in_block(block, shape, p)).values())
+            else:
+                made = list(vars(forest_in_block(block, shape, p, begin, min(begin + each[block.model], p.trees))).values())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block.model], pa.int32()), pa.array([begin], pa.int32()), pa.array([[a.tobytes() for a in made]], pa.list_(pa.binary()))],
+                ["model", "begin", "made"],
+            )
+
+        turn = F.posexplode(F.coalesce(*[F.when(F.col("model") == m, F.array(*map(F.lit, b))) for m, b in begins.items()])).alias("turn", "begin")
+        task = F.coalesce(*[F.when(F.col("model") == m, n) for m, n in first.items()]) + F.col("turn")
+        blocks = self._blocks(p).filter(F.col("model").isin(whole)).select("*", turn).withColumn("task", task.cast("int"))
+        dealt = blocks.repartitionById(sum(map(len, begins.values())), "task").sortWithinPartitions("block").drop("turn", "task")
         rows = sorted(dealt.mapInArrow(run, "model int, begin int, made array<binary>").collect(), key=lambda r: (r["model"], r["begin"]))
         found: dict = {}
         for r in rows:  # bounded by the models: trees x nodes
             if isinstance(p, Newton):
                 found[r["model"]] = np.frombuffer(r["made"][0], float)
                 continue
-            n = p.rounds if isinstance(p, Boosting) else min(TREES_PER_TASK, p.trees - r["begin"])
+            n = p.rounds if isinstance(p, Boosting) else min(each[r["model"]], p.trees - r["begin"])
             empty = Trees.empty(n, p.depth)
             trees = Trees(*(np.frombuffer(b, a.dtype).reshape(a.shape).copy() for b, a in zip(r["made"], vars(empty).values())))
             found[r["model"]] = found[r["model"]].join(trees) if r["model"] in found else trees
@@ -471,7 +552,7 @@ class Training:
     def _summed(self, work: Callable, p: Boosting | Forest | Newton) -> DataFrame:
         """Sums of what ``work(block)`` yields as (tree, node, array), by (model, tree, node):
         added within a task, then by groups of tasks, then by key."""
-        width, spread = len(self.features), self._spread()
+        width, spread = len(self.features), self._spread(p)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict = {}
@@ -536,7 +617,9 @@ class Training:
                 def work(block: Block, asked=asked, columns=columns, sent=sent) -> Iterator:
                     for (m, t), n in asked.items():
                         if m == block.model:
-                            h = forest_histogram(block, sent[m, t], 0, t, n, columns[m, t], p, shapes[m].balanced)
+                            rows, w, positive = forest_sample(block, t, p, shapes[m].balanced)
+                            bins, own = block.bins[rows], sent[m, t]
+                            h = forest_histogram(bins, own.nodes_of(0, bins), w, positive, n, columns[m, t], own.feature.shape[1])
                             yield from ((t, int(node), h[i].ravel()) for i, node in enumerate(n))
 
                 found = best_of(self._summed(work, p), lambda h: forest_splits(h, p), {k: p.columns(width) for k in asked})
@@ -591,6 +674,13 @@ def read_block(batch: pa.RecordBatch, i: int, width: int) -> Block:
     )
 
 
+def joined(blocks: list[Block]) -> Block:
+    """The rows of a model's blocks as one."""
+    if len(blocks) == 1:
+        return blocks[0]
+    return Block(blocks[0].model, "", *(np.concatenate([getattr(b, a) for b in blocks]) for a in ("ids", "y", "x", "bins")))
+
+
 def summed_rows(sums: dict) -> Iterator[pa.RecordBatch]:
     items = list(sums.items())
     for at in range(0, len(items), 256):

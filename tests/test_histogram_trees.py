@@ -115,6 +115,35 @@ def test_no_small_node_of_a_forest_is_split(whole):
         assert (trees.rows[tree, node] == trees.rows[tree, 2 * node + 1] + trees.rows[tree, 2 * node + 2]).all()
 
 
+@pytest.mark.parametrize("p", [BOOSTING, FOREST], ids=["boosting", "forest"])
+def test_trees_of_a_model_of_several_blocks_grow_in_one_task(whole, frame, monkeypatch, p):
+    """One pass over its blocks, not one a level."""
+    monkeypatch.setattr(ht, "WHOLE_ROWS", 100)
+    monkeypatch.setattr(ht, "BLOCK_ROWS", 70)
+    training = ht.Training(frame, NAMES)
+    assert min(training.split.values()) > 1
+    monkeypatch.setattr(training, "_summed", None)
+    one, sent = whole.grow(p), training.grow(p)
+    training.release()
+    for m in (1, 2):
+        for name in ("feature", "bin", "threshold", "rows"):
+            assert (getattr(one[m], name) == getattr(sent[m], name)).all()
+        assert np.allclose(one[m].value, sent[m].value) and np.allclose(one[m].cover, sent[m].cover)
+
+
+def test_columns_packed_in_a_line_have_their_own_sums():
+    draw = np.random.default_rng(1)
+    values = [2, 64, 3, 2, 1, 5, 2, 40, 2, 2, 2]
+    bins = np.column_stack([draw.integers(0, v, 500) for v in values]).astype(np.uint8)
+    edges, columns = [np.arange(v - 1.0) for v in values], np.array([0, 1, 2, 4, 5, 7, 9, 10])
+    g, h, nodes = draw.normal(size=500), draw.random(500), draw.integers(0, 3, 500)
+    lines, groups = ht.packed_lines(bins, edges)
+    assert len(lines) < len(values) and sorted(c for group in groups for c, _, _ in group) == list(range(len(values)))
+    got = ht.packed_histogram(list(lines), groups, columns, nodes, g, h, 3)
+    want = ht.boost_histogram(bins.T[columns], nodes, g, h, np.arange(3), 3)
+    assert np.allclose(got[..., :2], want[..., :2], atol=1e-12)
+
+
 def test_newton_weights_have_no_slope_left(whole):
     for m, block in blocks(whole).items():
         w, shape = whole.grow(ht.Newton())[m], whole.shapes[m]
