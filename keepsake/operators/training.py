@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from statistics import fmean, pstdev
 
@@ -20,8 +21,8 @@ from keepsake.operators.splits import Scaler, class_weights, stratified_folds, s
 from keepsake.schema import FEATURES, literal_rows
 
 SEED = 42
-#: Bytes of a partition that the learners pass over, at most.
-PART_BYTES = 64 << 20
+#: Bytes of a partition that the learners pass over, at most, and partitions of one of several learners, at least.
+PART_BYTES, LEAST_PARTS = 64 << 20, 4
 
 
 @dataclass
@@ -40,22 +41,29 @@ class Prepared:
         self.test.unpersist()
 
 
-def dealt(frame: DataFrame, rows: int) -> DataFrame:
-    """Even partitions for learners that pass over the rows hundreds of times: one per core, as every
-    further one costs two tasks a pass, and more where they would grow over PART_BYTES."""
+def parts(cores: int, rows: int, learners: int = 1) -> int:
+    """Partitions for learners that pass over the rows hundreds of times: one per core, as every
+    further one costs two tasks a pass, and more where they would grow over PART_BYTES. Learners
+    that are fitted side by side share the cores."""
     size = rows * (len(FEATURES) + 2) * 8
-    return frame.repartition(max(frame.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)))
+    return max(min(cores, max(LEAST_PARTS, -(-cores // learners))), -(-size // PART_BYTES))
 
 
-def prepare(train: DataFrame, test: DataFrame, resample: bool = True, seed: int = SEED) -> Prepared:
-    """Scale by the train rows, oversample the train rows, keep both in memory for the learners."""
+def dealt(frame: DataFrame, rows: int, learners: int = 1) -> DataFrame:
+    """Even partitions, `parts` of them."""
+    return frame.repartition(parts(frame.sparkSession.sparkContext.defaultParallelism, rows, learners))
+
+
+def prepare(train: DataFrame, test: DataFrame, resample: bool = True, seed: int = SEED, learners: int = 1) -> Prepared:
+    """Scale by the train rows, oversample the train rows, keep both in memory for the learners, of
+    which ``learners`` are fitted side by side."""
     scaler = Scaler.fit(train, FEATURES)
     counts = class_weights(train).collect()  # two rows
     sizes = [r["n"] for r in counts]
     scaled, held_out = scaler.transform(train), dealt(scaler.transform(test), sum(sizes)).persist()
     balanced = smote(scaled, FEATURES, seed=seed) if resample else scaled
     return Prepared(
-        dealt(balanced, max(sizes, default=0) * 2 if resample else sum(sizes)).persist(),
+        dealt(balanced, max(sizes, default=0) * 2 if resample else sum(sizes), learners).persist(),
         held_out,
         scaler,
         counts[0]["scale_pos_weight"],
@@ -70,11 +78,12 @@ def prepare_split(
     resample: bool = True,
     seed: int = SEED,
     stats: FeatureStats | None = None,
+    learners: int = 1,
 ) -> Prepared:
     """Features over the whole frame, then the stratified split."""
     frame = stratified_split(training_frame(base, stats), test_share=test_share, seed=seed).persist()
     prepared = prepare(
-        frame.filter("part = 'train'").drop("part"), frame.filter("part = 'test'").drop("part"), resample, seed
+        frame.filter("part = 'train'").drop("part"), frame.filter("part = 'test'").drop("part"), resample, seed, learners
     )
     prepared.train.count()  # both parts are cached now, so the joint frame can go
     frame.unpersist()
@@ -224,14 +233,19 @@ def train_models(
     stats: FeatureStats | None = None,
     cv_folds: int = 0,
 ) -> Trained:
-    """Every learner fitted and tested on one split; with `cv_folds` also cross-validated."""
+    """Every learner fitted and tested on one split, side by side; with `cv_folds` also cross-validated."""
     learners = learners or LEARNERS
-    trained = Trained(prepare_split(base, resample=resample, stats=stats))
+    trained = Trained(prepare_split(base, resample=resample, stats=stats, learners=len(learners)))
     if cv_folds:
         trained.validated = cross_validate_models(base, learners, cv_folds).collect()  # five rows a learner
-    for name, learner in learners.items():
-        trained.models[name] = learner(trained.prepared)
-        trained.measured[name] = test_metrics(trained.models[name], trained.prepared.test)
+
+    def fit(learner: Callable) -> tuple:
+        model = learner(trained.prepared)
+        return model, test_metrics(model, trained.prepared.test)
+
+    with ThreadPoolExecutor(len(learners)) as pool:  # their jobs share the cluster: boosting is a thousand short ones
+        for name, (model, measured) in zip(learners, pool.map(fit, learners.values())):
+            trained.models[name], trained.measured[name] = model, measured
     return trained
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import types
 from itertools import combinations
 from math import factorial
 
@@ -238,6 +240,21 @@ def trained(spark):
     )
 
 
+def test_learners_are_fitted_side_by_side(monkeypatch):
+    """Each waits for the others before it ends; the results keep the order of the learners."""
+    met, prepared = threading.Barrier(3), []
+    monkeypatch.setattr(training, "prepare_split", lambda base, **settings: prepared.append(settings) or types.SimpleNamespace(test=None))
+    monkeypatch.setattr(training, "test_metrics", lambda model, test: {"roc_auc": model})
+    learners = {name: lambda _, auc=auc: (met.wait(30), auc)[1] for name, auc in (("a", 0.5), ("b", 0.7), ("c", 0.7))}
+    found = training.train_models(None, learners)
+    assert list(found.models) == list(found.measured) == ["a", "b", "c"] and found.best == "b" and prepared[0]["learners"] == 3
+
+
+def test_learners_side_by_side_share_the_cores():
+    assert [training.parts(cores, 1000, n) for cores, n in ((12, 1), (12, 3), (48, 3), (4, 3), (2, 3))] == [12, 4, 16, 4, 2]
+    assert training.parts(12, 10_000_000, 3) == training.parts(12, 10_000_000) > 48  # by bytes
+
+
 def test_models_find_the_signal(spark, trained):
     assert trained.measured["LogisticRegression"]["roc_auc"] > 0.95
     assert trained.measured["GradientBoosting"]["roc_auc"] > 0.9
