@@ -10,11 +10,10 @@
    traversal with the exact sets unites what is linked.
 
 The order of shingles is by hash, frequent ones last. The prefix holds ``n - ceil(0.8 n) + 1``
-shingles, which is exact. Where at most 40 % of the set are frequent, every shingle of the
-first part is shared with a linked set with odds of two in three at least, independent of
-its hash: the first 40 are taken, which miss a link with odds under 1e-18, as a hash collision
-would; ``exact=True`` takes the whole prefix there too. Which shingles count as frequent is read off a bounded sample of documents; any
-choice gives the same links.
+shingles, which is exact in any order: two linked sets share a shingle of their prefixes. So every
+document is joined by its whole prefix, and which shingles count as frequent, read off a bounded
+sample of documents, changes the work but no link. ``exact=False`` takes the first 40 only where at
+most 40 % of the set are frequent, which may miss a link.
 
 Groups above a size are split into blocks, and every pair of blocks is a task of its own, so
 memory is bounded whatever the size of a group.
@@ -63,7 +62,7 @@ def bitmap(grams: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def prefix(grams: np.ndarray, frequent: np.ndarray, exact: bool = False) -> np.ndarray:
+def prefix(grams: np.ndarray, frequent: np.ndarray, exact: bool = True) -> np.ndarray:
     n = len(grams)
     if not n:
         return grams
@@ -77,7 +76,7 @@ def prefix(grams: np.ndarray, frequent: np.ndarray, exact: bool = False) -> np.n
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles in FREQUENT_IN of about SAMPLE documents chosen by a hash; at most
-    MOST_FREQUENT of them, whatever the input."""
+    MOST_FREQUENT of them, whatever the input. They only order the prefixes."""
     share = min(1.0, SAMPLE / max(docs.count(), 1))
     chosen = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
 
@@ -92,7 +91,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.gram for r in top.collect()], np.int64).view(np.uint64))
 
 
-def signatures(docs: DataFrame, exact: bool = False) -> DataFrame:
+def signatures(docs: DataFrame, exact: bool = True) -> DataFrame:
     """doc_id, n, s1, s2 (hash of the set), keys (the prefix) and bits (the bitmap)."""
     frequent = frequent_shingles(docs)
 
@@ -198,9 +197,9 @@ def verified(groups_of: DataFrame, docs: DataFrame) -> DataFrame:
     return united(in_blocks(texts, "component", "size"), "component", read, use)
 
 
-def join(docs: DataFrame, exact: bool = False) -> DataFrame:
+def join(docs: DataFrame, exact: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id of every row. With ``exact`` all sets send their whole
-    prefix, which brings more candidates together and leaves nothing to chance."""
+    prefix, which leaves no link to chance."""
     ship_package(docs.sparkSession)
     signed = written(signatures(docs, exact), "signatures")
     sets = signed.filter("doc_id is not null and n > 0")

@@ -202,6 +202,12 @@ def test_jaccard_is_the_same_whichever_shingles_count_as_frequent(docs, monkeypa
     assert sorted(map(tuple, jaccard.join(docs).collect()), key=str) == usual
 
 
+def test_jaccard_loses_no_link_to_the_order_of_shingles(spark, monkeypatch):
+    """Each text has edits that come first in the order of hashes, so short prefixes miss the links."""
+    monkeypatch.setattr(jaccard, "PREFIX", 1)
+    test_jaccard_of_edited_copies(spark)
+
+
 def test_an_id_with_several_texts_is_one_node(spark):
     word = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
     rows = [(5, word("a", 30)), (5, word("b", 30)), (7, word("a", 30) + " x"), (3, "y " + word("b", 30)), (9, word("c", 9)), (2, word("a", 31))]
