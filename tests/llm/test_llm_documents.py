@@ -202,10 +202,12 @@ def test_jaccard_is_the_same_whichever_shingles_count_as_frequent(docs, monkeypa
     assert sorted(map(tuple, jaccard.join(docs).collect()), key=str) == usual
 
 
-def test_jaccard_loses_no_link_to_the_order_of_shingles(spark, monkeypatch):
-    """Each text has edits that come first in the order of hashes, so short prefixes miss the links."""
-    monkeypatch.setattr(jaccard, "PREFIX", 1)
-    test_jaccard_of_edited_copies(spark)
+@pytest.mark.parametrize("often", [np.zeros(0, np.uint64), np.arange(0, 200, 3, dtype=np.uint64)], ids=["none", "some"])
+def test_linked_sets_meet_by_their_prefixes_in_any_order(often):
+    """What the sets do not share, a sixth of all, comes first in the order of hashes."""
+    shared = np.arange(1000, 2000, dtype=np.uint64)
+    one, other = (np.concatenate([np.arange(first, 200, 2, dtype=np.uint64), shared]) for first in (0, 1))
+    assert len(np.intersect1d(jaccard.prefix(one, often), jaccard.prefix(other, often)))
 
 
 def test_an_id_with_several_texts_is_one_node(spark):
